@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 from typing import Any
 
@@ -17,6 +17,7 @@ from pactline.functions.timestamps import micros_of, moment_literal
 from pactline.operators.checks import contract_checks
 from pactline.plans import admission, alerts, history, metrics, registry
 from pactline.plans.runs import derive_incidents, finalize_runs
+from pactline.session import settle
 from pactline.sources.contracts import Contract, contract_rows
 from pactline.sources.resolve import OBJECT_STORE_PREFIX, Resolved, resolve
 from pactline.sources.store import ControlStore
@@ -201,7 +202,6 @@ class ContractDesk:
 
     def _evaluate(self, accepted: list) -> None:
         start = self.clock()
-        day = start.strftime("%Y-%m-%d")
         seq = micros_of(start)
         started = moment_literal(start)
         keys = self.spark.createDataFrame(
@@ -237,11 +237,10 @@ class ContractDesk:
                     self.rule_set,
                 ).select(F.lit(s.pipeline).alias("pipeline"), F.lit(s.run_id).alias("run_id"), "*")
             )
-        self.store.append("checks", reduce(DataFrame.unionByName, results), day)
-
-        # From here on the stored results are used, so nothing is scanned twice.
-        written = self.store.log("checks", day).join(keys, model.RUN_KEY, "left_semi")
-        final = finalize_runs(written).join(keys, model.RUN_KEY)
+        # A handful of rows per run, computed once for the log and the verdict.
+        checks = settle(reduce(DataFrame.unionByName, results))
+        self.store.append("checks", checks, start.date())
+        final = finalize_runs(checks).join(keys, model.RUN_KEY)
         ended = moment_literal(self.clock())
         rows = final.select("*", started.alias("started_at"), ended.alias("ended_at"), F.lit(2).alias("event_no"))
         self.store.append("runs", rows)
@@ -296,9 +295,16 @@ class ContractDesk:
         return history.notification_log(self.store.notifications(), limit)
 
     def metrics(self) -> DataFrame:
-        s = self.store
+        s, now = self.store, self.clock()
+        # What only counts for the last day is read from its folders only.
+        since = (now - timedelta(days=1)).date()
         return metrics.operational_metrics(
-            s.pipelines(), s.runs(), s.checks(), s.incidents(), s.notifications(), self.clock()
+            s.pipelines(),
+            s.runs(),
+            s.log("checks", since=since),
+            s.incidents(),
+            s.log("notifications", since=since),
+            now,
         )
 
     def alerts(self) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
@@ -22,6 +22,14 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def settle(frame: DataFrame) -> DataFrame:
+    """Compute once and keep the rows in the shared folder, where they outlive executors."""
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(work_folder(frame.sparkSession, "settled"))
+    return frame.checkpoint()
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder that the cluster names in spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None)

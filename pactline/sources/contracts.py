@@ -107,8 +107,8 @@ def contract_rows(
     return spark.createDataFrame(rows, model.CONTRACTS)
 
 
-def read_contract_files(spark: SparkSession, path: str) -> DataFrame:
-    """Contract table rows from JSON files with one contract document per file.
+def read_contract_files(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Contract table rows from JSON files: one document per file, or one per line.
 
     The file form has pipeline_name, dataset_name, contract_version, schema,
     freshness and quality; it is parsed where the files are read.
@@ -121,7 +121,7 @@ def read_contract_files(spark: SparkSession, path: str) -> DataFrame:
     keep = {"ignoreNullFields": "true"}
     return (
         spark.read.schema(shape)
-        .json(path, multiLine=True)
+        .json(path, multiLine=multi_line)
         .select(
             F.col("pipeline_name").alias("pipeline"),
             F.col("dataset_name").alias("dataset"),

@@ -7,6 +7,8 @@ tables are read, so a write that was repeated does no harm.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,9 @@ from pactline import model
 from pactline.plans import registry
 from pactline.plans.runs import current_incidents, current_runs
 
-# Tables cut into day folders, and the column the day comes from.
-DAY_SOURCE = {
+# Tables cut into month folders, and the time the month comes from; check
+# results carry none and get the start of their run handed in.
+MONTH_SOURCE = {
     "runs": "started_at",
     "checks": None,
     "incidents": "first_observed_at",
@@ -34,33 +37,35 @@ class ControlStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def append(self, table: str, rows: DataFrame, day: str | None = None) -> None:
-        """Add rows; ``day`` is the day folder of rows that carry no time of their own."""
+    def append(self, table: str, rows: DataFrame, time: date | None = None) -> None:
+        """Add rows; ``time`` places rows that carry no time of their own."""
         names = [c.split()[0] for c in model.CONTROL_TABLES[table].split(", ")]
         rows = rows.select(*names)
-        if table in DAY_SOURCE:
-            source = DAY_SOURCE[table]
-            value = F.lit(day) if source is None else F.col(source)
-            rows.withColumn("day", value.cast("date")).write.mode("append").partitionBy("day").parquet(
-                self.path(table)
-            )
-        else:
+        if table not in MONTH_SOURCE:
             rows.write.mode("append").parquet(self.path(table))
-
-    def log(self, table: str, day: str | None = None) -> DataFrame:
-        """Everything that was written; ``day`` reads one day folder only."""
+            return
+        source = MONTH_SOURCE[table]
+        value = F.lit(time) if source is None else F.col(source)
+        # Rebalancing gathers a month's rows into few files and splits a month
+        # that is too large for one task.
+        rows.withColumn("month", F.trunc(value.cast("date"), "month")).hint("rebalance", "month").write.mode(
+            "append"
+        ).partitionBy("month").parquet(self.path(table))
+
+    def log(self, table: str, since: date | None = None) -> DataFrame:
+        """Everything that was written, or only the month folders from a day on."""
         shape = model.CONTROL_TABLES[table]
-        if table in DAY_SOURCE:
-            shape += ", day date"
+        if table in MONTH_SOURCE:
+            shape += ", month date"
         try:
             rows = self.spark.read.schema(shape).parquet(self.path(table))
         except AnalysisException as exc:
             if exc.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], model.CONTROL_TABLES[table])
-        if day is not None:
-            rows = rows.where(F.col("day") == F.lit(day).cast("date"))
-        return rows.drop("day")
+        if since is not None:
+            rows = rows.where(F.col("month") >= F.lit(since.replace(day=1)))
+        return rows.drop("month")
 
     def pipelines(self) -> DataFrame:
         return registry.first_written(self.log("pipelines"), registry.PIPELINE_KEY)

@@ -23,7 +23,7 @@ def watch_alerts(store: ControlStore, out: str, checkpoint: str, **trigger) -> S
         found = alerts.rule_rows(store.pipelines(), store.runs(), store.checks(), store.incidents())
         alerts.evaluate(found).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    arrivals = store.spark.readStream.schema(model.RUNS + ", day date").parquet(store.path("runs"))
+    arrivals = store.spark.readStream.schema(model.RUNS + ", month date").parquet(store.path("runs"))
     return (
         arrivals.select(F.lit(1).alias("run"))
         .writeStream.foreachBatch(evaluate)
