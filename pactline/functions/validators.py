@@ -27,7 +27,7 @@ DIGIT = rf"[\p{{Nd}}{EXTRA_DIGITS}]"
 
 # Characters that count as white space around a number.
 SPACE = (
-    r"[\x09-\x0D\x1C-\x20\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+    r"[\x09-\x0D\x20\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
     r"\x{202F}\x{205F}\x{3000}]"
 )
 

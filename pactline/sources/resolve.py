@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ KINDS = (LOCAL, S3, TABLE, QUERY, PARTITION)
 
 OBJECT_STORE_PREFIX = "s3a://"
 
+# A file system that Spark does not know surfaces as a bare Java error.
+READ_ERRORS = (PySparkException, Py4JJavaError)
+
 
 @dataclass(frozen=True)
 class SourceRef:
@@ -106,14 +110,15 @@ def profile(resolved: Resolved) -> DataFrame:
 
 
 def _reason(exc: Exception) -> str:
-    return str(exc).splitlines()[0]
+    text = exc.java_exception.toString() if isinstance(exc, Py4JJavaError) else str(exc)
+    return text.splitlines()[0]
 
 
 def _from_catalog(spark: SparkSession, ref: SourceRef) -> Resolved:
     try:
         frame = spark.table(ref.path)
         return Resolved(ref.uri, frame, tuple(frame.columns))
-    except PySparkException as exc:
+    except READ_ERRORS as exc:
         return Resolved(ref.uri, error=f"Failed to query table: {_reason(exc)}")
 
 
@@ -121,7 +126,7 @@ def _from_query(spark: SparkSession, ref: SourceRef) -> Resolved:
     try:
         frame = spark.sql(ref.path)
         return Resolved(ref.uri, frame, tuple(frame.columns))
-    except PySparkException as exc:
+    except READ_ERRORS as exc:
         return Resolved(ref.uri, error=f"Failed to execute query: {_reason(exc)}")
 
 
@@ -138,14 +143,17 @@ def _listing(spark: SparkSession, path: str) -> DataFrame:
 def _from_file(spark: SparkSession, ref: SourceRef, path: str, multi_line: bool | None) -> Resolved:
     empty = "S3 object is empty" if ref.kind == S3 else "File is empty"
     try:
-        listed = _listing(spark, path).agg(
+        listing = _listing(spark, path)
+        listed = listing.agg(
             F.count(F.lit(1)).alias("files"), F.max("length").alias("largest"), F.max("path").alias("path")
         ).first()
+        if listed["files"] == 0 and [p for p in listing.inputFiles() if _same_path(p, path)]:
+            return Resolved(ref.uri, error=empty)
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_NOT_FOUND":
             return Resolved(ref.uri, error=f"File not found: {ref.path}")
         return Resolved(ref.uri, error=f"Failed to read file: {_reason(exc)}")
-    except PySparkException as exc:
+    except READ_ERRORS as exc:
         return Resolved(ref.uri, error=f"Failed to read file: {_reason(exc)}")
 
     parquet = path.rstrip("/").endswith(".parquet")
@@ -164,7 +172,7 @@ def _from_file(spark: SparkSession, ref: SourceRef, path: str, multi_line: bool
             row_number = None if splittable else F.monotonically_increasing_id() + 1
         if not frame.columns or frame.isEmpty():
             return Resolved(ref.uri, error=empty)
-    except PySparkException as exc:
+    except READ_ERRORS as exc:
         return Resolved(ref.uri, error=f"Failed to read file: {_reason(exc)}")
     return Resolved(ref.uri, frame, tuple(frame.columns), (), row_number)
 
@@ -238,7 +246,7 @@ def _from_partitions(
         if exc.getCondition() == "PATH_NOT_FOUND":
             return Resolved(ref.uri, error=f"File not found: {ref.path}")
         return Resolved(ref.uri, error=f"Failed to read partitions: {_reason(exc)}")
-    except PySparkException as exc:
+    except READ_ERRORS as exc:
         return Resolved(ref.uri, error=f"Failed to read partitions: {_reason(exc)}")
     data = tuple(c for c in frame.columns if c in flat.columns)
     keys = tuple(c for c in frame.columns if c not in flat.columns)
