@@ -130,7 +130,10 @@ class ContractDesk:
         The list of submissions is planned on the driver, their datasets are
         checked in shared jobs.
         """
-        wanted = list({(s.pipeline, s.run_id): s for s in reversed(list(submissions))}.values())[::-1]
+        firsts: dict[tuple[str, str], Submission] = {}
+        for s in submissions:
+            firsts.setdefault((s.pipeline, s.run_id), s)
+        wanted = list(firsts.values())
         sources = [self._resolve(s.source) for s in wanted]
         targets = [self._resolve(s.target) if s.target else None for s in wanted]
         decisions = self._decide(wanted, sources, targets)

@@ -1,0 +1,342 @@
+import json
+from datetime import datetime, timezone
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from conftest import AS_OF, INVENTORY_SCHEMA, by_type, inventory_rows
+from pactline import ColumnRule, Contract, resolve
+from pactline.operators import (
+    check_freshness,
+    check_readability,
+    check_row_count,
+    check_schema,
+    check_target_schema,
+    column_violations,
+    contract_checks,
+    contract_checks_by_key,
+    duplicate_rows,
+)
+from pactline.sources.resolve import Resolved, from_frame
+
+
+def one(frame):
+    row = frame.first().asDict()
+    for name in ("expected", "observed"):
+        row[name] = json.loads(row[name]) if row[name] else None
+    return row
+
+
+# -- readability -----------------------------------------------------------
+
+
+def test_readable(spark, write_csv):
+    found = one(check_readability(resolve(spark, write_csv("a.csv", inventory_rows()))))
+    assert found["status"] == "passed" and found["message"] == "Source readable: 5 rows, 13 columns"
+    assert found["observed"] == {"parseable": True, "row_count": 5, "columns": 13}
+
+
+def test_missing_file(spark):
+    found = one(check_readability(resolve(spark, "/nonexistent/file.csv")))
+    assert found["status"] == "failed" and "not found" in found["message"].lower()
+    assert found["error_category"] == "source_not_found"
+
+
+def test_empty_table(spark):
+    frame = spark.createDataFrame([], "a string")
+    found = one(check_readability(from_frame(frame)))
+    assert (found["status"], found["message"]) == ("failed", "Source has 0 rows")
+    assert found["expected"] == {"row_count": "> 0"} and found["observed"] == {"row_count": 0}
+
+
+# -- schema ----------------------------------------------------------------
+
+
+def test_valid_schema(spark, write_csv, inventory):
+    found = one(check_schema(resolve(spark, write_csv("a.csv", inventory_rows())), inventory))
+    assert found["status"] == "passed" and found["message"] == "Schema matches: 13 columns as expected"
+    assert "missing" not in found["observed"] and found["expected"]["column_count"] == 13
+
+
+def test_drift_and_null(spark, write_csv, inventory):
+    rows = inventory_rows(loyalty_points="7", stock_on_hand=lambda i: "" if i == 2 else "5")
+    found = one(check_schema(resolve(spark, write_csv("a.csv", rows)), inventory))
+    assert found["observed"]["unexpected"] == ["loyalty_points"] and found["observed"]["missing"] == []
+    assert found["message"] == (
+        "Unexpected columns: ['loyalty_points']; "
+        "Null violations (1): Null in non-nullable column 'stock_on_hand' at row 2"
+    )
+    assert found["error_category"] == "schema_mismatch"
+
+
+def test_missing_columns(spark, write_csv, inventory):
+    path = write_csv("a.csv", [{"product_id": "1", "sku": "X"}])
+    found = one(check_schema(resolve(spark, path), inventory))
+    assert found["status"] == "failed" and found["message"].startswith("Missing columns: ['last_restock_date', ")
+    assert found["observed"]["missing"] == sorted(set(INVENTORY_SCHEMA) - {"product_id", "sku"})
+    assert found["error_category"] == "schema_missing_columns"
+
+
+def test_type_mismatch(spark, write_csv, inventory):
+    rows = inventory_rows(product_id=lambda i: "abc" if i > 2 else str(i))
+    found = one(check_schema(resolve(spark, write_csv("a.csv", rows)), inventory))
+    assert found["message"] == (
+        "Type violations (3): Type mismatch in 'product_id' at row 3: expected integer, got 'abc'"
+    )
+    assert found["error_category"] == "schema_type_violation"
+
+
+def test_sample_is_first_row_of_first_column(spark, write_csv, inventory):
+    rows = inventory_rows(
+        unit_cost=lambda i: "x" if i == 1 else "1.5", reorder_point=lambda i: "-9" if i in (4, 5) else "9"
+    )
+    found = one(check_schema(resolve(spark, write_csv("a.csv", rows)), inventory))
+    assert "(3): Type mismatch in 'reorder_point' at row 4: expected integer, got '-9'" in found["message"]
+
+
+def test_unknown_type_skips_the_null_check_too(spark, write_csv):
+    contract = Contract((ColumnRule("a", "boolean", False), ColumnRule("b")))
+    found = one(check_schema(resolve(spark, write_csv("a.csv", [{"a": "", "b": "x"}])), contract))
+    assert found["status"] == "passed" and found["observed"]["unchecked_columns"] == ["a"]
+
+
+def test_short_rows_are_nulls(spark, tmp_path):
+    (tmp_path / "short.csv").write_text("a,b\n1,2\n3\n")
+    contract = Contract((ColumnRule("a", "integer", False), ColumnRule("b", "integer", False)))
+    found = one(check_schema(resolve(spark, str(tmp_path / "short.csv")), contract))
+    assert found["message"] == "Null violations (1): Null in non-nullable column 'b' at row 2"
+
+
+def test_typed_columns(spark):
+    frame = spark.sql("SELECT 1.5D AS a, 7L AS b, CAST(NULL AS DATE) AS c, TIMESTAMP_NTZ '2026-01-01 00:00:00' AS d")
+    contract = Contract(
+        (ColumnRule("a", "integer"), ColumnRule("b", "decimal"), ColumnRule("c", "date", False),
+         ColumnRule("d", "timestamp"))
+    )
+    counts = {r["column"]: (r["null_violations"], r["type_violations"])
+              for r in column_violations(from_frame(frame), contract).collect()}
+    assert counts == {"a": (0, 1), "b": (0, 0), "c": (1, 0), "d": (0, 0)}
+
+
+def test_odd_column_names(spark):
+    frame = spark.createDataFrame([("1", "x")], "`a.b` string, `c``d` string")
+    contract = Contract((ColumnRule("a.b", "integer", False), ColumnRule("c`d", "integer")), unique_keys=("a.b",))
+    found = by_type(contract_checks(from_frame(frame), contract, AS_OF))
+    assert "Type mismatch in 'c`d': expected integer, got 'x'" in found["schema_compatibility"]["message"]
+
+
+def test_target_schema(spark, write_csv, inventory):
+    good = resolve(spark, write_csv("t.csv", inventory_rows()))
+    assert one(check_target_schema(good, inventory))["check_type"] == "target_schema_compatibility"
+    for target, contract in ((None, inventory), (good, None)):
+        found = one(check_target_schema(target, contract))
+        assert (found["status"], found["message"]) == ("skipped", "No target to validate")
+
+
+# -- row count -------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "low, high, status", [(1, 50, "passed"), (5, 5, "passed"), (1, 2, "failed"), (10, 50, "failed"), (0, None, "passed")]
+)
+def test_range(spark, write_csv, low, high, status):
+    contract = Contract((), min_row_count=low, max_row_count=high)
+    found = one(check_row_count(resolve(spark, write_csv("a.csv", inventory_rows())), contract))
+    shown = "inf" if high is None else high
+    inside = "outside" if status == "failed" else "within"
+    assert found["status"] == status
+    assert found["message"].endswith(f"ow count 5 {inside} range [{low}, {shown}]")
+    assert found["expected"] == {"min_row_count": low, "max_row_count": high, "unique_keys": []}
+    assert found["observed"] == {"source_row_count": 5, "target_row_count": None}
+
+
+def test_duplicates(spark, write_csv):
+    rows = inventory_rows(100, product_id=lambda i: str(i // 10))
+    found = one(check_row_count(resolve(spark, write_csv("a.csv", rows)), Contract((), unique_keys=("product_id",))))
+    assert found["message"] == "Found 89 duplicate rows on keys ['product_id']"
+    assert found["observed"]["duplicate_count"] == 89 and found["error_category"] == "duplicate_keys"
+
+
+def test_null_and_absent_keys(spark):
+    frame = spark.createDataFrame([("a", None), ("a", None), (None, None), (None, None), ("b", "x")], "k string, l string")
+    assert duplicate_rows(frame, ["k", "l"]).first()["duplicates"] == 2
+    assert duplicate_rows(frame, ["absent"]).first()["duplicates"] == 4
+    assert duplicate_rows(frame, ["k", "absent"]).first()["duplicates"] == 2
+
+
+@pytest.mark.parametrize(
+    "source, target, limit, message",
+    [
+        (1, 1, 5, "Row count 1 within range [0, inf]"),
+        (2, 1, 5, "Source-target mismatch: 2 vs 1 (50.0% diff, max 5%)"),
+        (3, 2, 5, "Source-target mismatch: 3 vs 2 (33.33% diff, max 5%)"),
+        (2, 3, 50, "Row count 2 within range [0, inf]"),
+        (4, 13, 100, "Source-target mismatch: 4 vs 13 (225.0% diff, max 100%)"),
+    ],
+)
+def test_reconciliation(spark, source, target, limit, message):
+    contract = Contract((), max_row_count_diff_pct=limit)
+    found = one(check_row_count(from_frame(spark.range(source)), contract, from_frame(spark.range(target))))
+    assert found["message"] == message and found["observed"]["target_row_count"] == target
+
+
+def test_reconciliation_of_empty_source(spark):
+    contract = Contract((), max_row_count_diff_pct=5, unique_keys=("id",))
+    empty = from_frame(spark.range(0))
+    assert one(check_row_count(empty, contract, empty))["status"] == "passed"
+    found = one(check_row_count(empty, contract, from_frame(spark.range(1))))
+    assert found["message"] == "Source-target mismatch: 0 vs 1 (100% diff, max 5%)"
+    assert "duplicate_count" not in found["observed"]
+
+
+def test_unreadable_target(spark):
+    bad = Resolved("local://x", error="File not found: x")
+    found = one(check_row_count(from_frame(spark.range(1)), Contract(()), bad))
+    assert found["message"] == "Target not readable: File not found: x"
+
+
+def test_all_problems_are_joined(spark):
+    contract = Contract((), max_row_count=3, unique_keys=("k",), max_row_count_diff_pct=10)
+    source = from_frame(spark.range(4).selectExpr("id % 2 AS k"))
+    found = one(check_row_count(source, contract, from_frame(spark.range(2))))
+    assert found["message"] == (
+        "Source row count 4 outside range [0, 3]; Found 2 duplicate rows on keys ['k']; "
+        "Source-target mismatch: 4 vs 2 (50.0% diff, max 10%)"
+    )
+    assert found["error_category"] == "row_count_out_of_range"
+
+
+# -- freshness -------------------------------------------------------------
+
+
+def fresh(spark, values, as_of=AS_OF, limit=24):
+    frame = spark.createDataFrame([(v,) for v in values], "t string")
+    contract = Contract((), timestamp_column="t", max_age_hours=limit)
+    return one(check_freshness(from_frame(frame), contract, as_of))
+
+
+def test_fresh_and_stale(spark):
+    found = fresh(spark, ["2026-07-01", "2026-08-01", None, ""])
+    assert (found["status"], found["message"]) == ("passed", "Data is fresh: 12.0h old (max 24h)")
+    assert found["observed"] == {"latest_timestamp": "2026-08-01T00:00:00+00:00", "age_hours": 12.0}
+    found = fresh(spark, ["2026-06-01"])
+    assert (found["status"], found["message"]) == ("failed", "Data is stale: 1476.0h old (max 24h)")
+
+
+def test_limit_is_on_the_unrounded_age(spark):
+    # 24.001 hours show as 24.0 and are too old all the same.
+    found = fresh(spark, ["2026-07-31T11:59:56"])
+    assert (found["status"], found["message"]) == ("failed", "Data is stale: 24.0h old (max 24h)")
+    assert fresh(spark, ["2026-07-31T12:00:00"])["status"] == "passed"
+
+
+def test_future_is_fresh(spark):
+    found = fresh(spark, ["2026-08-03"])
+    assert found["status"] == "passed" and found["observed"]["age_hours"] == -36.0
+
+
+def test_zones(spark):
+    as_of = datetime(2026, 8, 1, 14, tzinfo=timezone.utc)
+    found = fresh(spark, ["2026-08-01T14:30:00+02:00", "2026-08-01T12:15:00.5"], as_of)
+    assert found["observed"]["latest_timestamp"] == "2026-08-01T12:30:00+00:00"
+    assert found["message"] == "Data is fresh: 1.5h old (max 24h)"
+
+
+def test_no_rows_and_no_times(spark):
+    assert fresh(spark, [])["message"] == "No rows to evaluate freshness"
+    found = fresh(spark, ["x", "2026", None])
+    assert found["message"] == "No valid timestamps found in column 't'"
+    assert found["observed"] == {"latest_timestamp": None, "parseable_timestamps": 0}
+    absent = one(check_freshness(from_frame(spark.range(1)), Contract((), timestamp_column="t"), AS_OF))
+    assert absent["message"] == "No valid timestamps found in column 't'"
+
+
+# -- all together ----------------------------------------------------------
+
+
+def test_order_and_types(spark, write_csv, inventory):
+    rows = contract_checks(resolve(spark, write_csv("a.csv", inventory_rows())), inventory, AS_OF).collect()
+    assert [(r["check_order"], r["check_type"], r["status"]) for r in rows] == [
+        (1, "source_readability", "passed"),
+        (2, "schema_compatibility", "passed"),
+        (3, "target_schema_compatibility", "skipped"),
+        (4, "row_count", "passed"),
+        (5, "freshness", "passed"),
+    ]
+
+
+def test_unreadable_source_ends_after_the_first_check(spark, inventory):
+    rows = contract_checks(resolve(spark, "/nonexistent.csv"), inventory, AS_OF).collect()
+    assert [(r["check_type"], r["status"]) for r in rows] == [("source_readability", "failed")]
+    empty = from_frame(spark.createDataFrame([], "a string"))
+    assert [r["message"] for r in contract_checks(empty, inventory, AS_OF).collect()] == ["Source has 0 rows"]
+
+
+def test_unreadable_source_in_every_check(spark, inventory):
+    bad = Resolved("local://x", error="File not found: x")
+    assert one(check_schema(bad, inventory))["message"] == "Cannot read source for schema check: File not found: x"
+    assert one(check_row_count(bad, inventory))["message"] == "Cannot read source for row count: File not found: x"
+    assert one(check_freshness(bad, inventory, AS_OF))["message"] == (
+        "Cannot read source for freshness: File not found: x"
+    )
+
+
+values = st.one_of(st.none(), st.sampled_from(["", "1", "22", "-3", "4.5", "x", "2026-07-30", "2026-08-01", "2026-8-1"]))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    rows=st.lists(st.tuples(values, values, values), min_size=1, max_size=40),
+    kinds=st.tuples(*[st.sampled_from(["string", "integer", "decimal", "date", "boolean"])] * 3),
+    nullable=st.tuples(*[st.booleans()] * 3),
+)
+def test_random_tables(spark, rows, kinds, nullable):
+    """Small random tables against a plain restatement of the rules."""
+    from test_validators import RULES
+
+    names = "abc"
+    contract = Contract(
+        tuple(ColumnRule(n, k, ok) for n, k, ok in zip(names, kinds, nullable)), unique_keys=("a", "b"),
+        timestamp_column="c",
+    )
+    known = [i for i in range(3) if kinds[i] in RULES]
+    nulls = sum(r[i] in (None, "") for i in known if not nullable[i] for r in rows)
+    types = sum(r[i] not in (None, "") and not RULES[kinds[i]](r[i]) for i in known for r in rows)
+    days = [datetime.strptime(r[2], "%Y-%m-%d") for r in rows if r[2] and len(r[2]) == 10]
+    duplicates = len(rows) - len({r[:2] for r in rows})
+
+    frame = spark.createDataFrame(rows, "a string, b string, c string")
+    found = by_type(contract_checks(from_frame(frame), contract, AS_OF))
+    message = found["schema_compatibility"]["message"]
+    assert (f"Null violations ({nulls})" in message) == (nulls > 0)
+    assert (f"Type violations ({types})" in message) == (types > 0)
+    assert json.loads(found["row_count"]["observed"])["duplicate_count"] == duplicates
+    age = (AS_OF - max(days)).total_seconds() / 3600 if days else None
+    assert json.loads(found["freshness"]["observed"]).get("age_hours") == (age if days else None)
+
+
+def test_by_key_equals_one_by_one(spark):
+    rows = [
+        ("s1", "1", "2026-08-01"), ("s1", "1", "2026-07-01"), ("s1", "x", "bad"),
+        ("s2", "5", "2026-06-01"), (None, "7", None), (None, "", "2026-08-01"),
+    ]
+    frame = spark.createDataFrame(rows, "site string, n string, d string")
+    contract = Contract(
+        (ColumnRule("site"), ColumnRule("n", "integer", False), ColumnRule("d", "date")),
+        unique_keys=("n",), timestamp_column="d", max_row_count=2,
+    )
+    together = contract_checks_by_key(from_frame(frame), contract, AS_OF, ["site"]).collect()
+    for site in ("s1", "s2", None):
+        part = frame.where(F.col("site").eqNullSafe(F.lit(site)))
+        alone = by_type(contract_checks(from_frame(part), contract, AS_OF))
+        for row in together:
+            if row["site"] == site:
+                other = alone[row["check_type"]]
+                assert (row["status"], row["expected"], row["observed"]) == (
+                    other["status"], other["expected"], other["observed"],
+                )
+                # Samples are left out where many datasets are checked at once.
+                assert other["message"].startswith(row["message"].split("; Type")[0])
+    assert len(together) == 15
