@@ -1,8 +1,10 @@
-"""Text that ends up in messages."""
+"""Names, messages and JSON text."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +12,15 @@ from pyspark.sql import functions as F
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
+def quoted(name: str) -> str:
+    """A column name as it is written in SQL, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column(name: str) -> Column:
+    return F.col(quoted(name))
+
+
 def two_decimals(number: Column) -> Column:
     """A number rounded to two decimals, with at least one decimal shown."""
     return F.regexp_replace(F.format_string("%.2f", number.cast("double")), "0$", "")
@@ -19,13 +30,9 @@ def quoted_list(names: Iterable[str]) -> str:
     return "[" + ", ".join(f"'{n}'" for n in names) + "]"
 
 
-def document(**fields: Column) -> Column:
-    """JSON text of named values, nulls included."""
-    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), KEEP_NULLS)
-
-
-def text_array(values: Iterable[str]) -> Column:
-    values = list(values)
-    if not values:
-        return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+def document(**fields: Any) -> Column:
+    """JSON text of named values, nulls included; plain values need no expression."""
+    if not any(isinstance(v, Column) for v in fields.values()):
+        return F.lit(json.dumps(fields, separators=(",", ":"), ensure_ascii=False))
+    columns = [(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()]
+    return F.to_json(F.struct(*columns), KEEP_NULLS)

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pactline.functions.text import column, quoted
 from pactline.functions.validators import is_text
 
 DAY_MICROS = 86_400_000_000
@@ -28,67 +29,51 @@ _OFFSET = (
 ISO_SHAPE = rf"(?s)\A{_DAY}(?:.{_CLOCK}{_OFFSET})?\z"
 
 
-def _int(text: Column) -> Column:
-    return text.try_cast("bigint")
-
-
-def _day_micros(text: Column) -> Column:
-    """Day text (calendar or week form) to microseconds."""
-    digits = F.translate(text, "-", "")
-    year = F.substring(digits, 1, 4)
-    calendar = F.concat_ws("-", year, F.substring(digits, 5, 2), F.substring(digits, 7, 2))
-    week = _int(F.substring(digits, 6, 2))
-    weekday = F.coalesce(_int(F.substring(digits, 8, 1)), F.lit(1))
-    fourth = F.concat(year, F.lit("-01-04")).try_cast("date")
-    monday = F.unix_date(fourth) - F.weekday(fourth) + (week - 1) * 7
-    # A week belongs to the year of its Thursday.
-    in_year = F.year(F.date_from_unix_date((monday + 3).cast("int"))) == _int(year)
-    week_day = F.when((week >= 1) & weekday.between(1, 7) & in_year, monday + weekday - 1)
-    day = F.when(text.contains("W"), week_day).otherwise(F.unix_date(calendar.try_cast("date")))
-    return F.when(year >= "0001", day.cast("bigint") * DAY_MICROS)
-
-
-def _clock_micros(text: Column) -> Column:
-    """Clock text, extended or basic, to microseconds; missing parts are zero."""
-    digits = F.translate(text, ":., +-Z", "")
-    hour, minute, second = (F.coalesce(_int(F.substring(digits, p, 2)), F.lit(0)) for p in (1, 3, 5))
-    fraction = F.coalesce(_int(F.rpad(F.substring(digits, 7, 6), 6, "0")), F.lit(0))
-    return ((hour * 60 + minute) * 60 + second) * 1_000_000 + fraction
-
-
-def _iso_micros(value: Column) -> Column:
-    day, clock, offset = (F.regexp_extract(value, ISO_SHAPE, i) for i in (1, 2, 3))
-    digits = F.translate(clock, ":.,", "")
-    clock_ok = (
-        (F.substring(digits, 1, 2) < "24")
-        & (F.substring(digits, 3, 2) < "60")
-        & (F.substring(digits, 5, 2) < "60")
-    )
-    shift = _clock_micros(offset)
-    signed = F.when(offset.contains("-"), -shift).otherwise(shift)
-    return F.when(
-        value.rlike(ISO_SHAPE) & clock_ok & (shift < DAY_MICROS),
-        _day_micros(day) + _clock_micros(clock) - signed,
-    )
-
-
-def text_micros(value: Column) -> Column:
-    """Ten characters are a date; anything else is ISO 8601, zone-free text being UTC.
-
-    Text that is neither gives null.
+# SQL templates over the digits of each part. Digits are padded with zeros on
+# the right, so parts that were left out read as zero.
+_CLOCK_MICROS = """(((int(substr({x}, 1, 2)) * 60 + int(substr({x}, 3, 2))) * 60
+  + int(substr({x}, 5, 2))) * 1000000L + int(substr({x}, 7, 6)))"""
+_CALENDAR_DAY = """unix_date(try_cast(
+  concat_ws('-', substr({x}, 1, 4), substr({x}, 5, 2), substr({x}, 7, 2)) AS DATE))"""
+_JANUARY_4 = "try_cast(concat(substr({x}, 1, 4), '-01-04') AS DATE)"
+_MONDAY = f"(unix_date({_JANUARY_4}) - weekday({_JANUARY_4}) + (int(substr({{x}}, 6, 2)) - 1) * 7)"
+_WEEKDAY = "coalesce(try_cast(substr({x}, 8, 1) AS INT), 1)"
+# A week belongs to the year of its Thursday.
+_WEEK_DAY = f"""CASE WHEN int(substr({{x}}, 6, 2)) >= 1 AND {_WEEKDAY} BETWEEN 1 AND 7
+  AND year(date_from_unix_date({_MONDAY} + 3)) = int(substr({{x}}, 1, 4)) THEN {_MONDAY} + {_WEEKDAY} - 1 END"""
+
+# Each transform over a one-element array evaluates its input once.
+_TEXT_MICROS = f"""CASE
+  WHEN length({{v}}) = 10 THEN
+    CASE WHEN {{v}} RLIKE r'{DATE_SHAPE}' AND {{v}} >= '0001'
+      THEN unix_date(try_cast({{v}} AS DATE)) * {DAY_MICROS}L END
+  WHEN {{v}} RLIKE r'{USUAL_SHAPE}' AND {{v}} >= '0001' THEN
+    unix_micros(try_cast(concat(translate({{v}}, ' ', 'T'), 'Z') AS TIMESTAMP))
+  WHEN {{v}} RLIKE r'{ISO_SHAPE}' AND {{v}} >= '0001' THEN
+    transform(
+      transform(
+        array(split(regexp_replace({{v}}, r'{ISO_SHAPE}', '$1|$2|$3'), '[|]')),
+        p -> named_struct(
+          'day', translate(p[0], '-', ''),
+          'clock', rpad(translate(p[1], ':.,', ''), 12, '0'),
+          'shift', rpad(translate(p[2], ':., +-Z', ''), 12, '0'),
+          'sign', CASE WHEN contains(p[2], '-') THEN -1 ELSE 1 END)),
+      s -> CASE
+        WHEN substr(s.clock, 1, 2) < '24' AND substr(s.clock, 3, 2) < '60' AND substr(s.clock, 5, 2) < '60'
+          AND {_CLOCK_MICROS.format(x="s.shift")} < {DAY_MICROS}L
+        THEN CASE WHEN contains(s.day, 'W') THEN {_WEEK_DAY.format(x="s.day")}
+            ELSE {_CALENDAR_DAY.format(x="s.day")} END * {DAY_MICROS}L
+          + {_CLOCK_MICROS.format(x="s.clock")} - s.sign * {_CLOCK_MICROS.format(x="s.shift")} END)[0]
+END"""
+
+
+def text_micros(name: str) -> Column:
+    """Event time of a text column.
+
+    Ten characters are a date; anything else is ISO 8601, zone-free text being
+    UTC. Text that is neither gives null.
     """
-    date_only = F.when(
-        value.rlike(DATE_SHAPE) & (value >= "0001"),
-        F.unix_date(value.try_cast("date")).cast("bigint") * DAY_MICROS,
-    )
-    usual = F.unix_micros(
-        F.concat(F.translate(value, " ", "T"), F.lit("Z")).try_cast("timestamp")
-    )
-    return (
-        F.when(F.length(value) == 10, date_only)
-        .when(value.rlike(USUAL_SHAPE) & (value >= "0001"), usual)
-        .otherwise(_iso_micros(value))
-    )
+    return F.expr(_TEXT_MICROS.replace("{v}", quoted(name)))
 
 
 def native_micros(value: Column, data_type: T.DataType) -> Column:
@@ -107,12 +92,12 @@ def is_native(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
-def latest(value: Column, data_type: T.DataType) -> Column:
+def latest(name: str, data_type: T.DataType) -> Column:
     """Aggregate for the latest event time; `latest_micros` turns it into microseconds."""
     if is_native(data_type):
-        return F.max(value)
+        return F.max(column(name))
     if is_text(data_type):
-        return F.max(text_micros(value))
+        return F.max(text_micros(name))
     return F.max(F.lit(None).cast("bigint"))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pactline.functions.text import quoted
+
 Validator = Callable[[Column], Column]
 
 # Characters with a Unicode digit value outside category Nd.
@@ -87,20 +89,21 @@ def is_text(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.StringType, T.CharType, T.VarcharType))
 
 
-def is_missing(column: Column, data_type: T.DataType) -> Column:
+def is_missing(name: str, data_type: T.DataType) -> Column:
     """Null, or the empty text."""
-    return column.isNull() | (column == "") if is_text(data_type) else column.isNull()
+    value = quoted(name)
+    return F.expr(f"{value} IS NULL OR {value} = ''" if is_text(data_type) else f"{value} IS NULL")
 
 
 def is_violation(
-    column: Column, data_type: T.DataType, contract_type: str, rule_set: str = "reference"
+    name: str, data_type: T.DataType, contract_type: str, rule_set: str = "reference"
 ) -> Column | None:
     """A present value that breaks the type; None when the schema rules it out."""
+    value = quoted(name)
     if is_text(data_type):
-        valid = RULE_SETS[rule_set][contract_type](column)
         if contract_type == "string":
             return None
-        return column.isNotNull() & (column != "") & ~valid
+        return F.expr(f"{value} <> ''") & ~RULE_SETS[rule_set][contract_type](F.col(value))
     if isinstance(data_type, TYPED_ACCEPTS.get(contract_type, ())):
         return None
-    return column.isNotNull()
+    return F.expr(f"{value} IS NOT NULL")

@@ -6,6 +6,7 @@ is a single lazy DataFrame with one row per check.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pactline import model
 from pactline.functions import timestamps
-from pactline.functions.text import document, quoted_list, text_array, two_decimals
+from pactline.functions.text import document, quoted_list, two_decimals
 from pactline.functions.validators import is_known
 from pactline.operators.measures import checked_columns, duplicate_rows, measure
 from pactline.sources.contracts import Contract
@@ -78,8 +79,8 @@ def _readability(source: Resolved) -> Column:
         return _unreadable(
             kind,
             source.error,
-            document(parseable=F.lit(True)),
-            document(parseable=F.lit(False), error=F.lit(source.error)),
+            document(parseable=True),
+            document(parseable=False, error=source.error),
             f"Source not readable: {source.error}",
         )
     rows = F.col("row_count")
@@ -88,11 +89,11 @@ def _readability(source: Resolved) -> Column:
     return _verdict(
         kind,
         empty,
-        F.when(empty, document(row_count=F.lit("> 0"))).otherwise(
-            document(parseable=F.lit(True), row_count=F.lit("> 0"))
+        F.when(empty, document(row_count="> 0")).otherwise(
+            document(parseable=True, row_count="> 0")
         ),
-        F.when(empty, document(row_count=F.lit(0))).otherwise(
-            document(parseable=F.lit(True), row_count=rows, columns=width)
+        F.when(empty, document(row_count=0)).otherwise(
+            document(parseable=True, row_count=rows, columns=source.column_count)
         ),
         F.when(empty, "Source has 0 rows").otherwise(
             F.format_string("Source readable: %d rows, %d columns", rows, width)
@@ -109,6 +110,11 @@ def _at_row(first: Column) -> Column:
     return F.when(row.isNull(), "").otherwise(F.format_string(" at row %d", row))
 
 
+def _named(texts: list[str], first: Column) -> Column:
+    """The text that belongs to the violating column."""
+    return F.get(F.from_json(F.lit(json.dumps(texts)), "array<string>"), first["position"])
+
+
 def observed_columns(source: Resolved, contract: Contract) -> list[str]:
     """Columns of the data; partition folders count when the contract names them."""
     named = set(contract.column_names)
@@ -124,15 +130,13 @@ def _schema(
     samples: bool = True,
 ) -> Column:
     expected_names = sorted(contract.column_names)
-    expected = document(
-        columns=text_array(expected_names), column_count=F.lit(len(expected_names))
-    )
+    expected = document(columns=expected_names, column_count=len(expected_names))
     if not source.readable:
         return _unreadable(
             check_type,
             source.error,
             expected,
-            document(columns=text_array([]), column_count=F.lit(0), error=F.lit(source.error)),
+            document(columns=[], column_count=0, error=source.error),
             f"Cannot read source for schema check: {source.error}",
         )
 
@@ -145,18 +149,19 @@ def _schema(
     nulls, types = stat("null_violations"), stat("type_violations")
     failed = F.lit(bool(missing or unexpected)) | (nulls > 0) | (types > 0)
 
-    names = text_array([c.rule.name for c in checked_columns(source.frame, contract, rule_set)])
-    wanted = text_array([c.rule.type for c in checked_columns(source.frame, contract, rule_set)])
+    checked = checked_columns(source.frame, contract, rule_set)
     null_case = type_case = F.lit("")
     if samples:
         null, bad = stat("first_null"), stat("first_type")
         null_case = F.concat(
-            F.lit(": Null in non-nullable column '"), F.get(names, null["position"]), F.lit("'"), _at_row(null)
+            _named([f": Null in non-nullable column '{c.rule.name}'" for c in checked], null), _at_row(null)
         )
         type_case = F.concat(
-            F.lit(": Type mismatch in '"), F.get(names, bad["position"]), F.lit("'"), _at_row(bad),
-            F.lit(": expected "), F.get(wanted, bad["position"]),
-            F.lit(", got '"), F.coalesce(bad["value"], F.lit("")), F.lit("'"),
+            _named([f": Type mismatch in '{c.rule.name}'" for c in checked], bad),
+            _at_row(bad),
+            _named([f": expected {c.rule.type}, got '" for c in checked], bad),
+            F.coalesce(bad["value"], F.lit("")),
+            F.lit("'"),
         )
     problems = F.concat_ws(
         "; ",
@@ -165,13 +170,13 @@ def _schema(
         F.when(nulls > 0, F.concat(F.format_string("Null violations (%d)", nulls), null_case)),
         F.when(types > 0, F.concat(F.format_string("Type violations (%d)", types), type_case)),
     )
-    shape = {"columns": text_array(observed_names), "column_count": F.lit(len(observed_names))}
+    shape = {"columns": observed_names, "column_count": len(observed_names)}
     unchecked = sorted(
         r.name for r in contract.columns
         if r.name in observed_names and not is_known(r.type, rule_set)
     )
     if unchecked:
-        shape["unchecked_columns"] = text_array(unchecked)
+        shape["unchecked_columns"] = unchecked
     kinds = [bool(missing), bool(unexpected)]
     single = (
         F.when(F.lit(kinds == [True, False]) & (nulls == 0) & (types == 0), "schema_missing_columns")
@@ -184,7 +189,7 @@ def _schema(
         failed,
         expected,
         F.when(
-            failed, document(**shape, missing=text_array(missing), unexpected=text_array(unexpected))
+            failed, document(**shape, missing=missing, unexpected=unexpected)
         ).otherwise(document(**shape)),
         F.when(failed, problems).otherwise(
             F.lit(f"Schema matches: {len(observed_names)} columns as expected")
@@ -200,14 +205,13 @@ def _row_count(source: Resolved, contract: Contract, target: Resolved | None) ->
     kind = model.ROW_COUNT
     low, high = contract.min_row_count, contract.max_row_count
     high_text = "inf" if high is None else str(high)
-    high_value = F.lit(high).cast("bigint")
     keys = list(contract.unique_keys)
     if not source.readable:
         return _unreadable(
             kind,
             source.error,
-            document(min_row_count=F.lit(low), max_row_count=high_value),
-            document(source_row_count=F.lit(0), error=F.lit(source.error)),
+            document(min_row_count=low, max_row_count=high),
+            document(source_row_count=0, error=source.error),
             f"Cannot read source for row count: {source.error}",
         )
     rows = F.col("row_count")
@@ -264,7 +268,7 @@ def _row_count(source: Resolved, contract: Contract, target: Resolved | None) ->
     return _verdict(
         kind,
         failed,
-        document(min_row_count=F.lit(low), max_row_count=high_value, unique_keys=text_array(keys)),
+        document(min_row_count=low, max_row_count=high, unique_keys=keys),
         shown,
         F.when(failed, F.concat_ws("; ", *problems)).otherwise(
             F.concat(F.format_string("Row count %d within range ", rows), F.lit(range_text))
@@ -288,14 +292,13 @@ def difference_pct(source_rows: Column, target_rows: Column) -> Column:
 def _freshness(source: Resolved, contract: Contract, as_of: datetime) -> Column:
     kind = model.FRESHNESS
     limit, stamp = contract.max_age_hours, contract.timestamp_column
-    expected = document(max_age_hours=F.lit(limit), timestamp_column=F.lit(stamp))
-    nothing = _none()
+    expected = document(max_age_hours=limit, timestamp_column=stamp)
     if not source.readable:
         return _unreadable(
             kind,
             source.error,
             expected,
-            document(latest_timestamp=nothing, error=F.lit(source.error)),
+            document(latest_timestamp=None, error=source.error),
             f"Cannot read source for freshness: {source.error}",
         )
     rows, newest = F.col("row_count"), F.col("latest")
@@ -310,8 +313,8 @@ def _freshness(source: Resolved, contract: Contract, as_of: datetime) -> Column:
         kind,
         (rows == 0) | newest.isNull() | stale,
         expected,
-        F.when(rows == 0, document(latest_timestamp=nothing, row_count=F.lit(0)))
-        .when(newest.isNull(), document(latest_timestamp=nothing, parseable_timestamps=F.lit(0)))
+        F.when(rows == 0, document(latest_timestamp=None, row_count=0))
+        .when(newest.isNull(), document(latest_timestamp=None, parseable_timestamps=0))
         .otherwise(
             document(latest_timestamp=timestamps.iso_utc(newest), age_hours=F.round(age, 2))
         ),

@@ -13,17 +13,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pactline.functions import timestamps, validators
+from pactline.functions.text import column, quoted
 from pactline.sources.contracts import ColumnRule, Contract
 from pactline.sources.resolve import Resolved
 
 
-def column(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 @dataclass(frozen=True)
 class CheckedColumn:
     rule: ColumnRule
@@ -43,50 +39,38 @@ def checked_columns(
     for rule in sorted(contract.columns, key=lambda r: r.name):
         if rule.name not in fields or not validators.is_known(rule.type, rule_set):
             continue
-        value, kind = column(rule.name), fields[rule.name]
+        kind = fields[rule.name]
         found.append(
             CheckedColumn(
                 rule,
-                None if rule.nullable else validators.is_missing(value, kind),
-                validators.is_violation(value, kind, rule.type, rule_set),
+                None if rule.nullable else validators.is_missing(rule.name, kind),
+                validators.is_violation(rule.name, kind, rule.type, rule_set),
             )
         )
     return found
 
 
-def _hits(conditions: Sequence[Column]) -> Column:
+def _hits(flags: Sequence[str]) -> str:
     """Number of violations in the dataset."""
-    if not conditions:
-        return F.lit(0).cast("bigint")
-    per_row = F.lit(0)
-    for condition in conditions:
-        per_row = per_row + F.when(condition, 1).otherwise(0)
-    return F.coalesce(F.sum(per_row), F.lit(0))
+    if not flags:
+        return "0L"
+    per_row = " + ".join(f"CASE WHEN {f} THEN 1 ELSE 0 END" for f in flags)
+    return f"coalesce(sum({per_row}), 0L)"
 
 
-def _first(hits: Sequence[tuple[int, Column, Column]]) -> Column:
+def _first(hits: Sequence[tuple[int, str, str]]) -> str:
     """First violation: lowest column, then lowest row, then lowest value.
 
     Taking the lowest violating column of each row is enough, since no row has
     a violation below the lowest column of the whole dataset.
     """
     if not hits:
-        return F.lit(None).cast("struct<position: int, row: bigint, value: string>")
-    return F.min(
-        F.coalesce(
-            *[
-                F.when(
-                    condition,
-                    F.struct(
-                        F.lit(position).alias("position"),
-                        F.col("__row").alias("row"),
-                        value.cast("string").alias("value"),
-                    ),
-                )
-                for position, condition, value in hits
-            ]
-        )
+        return "CAST(NULL AS struct<position: int, row: bigint, value: string>)"
+    cases = ", ".join(
+        f"CASE WHEN {flag} THEN named_struct('position', {i}, 'row', __row, 'value', string({quoted(name)})) END"
+        for i, flag, name in hits
     )
+    return f"min(coalesce({cases}))"
 
 
 def measure(
@@ -105,34 +89,40 @@ def measure(
     """
     frame = source.frame
     checked = checked_columns(frame, contract, rule_set) if schema else []
-    nulls = [(i, c.missing, column(c.rule.name)) for i, c in enumerate(checked) if c.missing is not None]
-    types = [(i, c.violation, column(c.rule.name)) for i, c in enumerate(checked) if c.violation is not None]
+    nulls = [(i, f"__null{i}", c.rule.name) for i, c in enumerate(checked) if c.missing is not None]
+    types = [(i, f"__type{i}", c.rule.name) for i, c in enumerate(checked) if c.violation is not None]
+    # The rules are columns of their own, so each is evaluated once for the
+    # count and for the first case.
+    flags = [checked[i].missing.alias(flag) for i, flag, _ in nulls]
+    flags += [checked[i].violation.alias(flag) for i, flag, _ in types]
 
     kinds = {f.name: f.dataType for f in frame.schema.fields}
     stamp = contract.timestamp_column
-    kind = kinds.get(stamp, T.NullType()) if freshness else T.NullType()
+    timed = freshness and stamp in kinds
 
-    needed = {c.rule.name for c in checked if c.missing is not None or c.violation is not None}
-    if stamp in kinds and freshness:
-        needed.add(stamp)
+    needed = {name for _, _, name in nulls + types} if samples else set()
     needed.update(by)
-    row = source.row_number if source.row_number is not None and samples else F.lit(None)
-    rows = frame.select(row.cast("bigint").alias("__row"), *[column(n) for n in sorted(needed)])
+    if timed:
+        needed.add(stamp)
+    if samples:
+        row = source.row_number if source.row_number is not None else F.lit(None)
+        flags.append(row.cast("bigint").alias("__row"))
+    rows = frame.select(*flags, *[column(n) for n in sorted(needed)])
 
     aggregates = [
-        F.count(F.lit(1)).alias("row_count"),
-        _hits([c for _, c, _ in nulls]).alias("null_violations"),
-        _hits([c for _, c, _ in types]).alias("type_violations"),
+        "count(1) AS row_count",
+        f"{_hits([flag for _, flag, _ in nulls])} AS null_violations",
+        f"{_hits([flag for _, flag, _ in types])} AS type_violations",
     ]
     if samples:
-        aggregates += [_first(nulls).alias("first_null"), _first(types).alias("first_type")]
-    if stamp in kinds and freshness:
-        aggregates.append(timestamps.latest(column(stamp), kind).alias("latest"))
+        aggregates += [f"{_first(nulls)} AS first_null", f"{_first(types)} AS first_type"]
+    computed = [F.expr(text) for text in aggregates]
+    if timed:
+        computed.append(timestamps.latest(stamp, kinds[stamp]).alias("latest"))
     grouped = rows.groupBy(*[column(k) for k in by]) if by else rows
-    result = grouped.agg(*aggregates)
-    if stamp in kinds and freshness:
-        return result.withColumn("latest", timestamps.latest_micros(F.col("latest"), kind))
-    return result.withColumn("latest", F.lit(None).cast("bigint"))
+    result = grouped.agg(*computed)
+    latest = timestamps.latest_micros(F.col("latest"), kinds[stamp]) if timed else F.lit(None).cast("bigint")
+    return result.withColumn("latest", latest)
 
 
 def key_columns(frame: DataFrame, keys: Sequence[str]) -> list[Column]:
@@ -199,7 +189,7 @@ def latest_by_key(frame: DataFrame, key: str, timestamp_column: str) -> DataFram
         frame.groupBy(column(key))
         .agg(
             F.count(F.lit(1)).alias("row_count"),
-            timestamps.latest(column(timestamp_column), kind).alias("latest"),
+            timestamps.latest(timestamp_column, kind).alias("latest"),
         )
         .withColumn("latest", timestamps.latest_micros(F.col("latest"), kind))
     )

@@ -13,10 +13,20 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
+# Can only be set before the session is there. Recording the call site of every
+# expression takes most of the planning time.
+AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
+def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
+    """Add the recommended settings to a session that is about to be made."""
+    for key, value in {**RECOMMENDED, **AT_START}.items():
+        builder = builder.config(key, value)
+    return builder
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the settings the jobs are written for; sizes stay the cluster's."""
+    """Apply the settings to a session that exists; sizes stay the cluster's."""
     for key, value in RECOMMENDED.items():
         spark.conf.set(key, value)
     return spark

@@ -29,7 +29,7 @@ def expected(text):
 
 def micros(spark, values):
     frame = spark.createDataFrame(list(enumerate(values)), "i int, v string")
-    return [r[0] for r in frame.orderBy("i").select(timestamps.text_micros(F.col("v"))).collect()]
+    return [r[0] for r in frame.orderBy("i").select(timestamps.text_micros("v")).collect()]
 
 
 VALUES = [
@@ -113,7 +113,7 @@ def test_moments_from_python():
 def test_native_latest_is_taken_before_conversion(spark):
     frame = spark.createDataFrame([(date(2026, 1, 1),), (None,), (date(2026, 3, 1),)], "d date")
     kind = frame.schema["d"].dataType
-    row = frame.agg(timestamps.latest(F.col("d"), kind).alias("m")).select(
+    row = frame.agg(timestamps.latest("d", kind).alias("m")).select(
         timestamps.latest_micros(F.col("m"), kind)
     )
     assert row.first()[0] == expected("2026-03-01")
