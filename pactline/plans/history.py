@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pactline import model
 from pactline.functions.timestamps import micros_between
+from pactline.plans.registry import newest_rows
 from pactline.plans.runs import health_summary
 
 NEWEST = ["started_at", "seq"]
@@ -21,15 +22,11 @@ def page_size(limit: int) -> int:
 def latest_runs(runs: DataFrame, by: str = "started_at") -> DataFrame:
     """The latest run of every pipeline, by start time or by registration order.
 
-    Maxima are taken before the shuffle, so a busy pipeline is no hot spot.
+    Maxima are taken before the shuffle: one row per pipeline and task is sent,
+    not the runs, and a busy pipeline is no hot spot.
     """
-    if by == "seq":
-        newest = runs.groupBy("pipeline").agg(F.max("seq").alias("seq"))
-        return runs.join(newest, ["pipeline", "seq"], "left_semi")
-    rest = [c for c in runs.columns if c != "pipeline"]
-    newest = F.max_by(F.struct(*rest), F.struct(*NEWEST)).alias("newest")
-    found = runs.groupBy("pipeline").agg(newest)
-    return found.select(*[F.col(c) if c == "pipeline" else F.col(f"newest.{c}").alias(c) for c in runs.columns])
+    order = ["seq", "run_id"] if by == "seq" else [*NEWEST, "run_id"]
+    return newest_rows(runs, ["pipeline"], order)
 
 
 def _newest_first(names: Sequence[str]) -> list[Column]:

@@ -22,6 +22,13 @@ def first_written(rows: DataFrame, keys: Sequence[str], order: str = "seq") -> D
     return first.select(*[F.col(c) if c in keys else F.col(f"first.{c}").alias(c) for c in rows.columns])
 
 
+def newest_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The row of every key that comes last in the given order."""
+    rest = [c for c in rows.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("newest"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"newest.{c}").alias(c) for c in rows.columns])
+
+
 def to_create(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Incoming rows whose key is not there yet, one per key."""
     fresh = incoming.join(existing.select(*keys), list(keys), "left_anti")
@@ -52,9 +59,7 @@ def first_datasets(datasets: DataFrame) -> DataFrame:
 
 def latest_contracts(contracts: DataFrame) -> DataFrame:
     """The highest version of every dataset's contract."""
-    keys = ["pipeline", "dataset"]
-    newest = contracts.groupBy(*keys).agg(F.max("version").alias("version"))
-    return contracts.join(newest, [*keys, "version"], "left_semi")
+    return newest_rows(contracts, ["pipeline", "dataset"], ["version"])
 
 
 def contract_by_version(contracts: DataFrame, pipeline: str, dataset: str, version: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactline import model
+from pactline.plans.registry import newest_rows
 
 
 def _failed() -> Column:
@@ -65,40 +66,37 @@ def finalize_runs(checks: DataFrame, keys: Sequence[str] = model.RUN_KEY) -> Dat
     """Status, failure reason, row counts and first error category of every run.
 
     One slot per check type: nothing is collected, and a result that was
-    written twice by a retry counts once.
+    written twice by a retry counts once. Statuses and counts of all results
+    are folded in fixed-width buffers; texts are looked at for failures only.
     """
-    reasons = [
-        F.min(
-            F.when(_of(t) & _failed(), F.coalesce("message", F.lit(f"{t} failed")))
-        ).alias(f"reason_{i}")
-        for i, t in enumerate(model.CHECK_ORDER)
-    ]
-    categories = [
-        F.min(F.when(_of(t) & _failed(), F.col("error_category"))).alias(f"category_{i}")
-        for i, t in enumerate(model.CHECK_ORDER)
-    ]
+    keys = list(keys)
+    slots = range(len(model.CHECK_ORDER))
 
     def counted(side: str) -> Column:
         value = F.get_json_object("observed", f"$.{side}").try_cast("bigint")
         return F.max(F.when(_of(model.ROW_COUNT), value)).alias(side)
 
-    slots = range(len(model.CHECK_ORDER))
-    return (
-        checks.groupBy(*keys)
-        .agg(
-            *_per_type(), *reasons, *categories, counted("source_row_count"), counted("target_row_count")
-        )
+    totals = checks.groupBy(*keys).agg(
+        *_per_type(), counted("source_row_count"), counted("target_row_count")
+    )
+    texts = []
+    for i, check_type in enumerate(model.CHECK_ORDER):
+        message = F.coalesce("message", F.lit(f"{check_type} failed"))
+        texts.append(F.min(F.when(_of(check_type), message)).alias(f"reason_{i}"))
+        texts.append(F.min(F.when(_of(check_type), F.col("error_category"))).alias(f"category_{i}"))
+    failures = (
+        checks.where(_failed())
+        .groupBy(*keys)
+        .agg(*texts)
         .select(
             *keys,
-            _status().alias("status"),
-            F.when(_failures() > 0, F.concat_ws("; ", *[f"reason_{i}" for i in slots])).alias(
-                "failure_reason"
-            ),
-            "source_row_count",
-            "target_row_count",
+            F.concat_ws("; ", *[f"reason_{i}" for i in slots]).alias("failure_reason"),
             F.coalesce(*[f"category_{i}" for i in slots]).alias("error_category"),
         )
     )
+    return totals.join(failures, keys, "left").select(
+        *keys, _status().alias("status"), "failure_reason", "source_row_count", "target_row_count", "error_category"
+    )
 
 
 def derive_incidents(runs: DataFrame, pipelines: DataFrame) -> DataFrame:
@@ -175,15 +173,9 @@ def health_summary(runs: DataFrame, checks: DataFrame, incidents: DataFrame) ->
 
 def current_runs(events: DataFrame) -> DataFrame:
     """Latest event of every run."""
-    return _latest(events, model.RUN_KEY, "event_no")
+    return newest_rows(events, model.RUN_KEY, ["event_no", "ended_at"])
 
 
 def current_incidents(events: DataFrame) -> DataFrame:
     """Latest event of every incident."""
-    return _latest(events, [*model.RUN_KEY, "incident_type"], "event_no")
-
-
-def _latest(events: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    rest = [c for c in events.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order]))
-    return events.groupBy(*keys).agg(newest.alias("newest")).select(*keys, "newest.*")
+    return newest_rows(events, [*model.RUN_KEY, "incident_type"], ["event_no", "first_observed_at"])

@@ -42,8 +42,9 @@ def settle(frame: DataFrame) -> DataFrame:
 
 def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder that the cluster names in spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="pactline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # No shared folder is named: one machine, as in tests.
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pactline-"))
+        root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/pactline/{label}-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
@@ -142,47 +143,44 @@ def _listing(spark: SparkSession, path: str) -> DataFrame:
 
 def _from_file(spark: SparkSession, ref: SourceRef, path: str, multi_line: bool | None) -> Resolved:
     empty = "S3 object is empty" if ref.kind == S3 else "File is empty"
-    try:
-        listing = _listing(spark, path)
-        listed = listing.agg(
-            F.count(F.lit(1)).alias("files"), F.max("length").alias("largest"), F.max("path").alias("path")
-        ).first()
-        if listed["files"] == 0 and [p for p in listing.inputFiles() if _same_path(p, path)]:
-            return Resolved(ref.uri, error=empty)
-    except AnalysisException as exc:
-        if exc.getCondition() == "PATH_NOT_FOUND":
-            return Resolved(ref.uri, error=f"File not found: {ref.path}")
-        return Resolved(ref.uri, error=f"Failed to read file: {_reason(exc)}")
-    except READ_ERRORS as exc:
-        return Resolved(ref.uri, error=f"Failed to read file: {_reason(exc)}")
-
     parquet = path.rstrip("/").endswith(".parquet")
-    one_file = listed["files"] == 1 and _same_path(listed["path"], path)
-    if not one_file and not parquet:
-        return Resolved(ref.uri, error=f"Not a file: {ref.path}")
     try:
+        frame = spark.read.parquet(path) if parquet else _read_text(spark, path, multi_line is not False)
+        # One row tells whether there are any, and which file they come from.
+        peek = frame.select("_metadata.file_path", "_metadata.file_size").first() if frame.columns else None
+        files = [peek["file_path"]] if peek else frame.inputFiles()
+        one_file = len(files) == 1 and _same_path(files[0], path)
+        if not one_file and not parquet:
+            return Resolved(ref.uri, error=f"Not a file: {ref.path}")
+        if peek is None:
+            return Resolved(ref.uri, error=empty)
         if parquet:
-            frame = spark.read.parquet(path)
             # The position inside the file is only a row number of the dataset
             # when there is one file.
             row_number = F.col("_metadata.row_index") + 1 if one_file else None
         else:
-            whole, splittable = _text_mode(spark, path, listed["largest"], multi_line)
-            frame = _read_text(spark, path, whole)
+            whole, splittable = _text_mode(spark, path, peek["file_size"], multi_line)
+            if not whole:
+                frame = _read_text(spark, path, False)
             row_number = None if splittable else F.monotonically_increasing_id() + 1
-        if not frame.columns or frame.isEmpty():
-            return Resolved(ref.uri, error=empty)
     except READ_ERRORS as exc:
+        if _condition(exc) == "PATH_NOT_FOUND":
+            return Resolved(ref.uri, error=f"File not found: {ref.path}")
         return Resolved(ref.uri, error=f"Failed to read file: {_reason(exc)}")
     return Resolved(ref.uri, frame, tuple(frame.columns), (), row_number)
 
 
+def _condition(exc: Exception) -> str | None:
+    return exc.getCondition() if isinstance(exc, AnalysisException) else None
+
+
 def _same_path(listed: str, path: str) -> bool:
+    """Whether a listed file is the path itself and not something below it."""
+
     def bare(p: str) -> str:
         return "/" + re.sub(r"^[a-z0-9]+:/+", "", p).lstrip("/")
 
-    # A single file in a directory is listed below the directory's own path.
-    return bare(listed).endswith(bare(path).rstrip("/")) if path else False
+    return bare(unquote(listed)).endswith(bare(path).rstrip("/"))
 
 
 def _read_text(spark: SparkSession, path: str, multi_line: bool, base: str | None = None) -> DataFrame:
@@ -242,11 +240,9 @@ def _from_partitions(
             )
         if frame.isEmpty():
             return Resolved(ref.uri, error="Partitioned dataset is empty")
-    except AnalysisException as exc:
-        if exc.getCondition() == "PATH_NOT_FOUND":
-            return Resolved(ref.uri, error=f"File not found: {ref.path}")
-        return Resolved(ref.uri, error=f"Failed to read partitions: {_reason(exc)}")
     except READ_ERRORS as exc:
+        if _condition(exc) == "PATH_NOT_FOUND":
+            return Resolved(ref.uri, error=f"File not found: {ref.path}")
         return Resolved(ref.uri, error=f"Failed to read partitions: {_reason(exc)}")
     data = tuple(c for c in frame.columns if c in flat.columns)
     keys = tuple(c for c in frame.columns if c not in flat.columns)

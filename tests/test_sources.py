@@ -81,6 +81,13 @@ def test_missing_empty_and_folder(spark, tmp_path):
     assert resolve(spark, str(tmp_path / "folder")).error.startswith("Not a file")
 
 
+def test_odd_file_names(spark, tmp_path):
+    path = tmp_path / "a b%20c.csv"
+    path.write_text("id\n1\n")
+    found = resolve(spark, str(path))
+    assert found.error is None and found.row_number is not None and found.frame.count() == 1
+
+
 def test_object_store(spark, tmp_path):
     os.makedirs(tmp_path / "bucket" / "raw")
     (tmp_path / "bucket" / "raw" / "orders.csv").write_text("id,amount\n1,2.5\n")
