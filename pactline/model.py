@@ -48,6 +48,27 @@ INCIDENT_RULES = {
     LATE: ("late_arrival", "high"),
 }
 
+# Every error category a check result or a rejection can carry.
+ERROR_CATEGORIES = (
+    "source_not_found",
+    "source_not_readable",
+    "source_timeout",
+    "schema_mismatch",
+    "schema_missing_columns",
+    "schema_unexpected_columns",
+    "schema_type_violation",
+    "row_count_out_of_range",
+    "duplicate_keys",
+    "freshness_exceeded",
+    "database_error",
+    "network_error",
+    "authentication_error",
+    "timeout",
+    "duplicate_run",
+    "concurrent_limit_exceeded",
+    "unknown",
+)
+
 # Table shapes. Timestamps are zone-free UTC, documents are JSON text.
 PIPELINES = "name string, owner string, enabled boolean, seq bigint"
 DATASETS = "pipeline string, name string, role string, location string, seq bigint"

@@ -131,6 +131,14 @@ def validate(
             ),
         )
     )
+    unresolved = F.coalesce("source_error", "target_error")
+    category = (
+        F.when(F.lower(unresolved).contains("not found"), "source_not_found")
+        .when(unresolved.isNotNull(), "source_not_readable")
+        .when(F.col("known").isNotNull() & F.col("stored"), "duplicate_run")
+        .when(reason.startswith("Concurrent run limit"), "concurrent_limit_exceeded")
+        .when(reason.isNotNull(), "unknown")
+    )
     return joined.select(
         "pipeline",
         "run_id",
@@ -138,4 +146,5 @@ def validate(
         F.coalesce("stored", F.lit(False)).alias("stored"),
         F.coalesce("contract_version", "newest_version").alias("effective_version"),
         reason.alias("reject_reason"),
+        category.alias("error_category"),
     )

@@ -28,34 +28,48 @@ def stream_rows(
     return reader.options(**options).load(path)
 
 
-def _count_into(rows: DataFrame, out: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+def _write_count(rows: DataFrame, epoch: int, out: str) -> None:
+    rows.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
 
+def count_rows(rows: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Count rows per trigger; runs over what is there and ends, unless told otherwise."""
     return (
-        rows.writeStream.foreachBatch(write)
+        rows.writeStream.foreachBatch(lambda batch, epoch: _write_count(batch, epoch, out))
         .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def count_rows(rows: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Count rows per trigger; runs over what is there and ends, unless told otherwise."""
-    return _count_into(rows, out, checkpoint, trigger or {"availableNow": True})
-
-
 def count_distinct_keys(
     rows: DataFrame, keys: Sequence[str], out: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
     """Count keys the first time they are seen.
 
-    The state holds each key once, spread over the shuffle partitions. Null
-    keys equal each other.
+    The state holds each key once, spread over the shuffle partitions, with the
+    times of the first and the last trigger it came in. A key is new while the
+    two are the same. As an aggregation it is reduced before the shuffle, so a
+    key that fills a trigger arrives as one row per task. Null keys equal each
+    other.
     """
     names = [f"__key{i}" for i in range(len(keys))]
-    fresh = rows.select(*key_columns(rows, keys)).dropDuplicates(names)
-    return _count_into(fresh, out, checkpoint, trigger or {"availableNow": True})
+    seen = (
+        rows.select(*key_columns(rows, keys), F.current_timestamp().alias("__seen"))
+        .groupBy(*names)
+        .agg(F.min("__seen").alias("first_seen"), F.max("__seen").alias("last_seen"))
+    )
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        _write_count(batch.where("first_seen = last_seen"), epoch, out)
+
+    return (
+        seen.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
 
 
 def row_total(spark: SparkSession, out: str) -> DataFrame:

@@ -32,6 +32,16 @@ def test_counts_follow_arrivals(spark, tmp_path):
     assert duplicate_rows(whole, ["id", "site"]).first()["duplicates"] == 4
 
 
+def test_hot_key_is_reduced_before_the_shuffle(spark, tmp_path):
+    write(spark, tmp_path / "in", [("1", "a")] * 3000 + [(str(i), "b") for i in range(6000)])
+    assert pump(spark, tmp_path, tmp_path / "in") == (9000, 2999)
+    rows = stream_rows(spark, str(tmp_path / "in"), SHAPE)
+    query = count_distinct_keys(rows, ["id"], f"{tmp_path}/k", f"{tmp_path}/c3")
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert "partial_min" in plan.split("Exchange")[-1]
+
+
 def test_restart_without_arrivals_changes_nothing(spark, tmp_path):
     path = tmp_path / "in"
     write(spark, path, [("1", "a"), ("1", "a")])

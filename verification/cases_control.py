@@ -189,6 +189,11 @@ def run_admission(spark, d):
   FROM orders JOIN customer ON o_custkey = c_custkey),
 newest AS (SELECT pipeline, max(version) AS v FROM contracts GROUP BY 1),
 busy AS (SELECT pipeline, count(*) AS n FROM runs WHERE status = 'running' GROUP BY 1)
+SELECT *, CASE WHEN reject_reason LIKE '%File not found%' THEN 'source_not_found'
+    WHEN reject_reason LIKE '%File is empty' THEN 'source_not_readable'
+    WHEN reject_reason LIKE 'Pipeline%' THEN 'unknown' WHEN stored THEN 'duplicate_run'
+    WHEN reject_reason LIKE 'Concurrent%' THEN 'concurrent_limit_exceeded'
+    WHEN reject_reason IS NOT NULL THEN 'unknown' END AS error_category FROM (
 SELECT s.pipeline, s.run_id, s.dataset, s.o_orderdate < TIMESTAMP '1996-01-01' AS stored,
   coalesce(s.contract_version, CASE WHEN s.dataset = 'orders' THEN v END) AS effective_version,
   CASE WHEN source_error IS NOT NULL THEN 'Cannot resolve source: ' || source_error
@@ -207,7 +212,7 @@ LEFT JOIN (SELECT * FROM pipelines WHERE enabled) p ON p.name = s.pipeline
 LEFT JOIN datasets x ON x.pipeline = s.pipeline AND x.name = s.dataset
 LEFT JOIN newest n ON n.pipeline = s.pipeline
 LEFT JOIN contracts c ON c.pipeline = s.pipeline AND c.dataset = s.dataset AND c.version = s.contract_version
-LEFT JOIN busy b ON b.pipeline = s.pipeline""",
+LEFT JOIN busy b ON b.pipeline = s.pipeline)""",
         "pipelines",
         "runs",
         "contracts",
