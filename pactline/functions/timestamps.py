@@ -16,7 +16,10 @@ HOUR_MICROS = 3_600_000_000
 
 # The shapes of ISO 8601 text that count as an event time.
 DATE_SHAPE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
-USUAL_SHAPE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?\z"
+USUAL_SHAPE = (
+    r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?"
+    r"(?:Z|[+-](?:0[0-9]|1[0-7]):[0-5][0-9])?\z"
+)
 _DAY = r"([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8}|[0-9]{4}-W[0-9]{2}(?:-[0-9])?|[0-9]{4}W[0-9]{2}[0-9]?)"
 _CLOCK = (
     r"([0-9]{2}(?::[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?)?"
@@ -28,7 +31,6 @@ _OFFSET = (
 )
 ISO_SHAPE = rf"(?s)\A{_DAY}(?:.{_CLOCK}{_OFFSET})?\z"
 
-
 # SQL templates over the digits of each part. Digits are padded with zeros on
 # the right, so parts that were left out read as zero.
 _CLOCK_MICROS = """(((int(substr({x}, 1, 2)) * 60 + int(substr({x}, 3, 2))) * 60
@@ -48,7 +50,8 @@ _TEXT_MICROS = f"""CASE
     CASE WHEN {{v}} RLIKE r'{DATE_SHAPE}' AND {{v}} >= '0001'
       THEN unix_date(try_cast({{v}} AS DATE)) * {DAY_MICROS}L END
   WHEN {{v}} RLIKE r'{USUAL_SHAPE}' AND {{v}} >= '0001' THEN
-    unix_micros(try_cast(concat(translate({{v}}, ' ', 'T'), 'Z') AS TIMESTAMP))
+    unix_micros(try_cast(concat(translate({{v}}, ' ', 'T'),
+      CASE WHEN endswith({{v}}, 'Z') OR substr({{v}}, -6, 1) IN ('+', '-') THEN '' ELSE 'Z' END) AS TIMESTAMP))
   WHEN {{v}} RLIKE r'{ISO_SHAPE}' AND {{v}} >= '0001' THEN
     transform(
       transform(
