@@ -65,9 +65,10 @@ def _first(hits: Sequence[tuple[int, str, str]]) -> str:
     a violation below the lowest column of the whole dataset.
     """
     if not hits:
-        return "CAST(NULL AS struct<position: int, row: bigint, value: string>)"
+        return "CAST(NULL AS struct<position: int, block: bigint, row: bigint, value: string>)"
     cases = ", ".join(
-        f"CASE WHEN {flag} THEN named_struct('position', {i}, 'row', __row, 'value', string({quoted(name)})) END"
+        f"""CASE WHEN {flag} THEN named_struct(
+          'position', {i}, 'block', __block, 'row', __row, 'value', string({quoted(name)})) END"""
         for i, flag, name in hits
     )
     return f"min(coalesce({cases}))"
@@ -105,8 +106,7 @@ def measure(
     if timed:
         needed.add(stamp)
     if samples:
-        row = source.row_number if source.row_number is not None else F.lit(None)
-        flags.append(row.cast("bigint").alias("__row"))
+        flags += _place(source)
     rows = frame.select(*flags, *[column(n) for n in sorted(needed)])
 
     aggregates = [
@@ -122,7 +122,45 @@ def measure(
     grouped = rows.groupBy(*[column(k) for k in by]) if by else rows
     result = grouped.agg(*computed)
     latest = timestamps.latest_micros(F.col("latest"), kinds[stamp]) if timed else F.lit(None).cast("bigint")
-    return result.withColumn("latest", latest)
+    result = result.withColumn("latest", latest)
+    return _numbered(result, source) if samples and source.in_blocks else result
+
+
+def _place(source: Resolved) -> list[Column]:
+    """Where a row stands: its number, or its block and an id that grows with the rows."""
+    block, row = F.lit(None), F.lit(None)
+    if source.in_blocks:
+        block, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    elif source.row_number is not None:
+        row = source.row_number
+    return [block.cast("bigint").alias("__block"), row.cast("bigint").alias("__row")]
+
+
+def _numbered(measures: DataFrame, source: Resolved) -> DataFrame:
+    """Turn the places of the first violations into row numbers of the file.
+
+    The rows are counted per block; the list has one entry per block of the
+    one file, as many as the scan has splits.
+    """
+    blocks = (
+        source.frame.select(*_place(source))
+        .groupBy("__block")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("base"))
+        .agg(F.collect_list(F.struct("__block", "n", "base")))
+    )
+
+    def number(first: str) -> Column:
+        return F.expr(
+            f"""CASE WHEN {first} IS NOT NULL THEN named_struct(
+              'position', {first}.position, 'block', {first}.block,
+              'row', aggregate(__blocks, {first}.row + 1, (total, b) -> total + CASE
+                WHEN b.__block < {first}.block THEN b.n WHEN b.__block = {first}.block THEN -b.base ELSE 0L END),
+              'value', {first}.value) END"""
+        ).alias(first)
+
+    firsts = ("first_null", "first_type")
+    kept = [c for c in measures.columns if c not in firsts]
+    return measures.select("*", blocks.scalar().alias("__blocks")).select(*kept, *[number(f) for f in firsts])
 
 
 def key_columns(frame: DataFrame, keys: Sequence[str]) -> list[Column]:

@@ -45,6 +45,8 @@ class Resolved:
     columns: tuple[str, ...] = ()
     partition_columns: tuple[str, ...] = ()
     row_number: Column | None = None
+    # One text file cut into blocks: row numbers follow from the blocks' counts.
+    in_blocks: bool = False
     error: str | None = None
 
     @property
@@ -81,9 +83,9 @@ def resolve(
     """Find the dataset behind a location.
 
     ``multi_line`` says whether quoted fields of delimited text may contain
-    line breaks. Left at None it is found out: files no larger than one split
-    lose nothing by it, and for larger ones the lines are searched for an
-    unbalanced quote, so that clean text stays splittable.
+    line breaks. Left at None it is found out: text too small to be worth
+    splitting is read as if it did, and larger text is searched for a line
+    with an unbalanced quote, so that clean text stays splittable.
     """
     ref = parse_uri(uri)
     if ref.kind == TABLE:
@@ -159,10 +161,10 @@ def _from_file(spark: SparkSession, ref: SourceRef, path: str, multi_line: bool
             # when there is one file.
             row_number = F.col("_metadata.row_index") + 1 if one_file else None
         else:
-            whole, splittable = _text_mode(spark, path, peek["file_size"], multi_line)
-            if not whole:
-                frame = _read_text(spark, path, False)
-            row_number = None if splittable else F.monotonically_increasing_id() + 1
+            limit = _bytes(spark, "spark.sql.files.openCostInBytes", "4MB")
+            if not _has_line_breaks(spark, path, peek["file_size"], limit, multi_line):
+                return Resolved(ref.uri, _read_text(spark, path, False), tuple(frame.columns), in_blocks=True)
+            row_number = F.monotonically_increasing_id() + 1
     except READ_ERRORS as exc:
         if _condition(exc) == "PATH_NOT_FOUND":
             return Resolved(ref.uri, error=f"File not found: {ref.path}")
@@ -190,27 +192,25 @@ def _read_text(spark: SparkSession, path: str, multi_line: bool, base: str | Non
     return reader.csv(path)
 
 
-def _split_bytes(spark: SparkSession) -> int:
-    text = spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB")
-    number, unit = re.fullmatch(r"(\d+)\s*([a-zA-Z]*)", text).groups()
+def _bytes(spark: SparkSession, key: str, default: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)\s*([a-zA-Z]*)", spark.conf.get(key, default)).groups()
     scale = {"": 0, "b": 0, "k": 1, "kb": 1, "m": 2, "mb": 2, "g": 3, "gb": 3}[unit.lower()]
     return int(number) * 1024**scale
 
 
-def _text_mode(
-    spark: SparkSession, path: str, largest: int, multi_line: bool | None
-) -> tuple[bool, bool]:
-    """(read with line breaks inside quotes, may a file be cut into splits)."""
+def _has_line_breaks(
+    spark: SparkSession, path: str, largest: int, limit: int, multi_line: bool | None
+) -> bool:
+    """Whether quoted fields go on past the end of a line, or may do so at no cost."""
     if multi_line is not None:
-        return multi_line, not multi_line and largest > _split_bytes(spark)
-    if largest <= _split_bytes(spark):
-        return True, False
+        return multi_line
+    if largest <= limit:
+        return True
     # A record that goes on past the line end leaves an odd number of quotes on
     # the line it starts on.
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    whole = not lines.where(quotes % 2 == 1).isEmpty()
-    return whole, not whole
+    return not lines.where(quotes % 2 == 1).isEmpty()
 
 
 def _from_partitions(
@@ -230,7 +230,9 @@ def _from_partitions(
             flat = spark.read.option("recursiveFileLookup", "true").parquet(path)
         else:
             largest = listing.agg(F.max("length")).first()[0]
-            whole, _ = _text_mode(spark, path, largest, multi_line)
+            # Many files are read side by side; only files above one split matter.
+            limit = _bytes(spark, "spark.sql.files.maxPartitionBytes", "128MB")
+            whole = _has_line_breaks(spark, path, largest, limit, multi_line)
             frame = _read_text(spark, path, whole, head)
             flat = (
                 spark.read.option("header", "true")

@@ -1,5 +1,6 @@
 import os
 import sys
+from contextlib import contextmanager
 from datetime import datetime
 
 import pytest
@@ -90,3 +91,16 @@ def write_csv(tmp_path):
 
 def by_type(frame):
     return {r["check_type"]: r for r in frame.collect()}
+
+
+@contextmanager
+def small_splits(spark):
+    """Cut files of a few kilobytes the way large ones are."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for key in keys:
+        spark.conf.set(key, "1kb")
+    try:
+        yield
+    finally:
+        for key in keys:
+            spark.conf.unset(key)

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, INVENTORY_SCHEMA, by_type, inventory_rows
+from conftest import AS_OF, INVENTORY_SCHEMA, by_type, inventory_rows, small_splits
 from pactline import ColumnRule, Contract, resolve
 from pactline.operators import (
     check_freshness,
@@ -96,6 +96,27 @@ def test_sample_is_first_row_of_first_column(spark, write_csv, inventory):
     assert "(3): Type mismatch in 'reorder_point' at row 4: expected integer, got '-9'" in found["message"]
 
 
+@pytest.mark.parametrize("bad_row", [1, 2, 180, 777, 1999, 2000])
+def test_row_numbers_of_a_file_in_blocks(spark, write_csv, inventory, bad_row):
+    rows = inventory_rows(
+        2000,
+        stock_on_hand=lambda i: "" if i >= bad_row and i % 3 == bad_row % 3 else "1",
+        unit_cost=lambda i: "x" if i >= bad_row else "1.5",
+    )
+    with small_splits(spark):
+        source = resolve(spark, write_csv("a.csv", rows))
+        assert source.in_blocks and source.frame.rdd.getNumPartitions() > 20
+        found = one(check_schema(source, inventory))
+        both = by_type(contract_checks(source, inventory, AS_OF, source, inventory))
+    nulls, types = len(range(bad_row, 2001, 3)), 2001 - bad_row
+    message = (
+        f"Null violations ({nulls}): Null in non-nullable column 'stock_on_hand' at row {bad_row}; "
+        f"Type violations ({types}): Type mismatch in 'unit_cost' at row {bad_row}: expected decimal, got 'x'"
+    )
+    assert found["message"] == message
+    assert both["target_schema_compatibility"]["message"] == both["schema_compatibility"]["message"] == message
+
+
 def test_unknown_type_skips_the_null_check_too(spark, write_csv):
     contract = Contract((ColumnRule("a", "boolean", False), ColumnRule("b")))
     found = one(check_schema(resolve(spark, write_csv("a.csv", [{"a": "", "b": "x"}])), contract))

@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import small_splits
 from pactline.sources.contracts import Contract, contract_from_yaml, contract_rows, explode_columns, read_contract_files
 from pactline.sources.resolve import parse_uri, profile, resolve
 
@@ -55,17 +56,15 @@ def test_large_files_stay_splittable_unless_a_quote_runs_on(spark, tmp_path):
     clean, broken = tmp_path / "clean.csv", tmp_path / "broken.csv"
     clean.write_text("id,text\n" + "".join(f'{i},"say ""{i}"""\n' for i in range(500)))
     broken.write_text("id,text\n" + "".join(f'{i},"say\n{i}"\n' for i in range(500)))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1kb")
-    try:
+    with small_splits(spark):
         split = resolve(spark, str(clean))
         whole = resolve(spark, str(broken))
-        assert split.row_number is None and split.frame.rdd.getNumPartitions() > 1
+        assert split.in_blocks and split.frame.rdd.getNumPartitions() > 1
+        assert not whole.in_blocks and whole.row_number is not None
         assert split.frame.count() == 500
         assert split.frame.where(F.col("text") == 'say "7"').count() == 1
         assert whole.frame.count() == 500
         assert whole.frame.where(F.col("text") == "say\n7").count() == 1
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_missing_empty_and_folder(spark, tmp_path):
