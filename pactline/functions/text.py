@@ -30,6 +30,11 @@ def quoted_list(names: Iterable[str]) -> str:
     return "[" + ", ".join(f"'{n}'" for n in names) + "]"
 
 
+def run_id(moment: Column, seed: Column) -> Column:
+    """Run id of a day and six hexadecimal digits; the same seed gives the same id."""
+    return F.concat(F.date_format(moment, "yyyy-MM-dd"), F.lit("-"), F.substring(F.md5(seed), 1, 6))
+
+
 def document(**fields: Any) -> Column:
     """JSON text of named values, nulls included; plain values need no expression."""
     if not any(isinstance(v, Column) for v in fields.values()):

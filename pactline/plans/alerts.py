@@ -111,13 +111,18 @@ def notification_rows(payloads: DataFrame, payload: str = "payload") -> DataFram
     )
 
 
+# Where the links of an alert document point unless told otherwise.
+RUN_LINK = "http://localhost:8000/pipelines/%s/runs/%s"
+BOARD_LINK = "http://localhost:3000/d/health"
+
+
 def alert_records(
     runs: DataFrame,
     checks: DataFrame,
     incidents: DataFrame,
     sent_at: Column,
-    run_link: str = "http://localhost:8000/pipelines/%s/runs/%s",
-    board_link: str = "http://localhost:3000/d/health",
+    run_link: str = RUN_LINK,
+    board_link: str = BOARD_LINK,
 ) -> DataFrame:
     """The alert document of every run that has an incident.
 

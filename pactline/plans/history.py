@@ -60,7 +60,9 @@ def list_runs(
     offset: int = 0,
 ) -> DataFrame:
     """A page of runs, newest first: of one pipeline, or the same page of every pipeline."""
-    found = runs if status is None else runs.where(F.col("status") == status)
+    if status and status not in model.RUN_STATUSES:
+        raise ValueError(f"'{status}' is not a run status")
+    found = runs.where(F.col("status") == status) if status else runs
     limit = page_size(limit)
     if pipeline is not None:
         page = (

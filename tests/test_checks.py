@@ -130,6 +130,13 @@ def test_short_rows_are_nulls(spark, tmp_path):
     assert found["message"] == "Null violations (1): Null in non-nullable column 'b' at row 2"
 
 
+def test_surplus_fields_are_ignored(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("a,b\n1,2,3\n4,5\n")
+    contract = Contract((ColumnRule("a", "integer", False), ColumnRule("b", "integer", False)))
+    found = one(check_schema(resolve(spark, str(tmp_path / "long.csv")), contract))
+    assert found["status"] == "passed" and found["observed"]["columns"] == ["a", "b"]
+
+
 def test_typed_columns(spark):
     frame = spark.sql("SELECT 1.5D AS a, 7L AS b, CAST(NULL AS DATE) AS c, TIMESTAMP_NTZ '2026-01-01 00:00:00' AS d")
     contract = Contract(

@@ -1,9 +1,11 @@
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from pactline import model
+from pactline.functions.text import run_id
 from pactline.plans import admission, alerts, dashboards, history, metrics, registry, runs
 
 CHECK = "pipeline string, run_id string, check_order int, check_type string, status string, message string"
@@ -122,6 +124,8 @@ def test_pages(spark):
         "r145", "r146",
     ]
     assert history.list_runs(rows, "p", status="failed").count() == 0
+    with pytest.raises(ValueError, match="not a run status"):
+        history.list_runs(rows, "p", status="FAILED")
 
 
 def test_durations(spark):
@@ -239,3 +243,18 @@ def test_panel_orders(spark, flows):
     assert codes == {"p": 1, "q": 0}
     ages = dashboards.hours_since_end(rows, flows, datetime(2026, 8, 1, 13)).collect()
     assert [r["pipeline"] for r in ages] == ["p", "q"] and ages[0]["age_hours"] == 1.0
+
+
+def test_unended_runs_come_first_in_descending_panels(spark, flows):
+    rows = run_rows(spark, ("p", "a", "running", NOON, None, 1), ("q", "b", "passed", NOON, NOON, 2))
+    ages = dashboards.hours_since_end(rows, flows, datetime(2026, 8, 1, 13)).collect()
+    assert [(r["pipeline"], r["age_hours"]) for r in ages] == [("p", None), ("q", 1.0)]
+    assert dashboards.run_history(rows, flows).count() == 1
+
+
+def test_run_ids_are_stable(spark):
+    day = F.lit(datetime(2026, 8, 19, 7)).cast("timestamp_ntz")
+    first, again, other = spark.range(1).select(
+        run_id(day, F.lit("a")), run_id(day, F.lit("a")), run_id(day, F.lit("b"))
+    ).first()
+    assert first == again != other and re.fullmatch(r"2026-08-19-[0-9a-f]{6}", first)

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from pactline import model
+from pactline.functions.text import run_id
 from pactline.functions.timestamps import moment_literal
 from pactline.plans import admission, alerts, dashboards, history, metrics, registry, runs
 from pactline.sources.contracts import explode_columns
@@ -245,6 +246,16 @@ def run_validation(spark, d):
     return admission.validate(submissions, registered, t.datasets(spark, d), t.contracts(spark, d), known)
 
 
+@case(
+    "run_ids",
+    """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || '-' || substr(md5(c_name || o_orderkey), 1, 6) AS run_id
+FROM orders JOIN customer ON o_custkey = c_custkey""",
+)
+def run_ids(spark, d):
+    seed = F.concat("c_name", F.col("o_orderkey").cast("string"))
+    return t.orders_by_customer(spark, d).select("o_orderkey", run_id(F.col("o_orderdate"), seed).alias("run_id"))
+
+
 # -- registry --------------------------------------------------------------
 
 
