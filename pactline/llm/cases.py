@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pactline.llm import host_rules, mixing, secrets, toxicity
+from pactline.llm import decontaminate, host_rules, mixing, secrets, toxicity
 
 CASES = {
     "op3_toxicity": (toxicity.op3_toxicity, None),
     "op5_mix_sources": (mixing.op5_mix, mixing.OP5_SQL),
     "op6_host_rules": (host_rules.op6_host_rules, host_rules.OP6_SQL),
+    "op8_decontaminate": (decontaminate.op8_decontaminate, None),
     "op9_secret_scan": (secrets.op9_secret_scan, None),
 }
