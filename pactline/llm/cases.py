@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pactline.llm import decontaminate, host_rules, jaccard_join, mixing, secrets, toxicity
+from pactline.llm import decontaminate, host_rules, jaccard_join, mixing, secrets, suffix_dedup, toxicity
 
 CASES = {
+    "op1_suffix_dedup": (suffix_dedup.op1_suffix_dedup, None),
     "op2_jaccard_join": (jaccard_join.op2_jaccard_join, jaccard_join.OP2_SQL),
     "op3_toxicity": (toxicity.op3_toxicity, None),
     "op5_mix_sources": (mixing.op5_mix, mixing.OP5_SQL),

@@ -75,6 +75,11 @@ class Digests:
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self._sums[ends] - self._sums[starts]) * self._down[starts])
 
+    def runs(self, start: int, count: int, size: int) -> np.ndarray:
+        """Digests of the slices of size bytes at count neighbouring starts."""
+        sums = self._sums[start : start + count + size]
+        return mix((sums[size : size + count] - sums[:count]) * self._down[start : start + count])
+
 
 def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
     """A 64-bit hash for each word of a UTF-8 text, in order."""
