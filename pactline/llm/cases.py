@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pactline.llm import decontaminate, host_rules, jaccard_join, mixing, secrets, suffix_dedup, toxicity
+from pactline.llm import chaining, decontaminate, host_rules, jaccard_join, mixing, secrets, suffix_dedup, toxicity
 
 CASES = {
     "op1_suffix_dedup": (suffix_dedup.op1_suffix_dedup, None),
@@ -12,4 +12,5 @@ CASES = {
     "op6_host_rules": (host_rules.op6_host_rules, host_rules.OP6_SQL),
     "op8_decontaminate": (decontaminate.op8_decontaminate, None),
     "op9_secret_scan": (secrets.op9_secret_scan, None),
+    "op10_fuzzy_passages": (chaining.op10_fuzzy_passages, None),
 }
