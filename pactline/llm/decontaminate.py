@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactline.llm.store import written
+from pactline.llm.store import sieved, written
 from pactline.llm.text import WORD, row_hash, table, text_of
 
 K1, B = 1.2, 0.75
@@ -226,6 +226,6 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
 def without_contaminated(docs: DataFrame, items: DataFrame, id_column="doc_id", text_column="text") -> DataFrame:
     """docs less those that contain a test item."""
     found = written(contaminated(docs, items, id_column, text_column).select("doc_id", "row").distinct())
-    keyed = docs.withColumn("_row", row_hash(F.col(id_column).cast("long"), text_of(text_column)))
-    same = keyed[id_column].cast("long").eqNullSafe(found["doc_id"]) & (keyed["_row"] == found["row"])
-    return keyed.join(found, same, "left_anti").select(*docs.columns)
+    maybe, rest = sieved(docs.withColumn("_row", row_hash(F.col(id_column).cast("long"), text_of(text_column))), found.withColumnRenamed("row", "_row"), "_row")
+    same = maybe[id_column].cast("long").eqNullSafe(found["doc_id"]) & (maybe["_row"] == found["row"])
+    return rest.select(*docs.columns).unionByName(maybe.join(found, same, "left_anti").select(*docs.columns))

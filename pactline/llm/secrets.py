@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactline.llm.store import written
+from pactline.llm.store import sieved, written
 from pactline.llm.text import row_hash, table, text_of
 
 REACH = 200
@@ -167,16 +167,18 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; documents without spans pass untouched."""
     found = scan(docs, id_column, text_column).filter(F.size("found") > 0).select("doc_id", "row", "found").dropDuplicates(["doc_id", "row"])
-    keyed = docs.withColumn("_row", row_hash(F.col(id_column).cast("long"), text_of(text_column)))
+    found = written(found)
+    maybe, rest = sieved(docs.withColumn("_row", row_hash(F.col(id_column).cast("long"), text_of(text_column))), found.withColumnRenamed("row", "_row"), "_row")
     f = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_found_row"), F.col("found").alias("_found"))
-    same = keyed[id_column].cast("long").eqNullSafe(f["_id"]) & (keyed["_row"] == f["_found_row"])
-    joined = keyed.join(f, same, "left").drop("_id", "_found_row", "_row")
+    same = maybe[id_column].cast("long").eqNullSafe(f["_id"]) & (maybe["_row"] == f["_found_row"])
+    joined = maybe.join(f, same, "left").drop("_id", "_found_row", "_row")
     hit = joined.filter("_found is not null").withColumns({"_text": text_of(text_column)})
     others = [c for c in docs.columns if c != text_column]
     clean = hit.select(*others, "_text", "_found").mapInArrow(
         _redact, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "_clean string"])
     ).withColumnRenamed("_clean", text_column)
-    return joined.filter("_found is null").select(*docs.columns).unionByName(clean.select(*docs.columns))
+    untouched = joined.filter("_found is null").select(*docs.columns)
+    return rest.select(*docs.columns).unionByName(untouched).unionByName(clean.select(*docs.columns))
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Buckets of a sieve: the most rows that it broadcasts.
+SIEVE_BUCKETS = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,3 +24,15 @@ def written(frame: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def sieved(rows: DataFrame, asked: DataFrame, key: str = "row") -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among asked, and those whose key is surely not; no row moves.
+
+    A sieve before a shuffle, not instead of it. What is broadcast are the buckets that
+    have a key, SIEVE_BUCKETS at most; with more keys than that it lets more pass.
+    """
+    bucket = lambda c: F.pmod(c, F.lit(SIEVE_BUCKETS)).cast("int")
+    buckets = written(asked.select(bucket(F.col(key)).alias("_bucket")).distinct())
+    inside = bucket(rows[key]) == buckets["_bucket"]
+    return rows.join(F.broadcast(buckets), inside, "left_semi"), rows.join(F.broadcast(buckets), inside, "left_anti")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactline.llm.store import written
+from pactline.llm.store import sieved, written
 from pactline.llm.text import Digests, mix, row_hash, table, text_of
 
 LENGTH = 400
@@ -299,7 +299,8 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     inside = mixed.join(contexts.filter("n > 1").select("gram", "context"), ["gram", "context"], "left_semi")
     # One place of each distinct context; all places of one document: bounded by its length.
     asked = contexts.select("at.*", "gram").groupBy("doc_id", "row").agg(F.collect_list(F.struct("gram", "place")).alias("asked"))
-    a, t = asked.alias("a"), rows.alias("t")
+    asked = written(asked)
+    a, t = asked.alias("a"), sieved(rows, asked)[0].alias("t")
     same = F.col("a.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("a.row") == F.col("t.row"))
     bytes_of = t.join(a, same).select("t.doc_id", "t.row", "asked", "text").mapInArrow(
         _contexts(length), "doc_id long, row long, gram long, place long, bytes binary"
@@ -373,9 +374,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column="doc_id", te
     found = written(
         repeated_ranges(rows, length).groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "last")).alias("found"))
     )
-    r, f = rows.alias("r"), found.alias("f")
-    joined = r.join(f, F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.row") == F.col("f.row")), "left")
-    return joined.select("r.doc_id", "text", "found").mapInArrow(
+    maybe, rest = sieved(rows, found)
+    r, f = maybe.alias("r"), found.alias("f")
+    joined = r.join(f, F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.row") == F.col("f.row")), "left").select("r.doc_id", "text", "found")
+    whole = rest.select("doc_id", "text", F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("found"))
+    return joined.unionByName(whole).mapInArrow(
         _removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     )
 
