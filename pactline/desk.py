@@ -19,7 +19,7 @@ from pactline.plans import admission, alerts, history, metrics, registry
 from pactline.plans.runs import derive_incidents, finalize_runs
 from pactline.session import settle
 from pactline.sources.contracts import Contract, contract_rows
-from pactline.sources.resolve import OBJECT_STORE_PREFIX, Resolved, resolve
+from pactline.sources.resolve import OBJECT_STORE_PREFIX, READ_ERRORS, Resolved, reason_of, resolve
 from pactline.sources.store import ControlStore
 
 RUNS_PER_JOB = 32
@@ -124,11 +124,14 @@ class ContractDesk:
             raise Rejected(reason)
         return self.run_health(submission.pipeline, submission.run_id)
 
-    def submit_runs(self, submissions: Iterable[Submission]) -> list[tuple[Submission, str]]:
+    def submit_runs(
+        self, submissions: Iterable[Submission], *, resume: bool = False
+    ) -> list[tuple[Submission, str]]:
         """Evaluate many runs; returns the rejected ones with the reason.
 
         The list of submissions is planned on the driver, their datasets are
-        checked in shared jobs.
+        checked in shared jobs. With ``resume`` runs that are stored as running are
+        evaluated too: for use after the driver that began them has died.
         """
         firsts: dict[tuple[str, str], Submission] = {}
         for s in submissions:
@@ -137,17 +140,24 @@ class ContractDesk:
         sources = [self._resolve(s.source) for s in wanted]
         targets = [self._resolve(s.target) if s.target else None for s in wanted]
         decisions = self._decide(wanted, sources, targets)
+        begun = self._begun(wanted) if resume else set()
         rejected, accepted = [], []
         for s, source, target in zip(wanted, sources, targets):
             decision = decisions[(s.pipeline, s.run_id)]
             if decision["reject_reason"] is not None:
                 rejected.append((s, decision["reject_reason"]))
-            elif not decision["stored"]:
+            elif not decision["stored"] or (s.pipeline, s.run_id) in begun:
                 accepted.append((s, source, target, decision["effective_version"]))
         for i in range(0, len(accepted), RUNS_PER_JOB):
             self._evaluate(accepted[i : i + RUNS_PER_JOB])
         return rejected
 
+    def _begun(self, wanted: list) -> set:
+        """Keys of the wanted runs whose last event says that they are running."""
+        asked = self.spark.createDataFrame([(s.pipeline, s.run_id) for s in wanted], "pipeline string, run_id string")
+        running = self.store.runs().where(F.col("status") == model.RUNNING).select(*model.RUN_KEY)
+        return {tuple(r) for r in asked.join(running, model.RUN_KEY, "left_semi").collect()}
+
     def _resolve(self, uri: str) -> Resolved:
         return resolve(self.spark, uri, object_store=self.object_store)
 
@@ -227,28 +237,46 @@ class ContractDesk:
                 *[v.alias(k) for k, v in empty.items()],
             ),
         )
-        source_contracts, target_contracts = self._contracts_for(accepted)
-        results = []
-        for s, source, target, version in accepted:
-            results.append(
-                contract_checks(
-                    source,
-                    source_contracts[(s.pipeline, s.dataset, version)],
-                    start,
-                    target,
-                    target_contracts.get((s.pipeline, s.target_dataset)),
-                    self.rule_set,
-                ).select(F.lit(s.pipeline).alias("pipeline"), F.lit(s.run_id).alias("run_id"), "*")
-            )
-        # A handful of rows per run, computed once for the log and the verdict.
-        checks = settle(reduce(DataFrame.unionByName, results))
+        contracts = self._contracts_for(accepted)
+        self._conclude(accepted, keys, start, contracts)
+
+    def _conclude(self, accepted: list, keys: DataFrame, start: datetime, contracts: tuple[dict, dict]) -> None:
+        """Check, and record how the runs ended; a dataset that cannot be scanned fails its own run only."""
+        try:
+            checks = self._checked(accepted, start, contracts)
+        except READ_ERRORS as exc:
+            if len(accepted) > 1:
+                for one in accepted:
+                    self._conclude([one], keys, start, contracts)
+                return
+            s, source, target, version = accepted[0]
+            lost = Resolved(source.uri, error=f"Failed to read: {reason_of(exc)}")
+            checks = self._checked([(s, lost, target, version)], start, contracts)
         self.store.append("checks", checks, start.date())
-        final = finalize_runs(checks).join(keys, model.RUN_KEY)
         ended = moment_literal(self.clock())
-        rows = final.select("*", started.alias("started_at"), ended.alias("ended_at"), F.lit(2).alias("event_no"))
-        self.store.append("runs", rows)
+        final = finalize_runs(checks).join(keys, model.RUN_KEY)
+        rows = final.select("*", moment_literal(start).alias("started_at"), ended.alias("ended_at"), F.lit(2).alias("event_no"))
+        # The final event comes last: until it is there the run can be resumed, and
+        # whatever was written before is read once only.
         incidents = derive_incidents(rows, self.store.pipelines())
         self.store.append("incidents", incidents.withColumn("event_no", F.lit(0)))
+        self.store.append("runs", rows)
+
+    def _checked(self, accepted: list, start: datetime, contracts: tuple[dict, dict]) -> DataFrame:
+        source_contracts, target_contracts = contracts
+        results = [
+            contract_checks(
+                source,
+                source_contracts[(s.pipeline, s.dataset, version)],
+                start,
+                target,
+                target_contracts.get((s.pipeline, s.target_dataset)),
+                self.rule_set,
+            ).select(F.lit(s.pipeline).alias("pipeline"), F.lit(s.run_id).alias("run_id"), "*")
+            for s, source, target, version in accepted
+        ]
+        # A handful of rows per run, computed once for the log and the verdict.
+        return settle(reduce(DataFrame.unionByName, results))
 
     # -- questions ---------------------------------------------------------
 
@@ -304,9 +332,9 @@ class ContractDesk:
         return metrics.operational_metrics(
             s.pipelines(),
             s.runs(),
-            s.log("checks", since=since),
+            s.checks(since),
             s.incidents(),
-            s.log("notifications", since=since),
+            s.notifications(since),
             now,
         )
 

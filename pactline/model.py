@@ -37,9 +37,7 @@ DEFAULT_TIMESTAMP_COLUMN = "snapshot_date"
 DEFAULT_MAX_DIFF_PCT = 100
 
 MAX_CONCURRENT_RUNS = 3
-RUNNING_COUNT_CAP = 10
 DEFAULT_PAGE_SIZE = 20
-MAX_PAGE_SIZE = 100
 SCHEMA_DRIFT_PANEL_ROWS = 50
 
 # run state -> (incident type, severity)

@@ -51,9 +51,8 @@ def running_counts(runs: DataFrame) -> DataFrame:
 def admit(submissions: DataFrame, runs: DataFrame, limit: int = model.MAX_CONCURRENT_RUNS) -> DataFrame:
     """Add ``running``, ``admitted`` and ``reason``; a full pipeline admits nothing."""
     running = F.coalesce("running", F.lit(0).cast("bigint"))
-    shown = F.least(running, F.lit(model.RUNNING_COUNT_CAP).cast("bigint"))
     refused = F.format_string(
-        "Concurrent run limit exceeded for '%s': %d/%d", F.col("pipeline"), shown, F.lit(limit)
+        "Concurrent run limit exceeded for '%s': %d/%d", F.col("pipeline"), running, F.lit(limit)
     )
     return submissions.join(running_counts(runs), "pipeline", "left").select(
         *[c for c in submissions.columns],
@@ -126,7 +125,7 @@ def validate(
             F.format_string(
                 "Concurrent run limit exceeded for '%s': %d/%d",
                 name,
-                F.least(running, F.lit(model.RUNNING_COUNT_CAP).cast("bigint")),
+                running,
                 F.lit(limit),
             ),
         )

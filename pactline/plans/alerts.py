@@ -130,11 +130,10 @@ def alert_records(
     """
     keys = list(model.RUN_KEY)
     failed = F.col("status") == model.FAILED
-    slots = [
-        F.min(F.when((F.col("check_type") == t) & failed, F.struct(F.col("check_type").alias("type"), "message")))
-        for t in model.CHECK_ORDER
-    ]
-    failures = checks.groupBy(*keys).agg(F.array_compact(F.array(*slots)).alias("failed_checks"))
+    found = F.array_sort(F.collect_set(F.struct("check_order", F.col("check_type").alias("type"), "message")))
+    failures = checks.where(failed).groupBy(*keys).agg(
+        F.transform(found, lambda c: F.struct(c["type"].alias("type"), c["message"].alias("message"))).alias("failed_checks")
+    )
     owned = incidents.groupBy(*keys).agg(F.min("owner").alias("owner"), F.max("retryable").alias("retryable"))
     document = F.struct(
         "pipeline",

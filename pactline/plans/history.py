@@ -15,10 +15,6 @@ from pactline.plans.runs import health_summary
 NEWEST = ["started_at", "seq"]
 
 
-def page_size(limit: int) -> int:
-    return min(limit, model.MAX_PAGE_SIZE)
-
-
 def latest_runs(runs: DataFrame, by: str = "started_at") -> DataFrame:
     """The latest run of every pipeline, by start time or by registration order.
 
@@ -63,7 +59,6 @@ def list_runs(
     if status and status not in model.RUN_STATUSES:
         raise ValueError(f"'{status}' is not a run status")
     found = runs.where(F.col("status") == status) if status else runs
-    limit = page_size(limit)
     if pipeline is not None:
         page = (
             found.where(F.col("pipeline") == pipeline)
@@ -132,7 +127,6 @@ def open_incidents(
     limit: int = model.DEFAULT_PAGE_SIZE,
 ) -> DataFrame:
     """The newest open incidents of one pipeline, or of every pipeline."""
-    limit = page_size(limit)
     found = incidents.where(F.col("status") == model.OPEN)
     order = ["first_observed_at", "run_id"]
     if pipeline is not None:
@@ -167,4 +161,4 @@ def acknowledged_counts(incidents: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def notification_log(notifications: DataFrame, limit: int = model.DEFAULT_PAGE_SIZE) -> DataFrame:
-    return notifications.orderBy(*_newest_first(["created_at", "seq"])).limit(page_size(limit))
+    return notifications.orderBy(*_newest_first(["created_at", "seq"])).limit(limit)

@@ -28,15 +28,24 @@ def stop_at_unreadable(checks: DataFrame, keys: Sequence[str] = model.RUN_KEY) -
     return checks.where(first).unionByName(later)
 
 
+def _of_other_type() -> Column:
+    return ~F.coalesce(F.col("check_type").isin(*model.CHECK_ORDER), F.lit(False))
+
+
 def _per_type() -> list[Column]:
+    # Types beyond the model's own are few per run; each counts once like the others.
+    other = F.collect_set(F.when(_of_other_type() & _failed(), F.coalesce("check_type", F.lit(""))))
     return [
-        F.max(F.when(_of(t) & _failed(), 1).otherwise(0)).alias(f"failed_{i}")
-        for i, t in enumerate(model.CHECK_ORDER)
+        *[
+            F.max(F.when(_of(t) & _failed(), 1).otherwise(0)).alias(f"failed_{i}")
+            for i, t in enumerate(model.CHECK_ORDER)
+        ],
+        F.size(other).alias("failed_other"),
     ]
 
 
 def _failures() -> Column:
-    total = F.lit(0)
+    total = F.col("failed_other")
     for i, _ in enumerate(model.CHECK_ORDER):
         total = total + F.col(f"failed_{i}")
     return total
@@ -54,8 +63,8 @@ def _status() -> Column:
 def run_verdicts(checks: DataFrame, keys: Sequence[str] = model.RUN_KEY) -> DataFrame:
     """Status of every run: passed, late when only freshness failed, else failed.
 
-    Skipped checks do not count as failures. Integer maxima only, so the work
-    before the shuffle shrinks a run of any size to one row per task.
+    Skipped checks do not count as failures. Every type of check counts, once
+    however often its result was written.
     """
     return checks.groupBy(*keys).agg(*_per_type()).select(
         *keys, _failures().cast("bigint").alias("failed_checks"), _status().alias("status")
@@ -65,9 +74,9 @@ def run_verdicts(checks: DataFrame, keys: Sequence[str] = model.RUN_KEY) -> Data
 def finalize_runs(checks: DataFrame, keys: Sequence[str] = model.RUN_KEY) -> DataFrame:
     """Status, failure reason, row counts and first error category of every run.
 
-    One slot per check type: nothing is collected, and a result that was
-    written twice by a retry counts once. Statuses and counts of all results
-    are folded in fixed-width buffers; texts are looked at for failures only.
+    One slot per check type of the model, and a set for other types, so a result
+    that was written twice by a retry counts once. Texts are looked at for
+    failures only.
     """
     keys = list(keys)
     slots = range(len(model.CHECK_ORDER))
@@ -84,14 +93,20 @@ def finalize_runs(checks: DataFrame, keys: Sequence[str] = model.RUN_KEY) -> Dat
         message = F.coalesce("message", F.lit(f"{check_type} failed"))
         texts.append(F.min(F.when(_of(check_type), message)).alias(f"reason_{i}"))
         texts.append(F.min(F.when(_of(check_type), F.col("error_category"))).alias(f"category_{i}"))
+    named = F.coalesce("message", F.concat(F.coalesce("check_type", F.lit("check")), F.lit(" failed")))
+    texts.append(
+        F.collect_set(F.when(_of_other_type(), F.struct("check_order", "check_type", named.alias("reason")))).alias("others")
+    )
+    texts.append(F.min(F.when(_of_other_type(), F.col("error_category"))).alias("category_other"))
+    others = F.transform(F.array_sort("others"), lambda x: x["reason"])
     failures = (
         checks.where(_failed())
         .groupBy(*keys)
         .agg(*texts)
         .select(
             *keys,
-            F.concat_ws("; ", *[f"reason_{i}" for i in slots]).alias("failure_reason"),
-            F.coalesce(*[f"category_{i}" for i in slots]).alias("error_category"),
+            F.concat_ws("; ", *[f"reason_{i}" for i in slots], others).alias("failure_reason"),
+            F.coalesce(*[f"category_{i}" for i in slots], "category_other").alias("error_category"),
         )
     )
     return totals.join(failures, keys, "left").select(
@@ -134,23 +149,17 @@ INCIDENT_ITEM = ["incident_type", "severity", "owner", "status", "retryable", "f
 def health_summary(runs: DataFrame, checks: DataFrame, incidents: DataFrame) -> DataFrame:
     """Runs with their checks, in check order, and their incidents as nested lists.
 
-    The lists have a slot per check type and per incident type, so their length
-    is bounded by the model and not by the data.
+    The lists are sets of a run's own results, of any type: as long as the run
+    has checks, with repeats of a retried write counted once. Sets are built by
+    hashing, so the texts are not sorted on the way.
     """
     keys = list(model.RUN_KEY)
 
-    def slots(kind: str, kinds: Sequence[str], items: Sequence[str]) -> Column:
-        return F.array_compact(
-            F.array(*[F.min(F.when(F.col(kind) == k, F.struct(*items))) for k in kinds])
-        )
+    def listed(items: Sequence[str]) -> Column:
+        return F.array_sort(F.collect_set(F.struct(*items)))
 
-    kinds = [rule[0] for rule in model.INCIDENT_RULES.values()]
-    per_run_checks = checks.groupBy(*keys).agg(
-        slots("check_type", model.CHECK_ORDER, CHECK_ITEM).alias("checks")
-    )
-    per_run_incidents = incidents.groupBy(*keys).agg(
-        slots("incident_type", kinds, INCIDENT_ITEM).alias("incidents")
-    )
+    per_run_checks = checks.groupBy(*keys).agg(listed(CHECK_ITEM).alias("checks"))
+    per_run_incidents = incidents.groupBy(*keys).agg(listed(INCIDENT_ITEM).alias("incidents"))
     no_checks = F.array().cast(per_run_checks.schema["checks"].dataType)
     no_incidents = F.array().cast(per_run_incidents.schema["incidents"].dataType)
     return (

@@ -112,7 +112,7 @@ def profile(resolved: Resolved) -> DataFrame:
     )
 
 
-def _reason(exc: Exception) -> str:
+def reason_of(exc: Exception) -> str:
     text = exc.java_exception.toString() if isinstance(exc, Py4JJavaError) else str(exc)
     return text.splitlines()[0]
 
@@ -122,7 +122,7 @@ def _from_catalog(spark: SparkSession, ref: SourceRef) -> Resolved:
         frame = spark.table(ref.path)
         return Resolved(ref.uri, frame, tuple(frame.columns))
     except READ_ERRORS as exc:
-        return Resolved(ref.uri, error=f"Failed to query table: {_reason(exc)}")
+        return Resolved(ref.uri, error=f"Failed to query table: {reason_of(exc)}")
 
 
 def _from_query(spark: SparkSession, ref: SourceRef) -> Resolved:
@@ -130,7 +130,7 @@ def _from_query(spark: SparkSession, ref: SourceRef) -> Resolved:
         frame = spark.sql(ref.path)
         return Resolved(ref.uri, frame, tuple(frame.columns))
     except READ_ERRORS as exc:
-        return Resolved(ref.uri, error=f"Failed to execute query: {_reason(exc)}")
+        return Resolved(ref.uri, error=f"Failed to execute query: {reason_of(exc)}")
 
 
 def _listing(spark: SparkSession, path: str) -> DataFrame:
@@ -168,7 +168,7 @@ def _from_file(spark: SparkSession, ref: SourceRef, path: str, multi_line: bool
     except READ_ERRORS as exc:
         if _condition(exc) == "PATH_NOT_FOUND":
             return Resolved(ref.uri, error=f"File not found: {ref.path}")
-        return Resolved(ref.uri, error=f"Failed to read file: {_reason(exc)}")
+        return Resolved(ref.uri, error=f"Failed to read file: {reason_of(exc)}")
     return Resolved(ref.uri, frame, tuple(frame.columns), (), row_number)
 
 
@@ -245,7 +245,7 @@ def _from_partitions(
     except READ_ERRORS as exc:
         if _condition(exc) == "PATH_NOT_FOUND":
             return Resolved(ref.uri, error=f"File not found: {ref.path}")
-        return Resolved(ref.uri, error=f"Failed to read partitions: {_reason(exc)}")
+        return Resolved(ref.uri, error=f"Failed to read partitions: {reason_of(exc)}")
     data = tuple(c for c in frame.columns if c in flat.columns)
     keys = tuple(c for c in frame.columns if c not in flat.columns)
     return Resolved(ref.uri, frame, data, keys)

@@ -2,7 +2,8 @@
 
 Nothing is updated in place. Registrations are first-writer-wins, runs and
 incidents are event logs whose latest event counts; both are settled when the
-tables are read, so a write that was repeated does no harm.
+tables are read; so are check results, one per check of a run, and notifications. A write
+that was repeated does no harm.
 """
 
 from __future__ import annotations
@@ -79,11 +80,19 @@ class ControlStore:
     def runs(self) -> DataFrame:
         return current_runs(self.log("runs"))
 
-    def checks(self) -> DataFrame:
-        return self.log("checks")
+    def checks(self, since: date | None = None) -> DataFrame:
+        """One result for each check of a run, however often it was written."""
+        log = self.log("checks", since)
+        key = [*model.RUN_KEY, "check_type"]
+        rest = [c for c in log.columns if c not in key]
+        # A set is built by hashing, where a minimum of texts would sort the log first.
+        first = F.array_min(F.collect_set(F.struct(*rest))).alias("first")
+        return log.groupBy(*key).agg(first).select(
+            *[F.col(c) if c in key else F.col(f"first.{c}").alias(c) for c in log.columns]
+        )
 
     def incidents(self) -> DataFrame:
         return current_incidents(self.log("incidents"))
 
-    def notifications(self) -> DataFrame:
-        return self.log("notifications")
+    def notifications(self, since: date | None = None) -> DataFrame:
+        return self.log("notifications", since).distinct()

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, INVENTORY_SCHEMA, by_type, inventory_rows, small_splits
+from conftest import AS_OF, TIDE_SCHEMA, by_type, tide_rows, small_splits
 from pactline import ColumnRule, Contract, resolve
 from pactline.operators import (
     check_freshness,
@@ -33,9 +33,9 @@ def one(frame):
 
 
 def test_readable(spark, write_csv):
-    found = one(check_readability(resolve(spark, write_csv("a.csv", inventory_rows()))))
-    assert found["status"] == "passed" and found["message"] == "Source readable: 5 rows, 13 columns"
-    assert found["observed"] == {"parseable": True, "row_count": 5, "columns": 13}
+    found = one(check_readability(resolve(spark, write_csv("a.csv", tide_rows()))))
+    assert found["status"] == "passed" and found["message"] == "Source readable: 5 rows, 10 columns"
+    assert found["observed"] == {"parseable": True, "row_count": 5, "columns": 10}
 
 
 def test_missing_file(spark):
@@ -54,64 +54,64 @@ def test_empty_table(spark):
 # -- schema ----------------------------------------------------------------
 
 
-def test_valid_schema(spark, write_csv, inventory):
-    found = one(check_schema(resolve(spark, write_csv("a.csv", inventory_rows())), inventory))
-    assert found["status"] == "passed" and found["message"] == "Schema matches: 13 columns as expected"
-    assert "missing" not in found["observed"] and found["expected"]["column_count"] == 13
+def test_valid_schema(spark, write_csv, tides):
+    found = one(check_schema(resolve(spark, write_csv("a.csv", tide_rows())), tides))
+    assert found["status"] == "passed" and found["message"] == "Schema matches: 10 columns as expected"
+    assert "missing" not in found["observed"] and found["expected"]["column_count"] == 10
 
 
-def test_drift_and_null(spark, write_csv, inventory):
-    rows = inventory_rows(loyalty_points="7", stock_on_hand=lambda i: "" if i == 2 else "5")
-    found = one(check_schema(resolve(spark, write_csv("a.csv", rows)), inventory))
-    assert found["observed"]["unexpected"] == ["loyalty_points"] and found["observed"]["missing"] == []
+def test_drift_and_null(spark, write_csv, tides):
+    rows = tide_rows(moon_phase="7", level_mm=lambda i: "" if i == 2 else "5")
+    found = one(check_schema(resolve(spark, write_csv("a.csv", rows)), tides))
+    assert found["observed"]["unexpected"] == ["moon_phase"] and found["observed"]["missing"] == []
     assert found["message"] == (
-        "Unexpected columns: ['loyalty_points']; "
-        "Null violations (1): Null in non-nullable column 'stock_on_hand' at row 2"
+        "Unexpected columns: ['moon_phase']; "
+        "Null violations (1): Null in non-nullable column 'level_mm' at row 2"
     )
     assert found["error_category"] == "schema_mismatch"
 
 
-def test_missing_columns(spark, write_csv, inventory):
-    path = write_csv("a.csv", [{"product_id": "1", "sku": "X"}])
-    found = one(check_schema(resolve(spark, path), inventory))
-    assert found["status"] == "failed" and found["message"].startswith("Missing columns: ['last_restock_date', ")
-    assert found["observed"]["missing"] == sorted(set(INVENTORY_SCHEMA) - {"product_id", "sku"})
+def test_missing_columns(spark, write_csv, tides):
+    path = write_csv("a.csv", [{"gauge_no": "1", "station_code": "X"}])
+    found = one(check_schema(resolve(spark, path), tides))
+    assert found["status"] == "failed" and found["message"].startswith("Missing columns: ['basin', ")
+    assert found["observed"]["missing"] == sorted(set(TIDE_SCHEMA) - {"gauge_no", "station_code"})
     assert found["error_category"] == "schema_missing_columns"
 
 
-def test_type_mismatch(spark, write_csv, inventory):
-    rows = inventory_rows(product_id=lambda i: "abc" if i > 2 else str(i))
-    found = one(check_schema(resolve(spark, write_csv("a.csv", rows)), inventory))
+def test_type_mismatch(spark, write_csv, tides):
+    rows = tide_rows(gauge_no=lambda i: "abc" if i > 2 else str(i))
+    found = one(check_schema(resolve(spark, write_csv("a.csv", rows)), tides))
     assert found["message"] == (
-        "Type violations (3): Type mismatch in 'product_id' at row 3: expected integer, got 'abc'"
+        "Type violations (3): Type mismatch in 'gauge_no' at row 3: expected integer, got 'abc'"
     )
     assert found["error_category"] == "schema_type_violation"
 
 
-def test_sample_is_first_row_of_first_column(spark, write_csv, inventory):
-    rows = inventory_rows(
-        unit_cost=lambda i: "x" if i == 1 else "1.5", reorder_point=lambda i: "-9" if i in (4, 5) else "9"
+def test_sample_is_first_row_of_first_column(spark, write_csv, tides):
+    rows = tide_rows(
+        salinity=lambda i: "x" if i == 1 else "1.5", period_s=lambda i: "-9" if i in (4, 5) else "9"
     )
-    found = one(check_schema(resolve(spark, write_csv("a.csv", rows)), inventory))
-    assert "(3): Type mismatch in 'reorder_point' at row 4: expected integer, got '-9'" in found["message"]
+    found = one(check_schema(resolve(spark, write_csv("a.csv", rows)), tides))
+    assert "(3): Type mismatch in 'period_s' at row 4: expected integer, got '-9'" in found["message"]
 
 
 @pytest.mark.parametrize("bad_row", [1, 2, 180, 777, 1999, 2000])
-def test_row_numbers_of_a_file_in_blocks(spark, write_csv, inventory, bad_row):
-    rows = inventory_rows(
+def test_row_numbers_of_a_file_in_blocks(spark, write_csv, tides, bad_row):
+    rows = tide_rows(
         2000,
-        stock_on_hand=lambda i: "" if i >= bad_row and i % 3 == bad_row % 3 else "1",
-        unit_cost=lambda i: "x" if i >= bad_row else "1.5",
+        level_mm=lambda i: "" if i >= bad_row and i % 3 == bad_row % 3 else "1",
+        salinity=lambda i: "x" if i >= bad_row else "1.5",
     )
     with small_splits(spark):
         source = resolve(spark, write_csv("a.csv", rows))
         assert source.in_blocks and source.frame.rdd.getNumPartitions() > 20
-        found = one(check_schema(source, inventory))
-        both = by_type(contract_checks(source, inventory, AS_OF, source, inventory))
+        found = one(check_schema(source, tides))
+        both = by_type(contract_checks(source, tides, AS_OF, source, tides))
     nulls, types = len(range(bad_row, 2001, 3)), 2001 - bad_row
     message = (
-        f"Null violations ({nulls}): Null in non-nullable column 'stock_on_hand' at row {bad_row}; "
-        f"Type violations ({types}): Type mismatch in 'unit_cost' at row {bad_row}: expected decimal, got 'x'"
+        f"Null violations ({nulls}): Null in non-nullable column 'level_mm' at row {bad_row}; "
+        f"Type violations ({types}): Type mismatch in 'salinity' at row {bad_row}: expected decimal, got 'x'"
     )
     assert found["message"] == message
     assert both["target_schema_compatibility"]["message"] == both["schema_compatibility"]["message"] == message
@@ -155,10 +155,10 @@ def test_odd_column_names(spark):
     assert "Type mismatch in 'c`d': expected integer, got 'x'" in found["schema_compatibility"]["message"]
 
 
-def test_target_schema(spark, write_csv, inventory):
-    good = resolve(spark, write_csv("t.csv", inventory_rows()))
-    assert one(check_target_schema(good, inventory))["check_type"] == "target_schema_compatibility"
-    for target, contract in ((None, inventory), (good, None)):
+def test_target_schema(spark, write_csv, tides):
+    good = resolve(spark, write_csv("t.csv", tide_rows()))
+    assert one(check_target_schema(good, tides))["check_type"] == "target_schema_compatibility"
+    for target, contract in ((None, tides), (good, None)):
         found = one(check_target_schema(target, contract))
         assert (found["status"], found["message"]) == ("skipped", "No target to validate")
 
@@ -171,7 +171,7 @@ def test_target_schema(spark, write_csv, inventory):
 )
 def test_range(spark, write_csv, low, high, status):
     contract = Contract((), min_row_count=low, max_row_count=high)
-    found = one(check_row_count(resolve(spark, write_csv("a.csv", inventory_rows())), contract))
+    found = one(check_row_count(resolve(spark, write_csv("a.csv", tide_rows())), contract))
     shown = "inf" if high is None else high
     inside = "outside" if status == "failed" else "within"
     assert found["status"] == status
@@ -181,9 +181,9 @@ def test_range(spark, write_csv, low, high, status):
 
 
 def test_duplicates(spark, write_csv):
-    rows = inventory_rows(100, product_id=lambda i: str(i // 10))
-    found = one(check_row_count(resolve(spark, write_csv("a.csv", rows)), Contract((), unique_keys=("product_id",))))
-    assert found["message"] == "Found 89 duplicate rows on keys ['product_id']"
+    rows = tide_rows(100, gauge_no=lambda i: str(i // 10))
+    found = one(check_row_count(resolve(spark, write_csv("a.csv", rows)), Contract((), unique_keys=("gauge_no",))))
+    assert found["message"] == "Found 89 duplicate rows on keys ['gauge_no']"
     assert found["observed"]["duplicate_count"] == 89 and found["error_category"] == "duplicate_keys"
 
 
@@ -284,8 +284,8 @@ def test_no_rows_and_no_times(spark):
 # -- all together ----------------------------------------------------------
 
 
-def test_order_and_types(spark, write_csv, inventory):
-    rows = contract_checks(resolve(spark, write_csv("a.csv", inventory_rows())), inventory, AS_OF).collect()
+def test_order_and_types(spark, write_csv, tides):
+    rows = contract_checks(resolve(spark, write_csv("a.csv", tide_rows())), tides, AS_OF).collect()
     assert [(r["check_order"], r["check_type"], r["status"]) for r in rows] == [
         (1, "source_readability", "passed"),
         (2, "schema_compatibility", "passed"),
@@ -295,18 +295,18 @@ def test_order_and_types(spark, write_csv, inventory):
     ]
 
 
-def test_unreadable_source_ends_after_the_first_check(spark, inventory):
-    rows = contract_checks(resolve(spark, "/nonexistent.csv"), inventory, AS_OF).collect()
+def test_unreadable_source_ends_after_the_first_check(spark, tides):
+    rows = contract_checks(resolve(spark, "/nonexistent.csv"), tides, AS_OF).collect()
     assert [(r["check_type"], r["status"]) for r in rows] == [("source_readability", "failed")]
     empty = from_frame(spark.createDataFrame([], "a string"))
-    assert [r["message"] for r in contract_checks(empty, inventory, AS_OF).collect()] == ["Source has 0 rows"]
+    assert [r["message"] for r in contract_checks(empty, tides, AS_OF).collect()] == ["Source has 0 rows"]
 
 
-def test_unreadable_source_in_every_check(spark, inventory):
+def test_unreadable_source_in_every_check(spark, tides):
     bad = Resolved("local://x", error="File not found: x")
-    assert one(check_schema(bad, inventory))["message"] == "Cannot read source for schema check: File not found: x"
-    assert one(check_row_count(bad, inventory))["message"] == "Cannot read source for row count: File not found: x"
-    assert one(check_freshness(bad, inventory, AS_OF))["message"] == (
+    assert one(check_schema(bad, tides))["message"] == "Cannot read source for schema check: File not found: x"
+    assert one(check_row_count(bad, tides))["message"] == "Cannot read source for row count: File not found: x"
+    assert one(check_freshness(bad, tides, AS_OF))["message"] == (
         "Cannot read source for freshness: File not found: x"
     )
 

@@ -6,10 +6,10 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from conftest import INVENTORY_FRESHNESS, INVENTORY_QUALITY, INVENTORY_SCHEMA, inventory_rows
+from conftest import TIDE_FRESHNESS, TIDE_QUALITY, TIDE_SCHEMA, tide_rows
 from pactline.desk import ContractDesk, Rejected, Submission
 
-PIPELINE, DATASET = "ecommerce_inventory", "inventory_snapshot"
+PIPELINE, DATASET = "harbour_gauges", "tide_readings"
 
 
 def ticking(start=datetime(2026, 8, 1, 12)):
@@ -22,7 +22,7 @@ def desk(spark, tmp_path):
     desk = ContractDesk(spark, str(tmp_path / "control"), clock=ticking())
     desk.register_pipeline(PIPELINE, "data-platform")
     desk.register_dataset(
-        PIPELINE, DATASET, "source", INVENTORY_SCHEMA, INVENTORY_FRESHNESS, INVENTORY_QUALITY
+        PIPELINE, DATASET, "source", TIDE_SCHEMA, TIDE_FRESHNESS, TIDE_QUALITY
     )
     return desk
 
@@ -42,7 +42,7 @@ def test_registration_keeps_the_first_owner(desk):
 
 def test_contract_versions_are_immutable(desk):
     again = desk.register_dataset(PIPELINE, DATASET, "source", {"x": {}}, {}, {}, 1).first()
-    assert set(json.loads(again["schema_definition"])) == set(INVENTORY_SCHEMA)
+    assert set(json.loads(again["schema_definition"])) == set(TIDE_SCHEMA)
     with pytest.raises(Rejected, match="not found"):
         desk.register_dataset("absent", DATASET, "source", {}, {}, {})
 
@@ -56,7 +56,7 @@ def test_contract_summary(desk):
 
 
 def test_passing_run(desk, write_csv):
-    health = desk.submit_run(run("run-1", write_csv("a.csv", inventory_rows()))).first()
+    health = desk.submit_run(run("run-1", write_csv("a.csv", tide_rows()))).first()
     assert (health["status"], health["failure_reason"], health["source_row_count"]) == ("passed", None, 5)
     assert states(health) == {
         "source_readability": "passed",
@@ -71,7 +71,7 @@ def test_passing_run(desk, write_csv):
 
 
 def test_late_run_and_acknowledgement(desk, write_csv):
-    health = desk.submit_run(run("run-late", write_csv("a.csv", inventory_rows(day="2026-06-01")))).first()
+    health = desk.submit_run(run("run-late", write_csv("a.csv", tide_rows(day="2026-06-01")))).first()
     assert health["status"] == "late" and "stale" in health["failure_reason"]
     incident = health["incidents"][0]
     assert (incident["incident_type"], incident["severity"], incident["owner"], incident["status"]) == (
@@ -87,7 +87,7 @@ def test_late_run_and_acknowledgement(desk, write_csv):
 
 
 def test_failed_run_raises_alerts(desk, write_csv):
-    rows = inventory_rows(loyalty_points="7", stock_on_hand=lambda i: "" if i == 2 else "5")
+    rows = tide_rows(moon_phase="7", level_mm=lambda i: "" if i == 2 else "5")
     health = desk.submit_run(run("run-drift", write_csv("a.csv", rows))).first()
     assert health["status"] == "failed" and health["incidents"][0]["severity"] == "medium"
     firing = {r["rule"]: r["firing"] for r in desk.alerts().collect()}
@@ -100,28 +100,28 @@ def test_failed_run_raises_alerts(desk, write_csv):
 
 
 def test_same_run_id_is_not_evaluated_again(desk, write_csv):
-    first = desk.submit_run(run("run-1", write_csv("a.csv", inventory_rows()))).first()
-    again = desk.submit_run(run("run-1", write_csv("b.csv", inventory_rows(day="2026-01-01")))).first()
+    first = desk.submit_run(run("run-1", write_csv("a.csv", tide_rows()))).first()
+    again = desk.submit_run(run("run-1", write_csv("b.csv", tide_rows(day="2026-01-01")))).first()
     assert first == again
     assert desk.store.runs().count() == 1 and desk.store.checks().count() == 5
 
 
 def test_contract_version_is_chosen(desk, write_csv):
-    tight = {**INVENTORY_QUALITY, "max_row_count": 2}
-    desk.register_dataset(PIPELINE, DATASET, "source", INVENTORY_SCHEMA, INVENTORY_FRESHNESS, tight, 2)
-    path = write_csv("a.csv", inventory_rows())
+    tight = {**TIDE_QUALITY, "max_row_count": 2}
+    desk.register_dataset(PIPELINE, DATASET, "source", TIDE_SCHEMA, TIDE_FRESHNESS, tight, 2)
+    path = write_csv("a.csv", tide_rows())
     one = desk.submit_run(run("v1", path, contract_version=1)).first()
     two = desk.submit_run(run("v2", path, contract_version=2)).first()
     newest = desk.submit_run(run("newest", path)).first()
     assert [(h["contract_version"], states(h)["row_count"]) for h in (one, two, newest)] == [
         (1, "passed"), (2, "failed"), (2, "failed"),
     ]
-    with pytest.raises(Rejected, match="Contract version 99 not found for dataset 'inventory_snapshot'."):
+    with pytest.raises(Rejected, match="Contract version 99 not found for dataset 'tide_readings'."):
         desk.submit_run(run("v99", path, contract_version=99))
 
 
 def test_rejections_leave_no_run(desk, write_csv):
-    path = write_csv("a.csv", inventory_rows())
+    path = write_csv("a.csv", tide_rows())
     cases = [
         (run("x", "/nonexistent.csv"), "Cannot resolve source: File not found"),
         (run("x", path, target="/nonexistent.csv"), "Cannot resolve target: File not found"),
@@ -137,7 +137,7 @@ def test_rejections_leave_no_run(desk, write_csv):
 def test_unreadable_source_can_be_recorded(spark, tmp_path):
     desk = ContractDesk(spark, str(tmp_path / "control"), clock=ticking(), on_unreadable="record")
     desk.register_pipeline(PIPELINE, "owner")
-    desk.register_dataset(PIPELINE, DATASET, "source", INVENTORY_SCHEMA, {}, {})
+    desk.register_dataset(PIPELINE, DATASET, "source", TIDE_SCHEMA, {}, {})
     health = desk.submit_run(run("gone", "/nonexistent.csv")).first()
     assert health["status"] == "failed" and states(health) == {"source_readability": "failed"}
     assert health["source_row_count"] is None
@@ -145,14 +145,14 @@ def test_unreadable_source_can_be_recorded(spark, tmp_path):
 
 
 def test_target(desk, write_csv):
-    target_schema = {"product_id": {"type": "integer", "nullable": False}, "sku": {"type": "string"}}
-    desk.register_dataset(PIPELINE, "inventory_target", "target", target_schema, {}, {})
-    source = write_csv("s.csv", inventory_rows(2))
-    target = write_csv("t.csv", [{"product_id": "x", "sku": "A"}])
-    health = desk.submit_run(run("t", source, target=target, target_dataset="inventory_target")).first()
+    target_schema = {"gauge_no": {"type": "integer", "nullable": False}, "station_code": {"type": "string"}}
+    desk.register_dataset(PIPELINE, "tide_target", "target", target_schema, {}, {})
+    source = write_csv("s.csv", tide_rows(2))
+    target = write_csv("t.csv", [{"gauge_no": "x", "station_code": "A"}])
+    health = desk.submit_run(run("t", source, target=target, target_dataset="tide_target")).first()
     checks = {c["check_type"]: c for c in health["checks"]}
     assert checks["target_schema_compatibility"]["message"] == (
-        "Type violations (1): Type mismatch in 'product_id' at row 1: expected integer, got 'x'"
+        "Type violations (1): Type mismatch in 'gauge_no' at row 1: expected integer, got 'x'"
     )
     assert "Source-target mismatch: 2 vs 1 (50.0% diff, max 5%)" in checks["row_count"]["message"]
     assert health["target_row_count"] == 1
@@ -162,7 +162,7 @@ def test_target(desk, write_csv):
 
 
 def test_many_runs_at_once(desk, write_csv):
-    good, old = write_csv("g.csv", inventory_rows()), write_csv("o.csv", inventory_rows(day="2026-05-01"))
+    good, old = write_csv("g.csv", tide_rows()), write_csv("o.csv", tide_rows(day="2026-05-01"))
     wanted = [run(f"b{i}", good if i % 2 else old) for i in range(6)]
     rejected = desk.submit_runs([*wanted, wanted[0], run("bad", "/nonexistent.csv")])
     assert [(s.run_id, m) for s, m in rejected] == [
@@ -198,6 +198,52 @@ def test_running_limit(desk, write_csv, spark):
         F.lit(None).cast("timestamp_ntz").alias("ended_at"), "id", F.lit(1).alias("event_no"),
     ).withColumnRenamed("id", "seq")
     desk.store.append("runs", runs)
-    with pytest.raises(Rejected, match="Concurrent run limit exceeded for 'ecommerce_inventory': 3/3"):
-        desk.submit_run(run("one more", write_csv("a.csv", inventory_rows())))
+    with pytest.raises(Rejected, match="Concurrent run limit exceeded for 'harbour_gauges': 3/3"):
+        desk.submit_run(run("one more", write_csv("a.csv", tide_rows())))
     assert desk.metrics().first()["runs_24h"]["stuck"] == 3
+
+
+def test_a_source_that_fails_in_its_scan_fails_its_own_run_only(desk, write_csv):
+    desk.register_pipeline("other", "owner")
+    desk.register_dataset("other", DATASET, "source", TIDE_SCHEMA, TIDE_FRESHNESS, TIDE_QUALITY)
+    bad = "query://SELECT raise_error('lost') AS gauge_no FROM range(3) WHERE id > 0"
+    wanted = [run(f"bad-{i}", bad) for i in range(3)] + [Submission("other", "good", write_csv("a.csv", tide_rows()), DATASET)]
+    assert desk.submit_runs(wanted) == []
+    found = {r["run_id"]: r["status"] for p in (PIPELINE, "other") for r in desk.list_runs(p).collect()}
+    assert found == {"bad-0": "failed", "bad-1": "failed", "bad-2": "failed", "good": "passed"}
+    health = desk.run_health(PIPELINE, "bad-0").first()
+    assert states(health) == {"source_readability": "failed"} and len(health["incidents"]) == 1
+    assert desk.submit_runs([run("next", write_csv("b.csv", tide_rows()))]) == []
+
+
+def test_a_run_of_a_driver_that_died_can_be_resumed(desk, write_csv, monkeypatch):
+    one = run("r", write_csv("a.csv", tide_rows(day="2026-06-01")))
+    append = desk.store.append
+
+    def dies(table, rows, time=None):
+        if table == "runs" and "event_no" in rows.columns and rows.first()["event_no"] == 2:
+            raise KeyboardInterrupt
+        append(table, rows, time)
+
+    monkeypatch.setattr(desk.store, "append", dies)
+    with pytest.raises(KeyboardInterrupt):
+        desk.submit_runs([one])
+    monkeypatch.setattr(desk.store, "append", append)
+    assert desk.submit_run(one).first()["status"] == "running"
+    desk.submit_runs([one], resume=True)
+    health = desk.run_health(PIPELINE, "r").first()
+    assert health["status"] == "late" and len(health["checks"]) == 5 and len(health["incidents"]) == 1
+    assert desk.store.runs().count() == 1 and desk.store.checks().count() == 5 and desk.store.incidents().count() == 1
+
+
+def test_checks_and_incidents_of_any_type_count(spark):
+    from pactline.plans.runs import finalize_runs, run_verdicts
+
+    shape = "pipeline string, run_id string, check_order int, check_type string, status string, expected string, observed string, message string, error_category string"
+    rows = [("p", "a", 9, "null_rate", "failed", None, None, "too many nulls", "unknown")] * 2 + [
+        ("p", "a", 1, "source_readability", "passed", None, None, None, None), ("p", "b", 1, "source_readability", "passed", None, None, None, None)]
+    frame = spark.createDataFrame(rows, shape)
+    got = {r["run_id"]: (r["failed_checks"], r["status"]) for r in run_verdicts(frame).collect()}
+    assert got == {"a": (1, "failed"), "b": (0, "passed")}
+    final = {r["run_id"]: (r["status"], r["failure_reason"], r["error_category"]) for r in finalize_runs(frame).collect()}
+    assert final["a"] == ("failed", "too many nulls", "unknown")

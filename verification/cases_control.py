@@ -165,7 +165,7 @@ def run_new_submissions(spark, d):
     "run_admission",
     sql(
         """SELECT r.pipeline, r.run_id, coalesce(n, 0) AS running, coalesce(n, 0) < 3 AS admitted,
-  CASE WHEN n >= 3 THEN 'Concurrent run limit exceeded for ''' || r.pipeline || ''': ' || least(n, 10) || '/3' END
+  CASE WHEN n >= 3 THEN 'Concurrent run limit exceeded for ''' || r.pipeline || ''': ' || n || '/3' END
     AS reason
 FROM runs r LEFT JOIN (SELECT pipeline, count(*) AS n FROM runs WHERE status = 'running' GROUP BY 1) c
   ON c.pipeline = r.pipeline""",
@@ -206,7 +206,7 @@ SELECT s.pipeline, s.run_id, s.dataset, s.o_orderdate < TIMESTAMP '1996-01-01' A
       'Contract version ' || s.contract_version || ' not found for dataset ''' || s.dataset || '''.'
     WHEN s.contract_version IS NULL AND (v IS NULL OR s.dataset <> 'orders') THEN
       'No contract found for dataset ''' || s.dataset || '''.'
-    WHEN b.n >= 3 THEN 'Concurrent run limit exceeded for ''' || s.pipeline || ''': ' || least(b.n, 10) || '/3'
+    WHEN b.n >= 3 THEN 'Concurrent run limit exceeded for ''' || s.pipeline || ''': ' || b.n || '/3'
   END AS reject_reason
 FROM subs s
 LEFT JOIN (SELECT * FROM pipelines WHERE enabled) p ON p.name = s.pipeline
@@ -571,7 +571,7 @@ def incidents_acknowledged_counts(spark, d):
 
 @case(
     "alert_log",
-    sql("SELECT * FROM notifications ORDER BY created_at DESC, seq DESC LIMIT 100", "notifications"),
+    sql("SELECT * FROM notifications ORDER BY created_at DESC, seq DESC LIMIT 1000", "notifications"),
 )
 def alert_log(spark, d):
     return history.notification_log(t.notifications(spark, d), 1000)
