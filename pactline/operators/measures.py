@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactline.functions import timestamps, validators
 from pactline.functions.text import column, quoted
 from pactline.sources.contracts import ColumnRule, Contract
+from pactline.sources.delimited import BLOCK, ROW
 from pactline.sources.resolve import Resolved
 
 
@@ -88,7 +89,8 @@ def measure(
 
     One row for the dataset, or one per key when ``by`` names key columns.
     """
-    frame = source.frame
+    numbered = samples and not by and source.placed is not None
+    frame = source.placed if numbered else source.frame
     checked = checked_columns(frame, contract, rule_set) if schema else []
     nulls = [(i, f"__null{i}", c.rule.name) for i, c in enumerate(checked) if c.missing is not None]
     types = [(i, f"__type{i}", c.rule.name) for i, c in enumerate(checked) if c.violation is not None]
@@ -106,7 +108,7 @@ def measure(
     if timed:
         needed.add(stamp)
     if samples:
-        flags += _place(source)
+        flags += _place(source, numbered)
     rows = frame.select(*flags, *[column(n) for n in sorted(needed)])
 
     aggregates = [
@@ -119,48 +121,46 @@ def measure(
     computed = [F.expr(text) for text in aggregates]
     if timed:
         computed.append(timestamps.latest(stamp, kinds[stamp]).alias("latest"))
-    grouped = rows.groupBy(*[column(k) for k in by]) if by else rows
-    result = grouped.agg(*computed)
+    if numbered:
+        result = _over_blocks(rows.groupBy(BLOCK).agg(*computed, F.min(ROW).alias("base")))
+    else:
+        result = (rows.groupBy(*[column(k) for k in by]) if by else rows).agg(*computed)
     latest = timestamps.latest_micros(F.col("latest"), kinds[stamp]) if timed else F.lit(None).cast("bigint")
-    result = result.withColumn("latest", latest)
-    return _numbered(result, source) if samples and source.in_blocks else result
+    return result.withColumn("latest", latest)
 
 
-def _place(source: Resolved) -> list[Column]:
+def _place(source: Resolved, numbered: bool) -> list[Column]:
     """Where a row stands: its number, or its block and an id that grows with the rows."""
-    block, row = F.lit(None), F.lit(None)
-    if source.in_blocks:
-        block, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
-    elif source.row_number is not None:
-        row = source.row_number
-    return [block.cast("bigint").alias("__block"), row.cast("bigint").alias("__row")]
+    if numbered:
+        return [F.col(BLOCK), F.col(ROW)]
+    row = F.lit(None) if source.row_number is None else source.row_number
+    return [F.lit(None).cast("bigint").alias(BLOCK), row.cast("bigint").alias(ROW)]
 
 
-def _numbered(measures: DataFrame, source: Resolved) -> DataFrame:
-    """Turn the places of the first violations into row numbers of the file.
+def _over_blocks(blocks: DataFrame) -> DataFrame:
+    """The measures of a file from those of its blocks, one row per split of the scan.
 
-    The rows are counted per block; the list has one entry per block of the
-    one file, as many as the scan has splits.
+    The rows before a block turn places inside it into row numbers of the file.
     """
-    blocks = (
-        source.frame.select(*_place(source))
-        .groupBy("__block")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("base"))
-        .agg(F.collect_list(F.struct("__block", "n", "base")))
-    )
-
-    def number(first: str) -> Column:
-        return F.expr(
-            f"""CASE WHEN {first} IS NOT NULL THEN named_struct(
-              'position', {first}.position, 'block', {first}.block,
-              'row', aggregate(__blocks, {first}.row + 1, (total, b) -> total + CASE
-                WHEN b.__block < {first}.block THEN b.n WHEN b.__block = {first}.block THEN -b.base ELSE 0L END),
-              'value', {first}.value) END"""
-        ).alias(first)
-
+    before = F.coalesce(F.sum("row_count").over(Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = ("first_null", "first_type")
-    kept = [c for c in measures.columns if c not in firsts]
-    return measures.select("*", blocks.scalar().alias("__blocks")).select(*kept, *[number(f) for f in firsts])
+    placed = blocks.withColumn("before", before).withColumns(
+        {
+            f: F.when(
+                F.col(f).isNotNull(),
+                F.struct(
+                    F.col(f)["position"].alias("position"), F.col(f)["block"].alias("block"),
+                    (F.col("before") + F.col(f)["row"] - F.col("base") + 1).alias("row"), F.col(f)["value"].alias("value"),
+                ),
+            )
+            for f in firsts
+        }
+    )
+    folds = {"row_count": F.sum, "null_violations": F.sum, "type_violations": F.sum, "first_null": F.min, "first_type": F.min, "latest": F.max}
+    folded = [fold(name) for name, fold in folds.items() if name in blocks.columns]
+    names = [name for name in folds if name in blocks.columns]
+    sums = {"row_count", "null_violations", "type_violations"}
+    return placed.agg(*[(F.coalesce(x, F.lit(0)) if n in sums else x).alias(n) for n, x in zip(names, folded)])
 
 
 def key_columns(frame: DataFrame, keys: Sequence[str]) -> list[Column]:

@@ -32,30 +32,21 @@ def _of_other_type() -> Column:
     return ~F.coalesce(F.col("check_type").isin(*model.CHECK_ORDER), F.lit(False))
 
 
-def _per_type() -> list[Column]:
-    # Types beyond the model's own are few per run; each counts once like the others.
-    other = F.collect_set(F.when(_of_other_type() & _failed(), F.coalesce("check_type", F.lit(""))))
-    return [
-        *[
-            F.max(F.when(_of(t) & _failed(), 1).otherwise(0)).alias(f"failed_{i}")
-            for i, t in enumerate(model.CHECK_ORDER)
-        ],
-        F.size(other).alias("failed_other"),
-    ]
+def _per_check(checks: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """One row for each type of check of a run, with failed 0 or 1: repeats count once."""
+    failed = F.max(F.when(_failed(), 1).otherwise(0)).alias("failed")
+    return checks.groupBy(*keys, "check_type").agg(failed, *more)
 
 
-def _failures() -> Column:
-    total = F.col("failed_other")
-    for i, _ in enumerate(model.CHECK_ORDER):
-        total = total + F.col(f"failed_{i}")
-    return total
+def _totals() -> list[Column]:
+    late = F.max(F.when(_of(model.FRESHNESS), F.col("failed")).otherwise(0))
+    return [F.coalesce(F.sum("failed"), F.lit(0)).alias("failures"), late.alias("late")]
 
 
 def _status() -> Column:
-    late = F.col(f"failed_{model.CHECK_ORDER.index(model.FRESHNESS)}") == 1
     return (
-        F.when(_failures() == 0, model.PASSED)
-        .when((_failures() == 1) & late, model.LATE)
+        F.when(F.col("failures") == 0, model.PASSED)
+        .when((F.col("failures") == 1) & (F.col("late") == 1), model.LATE)
         .otherwise(model.FAILED)
     )
 
@@ -66,17 +57,16 @@ def run_verdicts(checks: DataFrame, keys: Sequence[str] = model.RUN_KEY) -> Data
     Skipped checks do not count as failures. Every type of check counts, once
     however often its result was written.
     """
-    return checks.groupBy(*keys).agg(*_per_type()).select(
-        *keys, _failures().cast("bigint").alias("failed_checks"), _status().alias("status")
+    return _per_check(checks, keys).groupBy(*keys).agg(*_totals()).select(
+        *keys, F.col("failures").alias("failed_checks"), _status().alias("status")
     )
 
 
 def finalize_runs(checks: DataFrame, keys: Sequence[str] = model.RUN_KEY) -> DataFrame:
     """Status, failure reason, row counts and first error category of every run.
 
-    One slot per check type of the model, and a set for other types, so a result
-    that was written twice by a retry counts once. Texts are looked at for
-    failures only.
+    Results are folded per type of check first, so one that was written twice by a
+    retry counts once. Texts are looked at for failures only.
     """
     keys = list(keys)
     slots = range(len(model.CHECK_ORDER))
@@ -85,32 +75,43 @@ def finalize_runs(checks: DataFrame, keys: Sequence[str] = model.RUN_KEY) -> Dat
         value = F.get_json_object("observed", f"$.{side}").try_cast("bigint")
         return F.max(F.when(_of(model.ROW_COUNT), value)).alias(side)
 
-    totals = checks.groupBy(*keys).agg(
-        *_per_type(), counted("source_row_count"), counted("target_row_count")
-    )
+    counted_sides = ("source_row_count", "target_row_count")
+    per_check = _per_check(checks, keys, *[counted(side) for side in counted_sides])
+    totals = per_check.groupBy(*keys).agg(*_totals(), *[F.max(side).alias(side) for side in counted_sides])
     texts = []
     for i, check_type in enumerate(model.CHECK_ORDER):
         message = F.coalesce("message", F.lit(f"{check_type} failed"))
         texts.append(F.min(F.when(_of(check_type), message)).alias(f"reason_{i}"))
         texts.append(F.min(F.when(_of(check_type), F.col("error_category"))).alias(f"category_{i}"))
     named = F.coalesce("message", F.concat(F.coalesce("check_type", F.lit("check")), F.lit(" failed")))
-    texts.append(
-        F.collect_set(F.when(_of_other_type(), F.struct("check_order", "check_type", named.alias("reason")))).alias("others")
+    others = (
+        checks.where(_failed() & _of_other_type())
+        .groupBy(*keys, "check_type")
+        .agg(F.min("check_order").alias("check_order"), F.min(named).alias("reason"), F.min("error_category").alias("category"))
+        .groupBy(*keys)
+        .agg(
+            F.expr("listagg(reason, '; ') WITHIN GROUP (ORDER BY check_order, check_type)").alias("other_reasons"),
+            F.min("category").alias("other_category"),
+        )
     )
-    texts.append(F.min(F.when(_of_other_type(), F.col("error_category"))).alias("category_other"))
-    others = F.transform(F.array_sort("others"), lambda x: x["reason"])
     failures = (
         checks.where(_failed())
         .groupBy(*keys)
         .agg(*texts)
         .select(
             *keys,
-            F.concat_ws("; ", *[f"reason_{i}" for i in slots], others).alias("failure_reason"),
-            F.coalesce(*[f"category_{i}" for i in slots], "category_other").alias("error_category"),
+            F.concat_ws("; ", *[f"reason_{i}" for i in slots]).alias("failure_reason"),
+            F.coalesce(*[f"category_{i}" for i in slots]).alias("error_category"),
         )
     )
-    return totals.join(failures, keys, "left").select(
-        *keys, _status().alias("status"), "failure_reason", "source_row_count", "target_row_count", "error_category"
+    reasons = F.concat_ws("; ", F.nullif("failure_reason", F.lit("")), "other_reasons")
+    return totals.join(failures, keys, "left").join(others, keys, "left").select(
+        *keys,
+        _status().alias("status"),
+        F.when(F.coalesce("failure_reason", "other_reasons").isNotNull(), reasons).alias("failure_reason"),
+        "source_row_count",
+        "target_row_count",
+        F.coalesce("error_category", "other_category").alias("error_category"),
     )
 
 

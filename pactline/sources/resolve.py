@@ -16,6 +16,8 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pactline.sources.delimited import read_delimited
+
 LOCAL = "local"
 S3 = "s3"
 TABLE = "table"
@@ -45,8 +47,8 @@ class Resolved:
     columns: tuple[str, ...] = ()
     partition_columns: tuple[str, ...] = ()
     row_number: Column | None = None
-    # One text file cut into blocks: row numbers follow from the blocks' counts.
-    in_blocks: bool = False
+    # The rows of one text file with block and row ids: row numbers follow from the blocks' counts.
+    placed: DataFrame | None = None
     error: str | None = None
 
     @property
@@ -83,9 +85,8 @@ def resolve(
     """Find the dataset behind a location.
 
     ``multi_line`` says whether quoted fields of delimited text may contain
-    line breaks. Left at None it is found out: text too small to be worth
-    splitting is read as if it did, and larger text is searched for a line
-    with an unbalanced quote, so that clean text stays splittable.
+    line breaks. Left at None it is found out by the scan that reads the files'
+    first lines, so that clean text stays splittable.
     """
     ref = parse_uri(uri)
     if ref.kind == TABLE:
@@ -145,31 +146,41 @@ def _listing(spark: SparkSession, path: str) -> DataFrame:
 
 def _from_file(spark: SparkSession, ref: SourceRef, path: str, multi_line: bool | None) -> Resolved:
     empty = "S3 object is empty" if ref.kind == S3 else "File is empty"
-    parquet = path.rstrip("/").endswith(".parquet")
+    if not path.rstrip("/").endswith(".parquet"):
+        return _from_text_file(spark, ref, path, multi_line, empty)
     try:
-        frame = spark.read.parquet(path) if parquet else _read_text(spark, path, multi_line is not False)
+        frame = spark.read.parquet(path)
         # One row tells whether there are any, and which file they come from.
-        peek = frame.select("_metadata.file_path", "_metadata.file_size").first() if frame.columns else None
-        files = [peek["file_path"]] if peek else frame.inputFiles()
-        one_file = len(files) == 1 and _same_path(files[0], path)
-        if not one_file and not parquet:
-            return Resolved(ref.uri, error=f"Not a file: {ref.path}")
+        peek = frame.select("_metadata.file_path").first() if frame.columns else None
         if peek is None:
             return Resolved(ref.uri, error=empty)
-        if parquet:
-            # The position inside the file is only a row number of the dataset
-            # when there is one file.
-            row_number = F.col("_metadata.row_index") + 1 if one_file else None
-        else:
-            limit = _bytes(spark, "spark.sql.files.openCostInBytes", "4MB")
-            if not _has_line_breaks(spark, path, peek["file_size"], limit, multi_line):
-                return Resolved(ref.uri, _read_text(spark, path, False), tuple(frame.columns), in_blocks=True)
-            row_number = F.monotonically_increasing_id() + 1
+        files = frame.inputFiles()
     except READ_ERRORS as exc:
-        if _condition(exc) == "PATH_NOT_FOUND":
-            return Resolved(ref.uri, error=f"File not found: {ref.path}")
-        return Resolved(ref.uri, error=f"Failed to read file: {reason_of(exc)}")
-    return Resolved(ref.uri, frame, tuple(frame.columns), (), row_number)
+        return _failure(ref, exc, "file")
+    # The position inside the file is only a row number of the dataset when there is one file.
+    one_file = len(files) == 1 and _same_path(files[0], path)
+    return Resolved(ref.uri, frame, tuple(frame.columns), (), F.col("_metadata.row_index") + 1 if one_file else None)
+
+
+def _from_text_file(spark: SparkSession, ref: SourceRef, path: str, multi_line: bool | None, empty: str) -> Resolved:
+    try:
+        text = read_delimited(spark, path, multi_line=multi_line)
+    except READ_ERRORS as exc:
+        return _failure(ref, exc, "file")
+    if any(not _same_path(f, path) for f in text.files):
+        return Resolved(ref.uri, error=f"Not a file: {ref.path}")
+    if text.error:
+        return Resolved(ref.uri, error=f"Failed to read file: {text.error}")
+    if text.frame is None:
+        return Resolved(ref.uri, error=empty)
+    row_number = None if text.placed is not None else F.monotonically_increasing_id() + 1
+    return Resolved(ref.uri, text.frame, text.columns, (), row_number, text.placed)
+
+
+def _failure(ref: SourceRef, exc: Exception, what: str) -> Resolved:
+    if _condition(exc) == "PATH_NOT_FOUND":
+        return Resolved(ref.uri, error=f"File not found: {ref.path}")
+    return Resolved(ref.uri, error=f"Failed to read {what}: {reason_of(exc)}")
 
 
 def _condition(exc: Exception) -> str | None:
@@ -185,34 +196,6 @@ def _same_path(listed: str, path: str) -> bool:
     return bare(unquote(listed)).endswith(bare(path).rstrip("/"))
 
 
-def _read_text(spark: SparkSession, path: str, multi_line: bool, base: str | None = None) -> DataFrame:
-    reader = spark.read.option("header", "true").option("escape", '"').option("multiLine", multi_line)
-    if base:
-        reader = reader.option("basePath", base)
-    return reader.csv(path)
-
-
-def _bytes(spark: SparkSession, key: str, default: str) -> int:
-    number, unit = re.fullmatch(r"(\d+)\s*([a-zA-Z]*)", spark.conf.get(key, default)).groups()
-    scale = {"": 0, "b": 0, "k": 1, "kb": 1, "m": 2, "mb": 2, "g": 3, "gb": 3}[unit.lower()]
-    return int(number) * 1024**scale
-
-
-def _has_line_breaks(
-    spark: SparkSession, path: str, largest: int, limit: int, multi_line: bool | None
-) -> bool:
-    """Whether quoted fields go on past the end of a line, or may do so at no cost."""
-    if multi_line is not None:
-        return multi_line
-    if largest <= limit:
-        return True
-    # A record that goes on past the line end leaves an odd number of quotes on
-    # the line it starts on.
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    return not lines.where(quotes % 2 == 1).isEmpty()
-
-
 def _from_partitions(
     spark: SparkSession, ref: SourceRef, object_store: str, multi_line: bool | None
 ) -> Resolved:
@@ -221,31 +204,26 @@ def _from_partitions(
     # The dataset starts above the first key=value folder of the path.
     head = re.split(r"/(?=[^/=]+=[^/]*(?:/|$))", path.rstrip("/"), maxsplit=1)[0]
     try:
-        listing = _listing(spark, path)
-        first = listing.select("path").first()
-        if first is None:
+        # All files have their say: two numbers for each kind of file.
+        ends = F.when(F.col("path").endswith(".parquet"), "parquet").otherwise("text").alias("kind")
+        kinds = {r["kind"] for r in _listing(spark, path).select(ends).distinct().collect()}
+        if not kinds:
             return Resolved(ref.uri, error=f"No files below: {ref.path}")
-        if first["path"].endswith(".parquet"):
-            frame = spark.read.option("basePath", head).parquet(path)
-            flat = spark.read.option("recursiveFileLookup", "true").parquet(path)
+        if len(kinds) > 1:
+            return Resolved(ref.uri, error="Failed to read partitions: Parquet and text files are mixed")
+        if kinds == {"parquet"}:
+            # Columns of any partition are columns of the dataset.
+            frame = spark.read.option("basePath", head).option("mergeSchema", "true").parquet(path)
+            flat = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(path)
+            data = tuple(c for c in frame.columns if c in flat.columns)
         else:
-            largest = listing.agg(F.max("length")).first()[0]
-            # Many files are read side by side; only files above one split matter.
-            limit = _bytes(spark, "spark.sql.files.maxPartitionBytes", "128MB")
-            whole = _has_line_breaks(spark, path, largest, limit, multi_line)
-            frame = _read_text(spark, path, whole, head)
-            flat = (
-                spark.read.option("header", "true")
-                .option("recursiveFileLookup", "true")
-                .option("multiLine", whole)
-                .csv(path)
-            )
-        if frame.isEmpty():
+            text = read_delimited(spark, path, base=head, multi_line=multi_line)
+            if text.error:
+                return Resolved(ref.uri, error=f"Failed to read partitions: {text.error}")
+            frame, data = text.frame, text.columns
+        if frame is None or frame.isEmpty():
             return Resolved(ref.uri, error="Partitioned dataset is empty")
     except READ_ERRORS as exc:
-        if _condition(exc) == "PATH_NOT_FOUND":
-            return Resolved(ref.uri, error=f"File not found: {ref.path}")
-        return Resolved(ref.uri, error=f"Failed to read partitions: {reason_of(exc)}")
-    data = tuple(c for c in frame.columns if c in flat.columns)
-    keys = tuple(c for c in frame.columns if c not in flat.columns)
+        return _failure(ref, exc, "partitions")
+    keys = tuple(c for c in frame.columns if c not in data)
     return Resolved(ref.uri, frame, data, keys)

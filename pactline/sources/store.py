@@ -53,6 +53,16 @@ class ControlStore:
             "append"
         ).partitionBy("month").parquet(self.path(table))
 
+    def make(self, table: str) -> None:
+        """Write an empty log where there is none; a month folder tells Spark how the log is cut."""
+        try:
+            self.spark.read.schema(model.CONTROL_TABLES[table]).parquet(self.path(table))
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            empty = self.spark.createDataFrame([], model.CONTROL_TABLES[table])
+            empty.write.parquet(f"{self.path(table)}/month=1970-01-01")
+
     def log(self, table: str, since: date | None = None) -> DataFrame:
         """Everything that was written, or only the month folders from a day on."""
         shape = model.CONTROL_TABLES[table]

@@ -1,7 +1,9 @@
-"""Alert rules evaluated again whenever new runs are written."""
+"""Alert rules evaluated again whenever runs, check results or incidents are written."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,21 +13,27 @@ from pactline.plans import alerts
 from pactline.sources.store import ControlStore
 
 EVALUATION_INTERVAL = "30 seconds"
+WATCHED = ("runs", "checks", "incidents")
 
 
 def watch_alerts(store: ControlStore, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write the state of every rule, under the batch number, after each arrival of runs.
+    """Write the state of every rule, under the batch number, after each arrival in a log it reads.
 
-    The arriving rows only start the evaluation; the rules read the tables.
+    The arriving rows only start the evaluation; the rules read the tables. Logs
+    that are not there yet are made, so that their first rows are seen too.
     """
 
     def evaluate(batch: DataFrame, epoch: int) -> None:
         found = alerts.rule_rows(store.pipelines(), store.runs(), store.checks(), store.incidents())
         alerts.evaluate(found).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    arrivals = store.spark.readStream.schema(model.RUNS + ", month date").parquet(store.path("runs"))
+    def arrivals(table: str) -> DataFrame:
+        store.make(table)
+        stream = store.spark.readStream.schema(model.CONTROL_TABLES[table] + ", month date")
+        return stream.parquet(store.path(table)).select(F.lit(1).alias("row"))
+
     return (
-        arrivals.select(F.lit(1).alias("run"))
+        reduce(DataFrame.union, map(arrivals, WATCHED))
         .writeStream.foreachBatch(evaluate)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": EVALUATION_INTERVAL}))

@@ -105,7 +105,7 @@ def test_row_numbers_of_a_file_in_blocks(spark, write_csv, tides, bad_row):
     )
     with small_splits(spark):
         source = resolve(spark, write_csv("a.csv", rows))
-        assert source.in_blocks and source.frame.rdd.getNumPartitions() > 20
+        assert source.placed is not None and source.frame.rdd.getNumPartitions() > 20
         found = one(check_schema(source, tides))
         both = by_type(contract_checks(source, tides, AS_OF, source, tides))
     nulls, types = len(range(bad_row, 2001, 3)), 2001 - bad_row

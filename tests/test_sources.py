@@ -1,5 +1,6 @@
 import csv
 import os
+from contextlib import nullcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,8 +60,8 @@ def test_large_files_stay_splittable_unless_a_quote_runs_on(spark, tmp_path):
     with small_splits(spark):
         split = resolve(spark, str(clean))
         whole = resolve(spark, str(broken))
-        assert split.in_blocks and split.frame.rdd.getNumPartitions() > 1
-        assert not whole.in_blocks and whole.row_number is not None
+        assert split.placed is not None and split.frame.rdd.getNumPartitions() > 1
+        assert whole.placed is None and whole.row_number is not None
         assert split.frame.count() == 500
         assert split.frame.where(F.col("text") == 'say "7"').count() == 1
         assert whole.frame.count() == 500
@@ -84,7 +85,7 @@ def test_odd_file_names(spark, tmp_path):
     path = tmp_path / "a b%20c.csv"
     path.write_text("id\n1\n")
     found = resolve(spark, str(path))
-    assert found.error is None and found.row_number is not None and found.frame.count() == 1
+    assert found.error is None and found.placed is not None and found.frame.count() == 1
 
 
 def test_object_store(spark, tmp_path):
@@ -189,3 +190,56 @@ def test_contract_table_and_files(spark, tmp_path):
     )
     read = Contract.from_row(read_contract_files(spark, str(tmp_path)).first())
     assert read.column_names == ("id",) and read.min_row_count == 2
+
+
+AWKWARD = [
+    # lines of blanks are rows, empty lines are none; any line end; quotes inside; missing and surplus fields
+    'k,v\n1,a\n  \n\n2,"x ""y"" z"\r\n3,5"\n4\n5,e,extra\n\r6,f\r7,g\n',
+    "k,v\n" + "".join(f"{i},w\n \n" for i in range(300)),
+    "k,v\nk,v\n1,2\n",
+]
+
+
+def reader_rows(text):
+    """What Python's reader makes of a file, by column name; absent and empty fields alike."""
+    rows = list(csv.DictReader(text.splitlines(keepends=True)))
+    return [tuple(r[c] or None for c in ("k", "v")) for r in rows]
+
+
+@pytest.mark.parametrize("text", AWKWARD)
+@pytest.mark.parametrize("small", [True, False])
+def test_rows_of_a_file_do_not_depend_on_its_size(spark, tmp_path, text, small):
+    path = tmp_path / "t.csv"
+    path.write_bytes(text.encode())
+    with small_splits(spark) if small else nullcontext():
+        found = {m: resolve(spark, str(path), multi_line=m).frame.collect() for m in (None, False)}
+    assert all(sorted(map(tuple, rows), key=repr) == sorted(reader_rows(text), key=repr) for rows in found.values())
+    if "\r" not in text:
+        whole = resolve(spark, str(path), multi_line=True).frame.collect()
+        assert sorted(map(tuple, whole), key=repr) == sorted(reader_rows(text), key=repr)
+
+
+def test_columns_by_header_name(spark, tmp_path):
+    for day, text in {1: "k,v\n1,one\n", 2: "v,k\ntwo,2\n", 3: "k,v,extra\n3,three,x\n"}.items():
+        (tmp_path / "d" / f"day={day}").mkdir(parents=True)
+        (tmp_path / "d" / f"day={day}" / "f.csv").write_text(text)
+    found = resolve(spark, f"partition://{tmp_path}/d")
+    assert found.columns == ("k", "v", "extra") and found.partition_columns == ("day",)
+    rows = sorted((r.k, r.v, r.extra, r.day) for r in found.frame.collect())
+    assert rows == [("1", "one", None, 1), ("2", "two", None, 2), ("3", "three", "x", 3)]
+
+
+def test_columns_of_any_parquet_partition(spark, tmp_path):
+    spark.range(2).selectExpr("id AS k").write.parquet(f"{tmp_path}/p/day=1")
+    spark.range(2).selectExpr("id AS k", "id AS extra").write.parquet(f"{tmp_path}/p/day=2")
+    assert resolve(spark, f"partition://{tmp_path}/p").columns == ("k", "extra")
+    (tmp_path / "p" / "day=2" / "x.csv").write_text("k\n1\n")
+    assert "mixed" in resolve(spark, f"partition://{tmp_path}/p").error
+
+
+def test_repeated_header_names_and_foreign_text(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("a,b,a\n1,2,3\n")
+    found = resolve(spark, str(tmp_path / "r.csv"))
+    assert found.columns == ("a", "b") and tuple(found.frame.first()) == ("3", "2")
+    (tmp_path / "f.csv").write_bytes(b"a,b\n1,\xe9\n")
+    assert resolve(spark, str(tmp_path / "f.csv")).error == "Failed to read file: text is not valid UTF-8"

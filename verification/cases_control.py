@@ -368,12 +368,12 @@ def contract_latest(spark, d):
     "contract_by_version",
     sql(
         f"""SELECT {', '.join(CONTRACT_COLUMNS)} FROM contracts
-WHERE pipeline = 'Customer#000000007' AND dataset = 'orders' AND version = 3""",
+WHERE pipeline = 'Customer#000000000' AND dataset = 'orders' AND version = 1""",
         "contracts",
     ),
 )
 def contract_by_version(spark, d):
-    found = registry.contract_by_version(t.contracts(spark, d), "Customer#000000007", "orders", 3)
+    found = registry.contract_by_version(t.contracts(spark, d), "Customer#000000000", "orders", 1)
     return found.select(*CONTRACT_COLUMNS)
 
 

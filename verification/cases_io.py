@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactline import model
-from pactline.operators.checks import contract_checks
+from pactline.operators.checks import check_freshness, check_readability, check_row_count, check_schema, contract_checks
 from pactline.plans import registry
 from pactline.session import work_folder
 from pactline.sources.contracts import ColumnRule, Contract, explode_columns, read_contract_files
@@ -42,11 +44,14 @@ def source_parquet(spark, d):
     return resolve(spark, f"{d}/orders.parquet").frame
 
 
-@case("source_text", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, text FROM documents")
+@case(
+    "source_text",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents",
+)
 def source_text(spark, d):
     """Texts with quotes and line breaks through delimited files."""
     folder = _bare(work_folder(spark, "text"))
-    rows = t.table(spark, d, "documents").select("doc_id", "lang", "text")
+    rows = t.table(spark, d, "documents")
     rows.write.option("header", "true").option("escape", '"').csv(folder)
     return resolve(spark, f"partition://{folder}").frame
 
@@ -133,16 +138,96 @@ def source_profile(spark, d):
 
 
 @case(
-    "source_unreadable",
-    """SELECT 'failed' AS status, 'source_not_found' AS error_category,
-  '{"parseable":true}' AS expected FROM orders HAVING count(*) > 0""",
+    "source_text_file",
+    """SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ', "' || p_brand || '"' AS name FROM part
+UNION ALL SELECT '  ', NULL FROM part WHERE p_partkey % 7 = 0""",
+)
+def source_text_file(spark, d):
+    """One text file with empty lines, lines of blanks and quoted commas; one writer makes one file."""
+    folder = _bare(work_folder(spark, "file"))
+    part = t.table(spark, d, "part")
+    line = F.concat(F.col("p_partkey"), F.lit(',"'), F.col("p_name"), F.lit(', ""'), F.col("p_brand"), F.lit('"""'))
+    odd = F.when(F.col("p_partkey") % 7 == 0, F.array(line, F.lit("  "), F.lit(""))).otherwise(F.array(line))
+    lines = part.select(F.lit(1).alias("place"), F.explode(odd).alias("value"))
+    header = spark.range(1).select(F.lit(0).alias("place"), F.lit("id,name").alias("value"))
+    header.unionByName(lines).coalesce(1).sortWithinPartitions("place").select("value").write.text(folder)
+    file = spark.read.text(folder).select("_metadata.file_path").first()[0]
+    return resolve(spark, _bare(file)).frame
+
+
+@case(
+    "source_text_headers",
+    """SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey % 3 < 2 THEN c_name END AS name,
+  CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS segment, CAST(c_custkey % 3 AS INTEGER) AS part FROM customer""",
+)
+def source_text_headers(spark, d):
+    """Partitions of text whose columns differ in order and number."""
+    folder = _bare(work_folder(spark, "headers"))
+    rows = t.table(spark, d, "customer").selectExpr("c_custkey AS key", "c_name AS name", "c_mktsegment AS segment")
+    for part, columns in enumerate((["key", "name"], ["segment", "name", "key"], ["segment", "key"])):
+        chosen = rows.where(F.col("key") % 3 == part).select(*columns)
+        chosen.write.option("header", "true").csv(f"{folder}/part={part}")
+    return resolve(spark, f"partition://{folder}").frame.select("key", "name", "segment", "part")
+
+
+def _drifting(spark, d):
+    folder = _bare(work_folder(spark, "drift"))
+    orders = t.table(spark, d, "orders").withColumn("extra", F.col("o_custkey"))
+    base = ["o_orderkey", "o_orderpriority"]
+    for status, columns in {"F": base, "O": [*base, "extra"], "P": base[:1]}.items():
+        orders.where(F.col("o_orderstatus") == status).select(*columns).write.parquet(f"{folder}/o_orderstatus={status}")
+    return folder
+
+
+@case(
+    "source_partitions_drift",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS o_orderpriority,
+  CASE WHEN o_orderstatus = 'O' THEN o_custkey END AS extra, o_orderstatus FROM orders""",
 )
-def source_unreadable(spark, d):
-    contract = Contract((ColumnRule("o_orderkey", "integer"),))
-    found = contract_checks(resolve(spark, f"{d}/orders.csv"), contract, datetime(2002, 1, 1))
-    # One row per table that is there to be checked instead.
-    known = t.table(spark, d, "orders").agg(F.count(F.lit(1)).alias("n"))
-    return found.select("status", "error_category", "expected", known.scalar().alias("n")).where("n > 0").drop("n")
+def source_partitions_drift(spark, d):
+    """Partitions with a column more or less than others."""
+    found = resolve(spark, f"partition://{_drifting(spark, d)}").frame
+    return found.select("o_orderkey", "o_orderpriority", "extra", "o_orderstatus")
+
+
+@case(
+    "check_partitions_drift",
+    """SELECT 'failed' AS status, 'Unexpected columns: [''extra'']; Null violations ('
+  || count(*) FILTER (o_orderstatus = 'P') || '): Null in non-nullable column ''o_orderpriority''' AS message FROM orders""",
+)
+def check_partitions_drift(spark, d):
+    """The schema check names a column that some partitions have, and counts what others lack."""
+    source = resolve(spark, f"partition://{_drifting(spark, d)}")
+    contract = Contract((ColumnRule("o_orderkey", "integer", False), ColumnRule("o_orderpriority", "string", False)))
+    return check_schema(source, contract).select("status", "message")
+
+
+@case(
+    "checks_unreadable",
+    """SELECT v.* FROM (SELECT count(*) AS n FROM customer), LATERAL (VALUES
+  ('good', 'source_readability', 'passed', 'Source readable: ' || n || ' rows, 2 columns'),
+  ('bad', 'source_readability', 'failed', 'Source not readable: Failed to read partitions: text is not valid UTF-8'),
+  ('bad', 'schema_compatibility', 'failed',
+    'Cannot read source for schema check: Failed to read partitions: text is not valid UTF-8'),
+  ('bad', 'row_count', 'failed', 'Cannot read source for row count: Failed to read partitions: text is not valid UTF-8'),
+  ('bad', 'freshness', 'failed', 'Cannot read source for freshness: Failed to read partitions: text is not valid UTF-8')
+) v(source, check_type, status, message)""",
+)
+def checks_unreadable(spark, d):
+    """A folder in which the rows of one nation are in another encoding, and the same rows in the right one."""
+    folder = _bare(work_folder(spark, "encodings"))
+    name = F.concat("c_name", F.lit(" é")).alias("name")
+    rows = t.table(spark, d, "customer").select("c_custkey", name, "c_nationkey")
+    rows.drop("c_nationkey").write.option("header", "true").csv(f"{folder}/good")
+    for damaged, encoding in ((F.col("c_nationkey") == 3, "ISO-8859-1"), (F.col("c_nationkey") != 3, "UTF-8")):
+        chosen = rows.where(damaged).drop("c_nationkey").write.mode("append").option("header", "true")
+        chosen.option("encoding", encoding).csv(f"{folder}/bad")
+    contract = Contract((ColumnRule("c_custkey", "integer"),))
+    good, bad = (resolve(spark, f"partition://{folder}/{x}") for x in ("good", "bad"))
+    results = [("good", check_readability(good)), ("bad", check_readability(bad)), ("bad", check_schema(bad, contract))]
+    results += [("bad", check_row_count(bad, contract)), ("bad", check_freshness(bad, contract, datetime(2002, 1, 1)))]
+    named = [f.select(F.lit(n).alias("source"), "check_type", "status", "message") for n, f in results]
+    return reduce(DataFrame.unionByName, named)
 
 
 @case(
@@ -300,14 +385,17 @@ def stream_unique_keys(spark, d):
 
 @case("stream_alerts", control.CASES["alerts_firing"][1])
 def stream_alerts(spark, d):
-    """The alert rules over stored tables, started by the arrival of runs."""
+    """The alert rules over stored tables; incidents and half of the checks arrive after the runs."""
     folder = work_folder(spark, "alerts")
     store = ControlStore(spark, f"{folder}/store")
     store.append("pipelines", t.pipelines(spark, d))
-    store.append("checks", t.checks(spark, d), date(2001, 1, 1))
-    store.append("incidents", t.incidents(spark, d).withColumn("event_no", F.lit(0)))
+    checks, late = t.checks(spark, d), F.col("check_order") % 2 == 0
+    store.append("checks", checks.where(~late), date(2001, 1, 1))
     store.append("runs", _events(t.runs(spark, d)))
     watch_alerts(store, f"{folder}/out", f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    store.append("checks", checks.where(late), date(2001, 1, 1))
+    store.append("incidents", t.incidents(spark, d).withColumn("event_no", F.lit(0)))
+    watch_alerts(store, f"{folder}/out", f"{folder}/checkpoint", availableNow=True).awaitTermination()
     states = spark.read.parquet(f"{folder}/out")
     newest = states.agg(F.max("epoch").alias("epoch"))
     return states.join(newest, "epoch", "left_semi").drop("epoch")
