@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pactline.llm.graph import components
-from pactline.llm.store import written
+from pactline.llm.store import sieved, written
 from pactline.llm.text import grams, row_hash, table, text_of, word_hashes
 
 #: Share of the token space, in 64ths, whose frequencies are counted.
@@ -85,16 +85,19 @@ def _sets(k: int, percent: int, whole: bool):
     return run
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """token, id, n, level, shared: the postings of each document's prefix that occur elsewhere too.
+def prefixes(sets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """token, id, n, level, shared: the postings of each head's prefix that occur elsewhere too.
 
     level is the least l at which the token belongs to the prefix; shared is the l
     that the document chose.
     """
-    postings = sets.select(F.col("uid").alias("id"), "n", "light", F.posexplode("tokens").alias("place", "token"))
-    counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    # The border cuts between two hashes that may share their first 48 bits: count by place, not by value.
-    known = written(postings.join(counts, "token"))
+    postings = sets.select(F.posexplode("tokens").alias("place", "token"), F.col("uid").alias("id"))
+    # Counted by a part of the token, in short rows: what is unique in it is unique.
+    part = (F.col("token").bitwiseAND(0xFFFFFFFF) - (1 << 31)).cast("int")
+    counts = postings.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    known = written(postings.join(counts, part == F.col("part")).select("token", "df", "id", "place"))
+    # Copies were counted; from here on one document stands for each class.
+    known = known.join(heads.select(F.col("uid").alias("id"), "n", "light"), "id")
     light = F.col("place") < F.col("light")
     own = W.partitionBy("id")
     ranked = known.withColumn("_light", light).withColumn(
@@ -145,19 +148,24 @@ def _sizes_fit(a: str, b: str, percent: int):
     return (x * 100 >= y * percent) & (y * 100 >= x * percent)
 
 
-def links(rows: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b), by uid, that connect all that is connected among sets of different classes."""
-    postings = written(prefixes(sets, percent))
-    asked = sets.select("uid", F.col("id").alias("_id"), F.col("row").alias("_row")).join(
-        postings.select(F.col("id").alias("uid")).distinct(), "uid", "left_semi"
-    )
-    texts = rows.join(asked, (F.col("id") == F.col("_id")) & (F.col("row") == F.col("_row"))).select("uid", F.lit(0), "text")
-    whole = written(texts.mapInArrow(_sets(k, percent, True), "id long, n long, set binary").dropDuplicates(["id"]))
+def links(rows: DataFrame, sets: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b), by uid, that connect all that is connected among the heads, which have different sets."""
+    postings = written(prefixes(sets, heads, percent))
+    asked = heads.join(postings.select(F.col("id").alias("uid")).distinct(), "uid", "left_semi")
+    asked = written(asked.select("uid", F.col("id").alias("_id"), F.col("row").alias("_row")))
+    few, _ = sieved(rows, asked.withColumnRenamed("_row", "row"))
+    texts = few.join(asked, (F.col("id") == F.col("_id")) & (F.col("row") == F.col("_row")))
+    whole = texts.select("uid", F.lit(0), "text").mapInArrow(_sets(k, percent, True), "id long, n long, set binary")
+    # Of rows that agree in id and text one is enough.
+    again = sets.groupBy("id", "row").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("uid")).filter("c > 1").select(F.col("uid").alias("id"))
+    whole = written(whole)
+    whole = whole.join(again, "id", "left_anti").unionByName(whole.join(again, "id", "left_semi").dropDuplicates(["id"]))
     lead = postings.groupBy("token").agg(F.min(F.struct("id", "n")).alias("lead"))
     stars = (
         postings.join(lead, "token").filter("id > lead.id").filter(_sizes_fit("n", "lead.n", percent))
         .select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
     )
+    stars = written(stars)
     near = written(verified(stars, whole, percent))
     named = components(near)
     placed = postings.join(named.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -180,7 +188,8 @@ def links(rows: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("c"), F.first(F.least("r.shared", "s.shared")).alias("l"))
         .filter("c >= l").select("a", "b").join(stars, ["a", "b"], "left_anti")
     )
-    return near.unionByName(written(verified(crossing, whole, percent)))
+    # Written first, for their number is known then: few pairs are broadcast, and the sets stay where they are.
+    return near.unionByName(written(verified(written(crossing), whole, percent)))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column="doc_id", text_column="text") -> DataFrame:
@@ -200,8 +209,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column
     light = sets.select("uid", "id", "row", "n", "digest")
     classes = light.filter("n > 0").groupBy("digest").agg(F.min(F.struct("id", "row", "uid")).alias("head"))
     classes = written(classes.select("digest", "head.*"))
-    heads = sets.join(classes.select("uid"), "uid", "left_semi")
-    named = components(links(rows, heads, k, percent))
+    heads = written(sets.select("uid", "id", "row", "n", "light").join(classes.select("uid"), "uid", "left_semi"))
+    named = components(links(rows, sets, heads, k, percent))
     placed = classes.join(named, classes["uid"] == named["node"], "left").select(
         "digest", "id", "row", F.coalesce("component", "uid").alias("component")
     )
@@ -220,17 +229,24 @@ def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_column="doc_id", text_column="text") -> DataFrame:
-    """docs with one row of each component; rows that agree in id and text are one."""
-    keep = written(jaccard_components(docs, k, percent, id_column, text_column).filter("kept").groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("c")))
-    keyed = docs.withColumn("_row", row_hash(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), text_of(text_column)))
-
-    def of(part: DataFrame) -> DataFrame:
-        part = part.select(F.col("doc_id").alias("_id"), F.col("row").alias("_kept"))
-        same = keyed[id_column].cast("long").eqNullSafe(part["_id"]) & (keyed["_row"] == part["_kept"])
-        return keyed.join(part, same, "left_semi")
+    """docs with one row of each component; rows that agree in id and text are one.
 
-    repeated = of(keep.filter("c > 1")).dropDuplicates([id_column, "_row"])
-    return of(keep.filter("c = 1")).unionByName(repeated).select(*docs.columns)
+    Rows without shingles all stay.
+    """
+    placed = jaccard_components(docs, k, percent, id_column, text_column)
+    placed = written(placed.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_kept"), "kept").agg(
+        F.count(F.lit(1)).alias("_c"), F.max("n_shingles").alias("_n")
+    ))
+    # Of most rows nothing is to be decided; only the others move.
+    open_ = placed.filter("not kept or (_c > 1 and _n > 0)")
+    row = row_hash(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), text_of(text_column))
+    maybe, rest = sieved(docs.withColumn("_row", row), open_.withColumnRenamed("_kept", "_row"), "_row")
+    same = maybe[id_column].cast("long").eqNullSafe(placed["_id"]) & (maybe["_row"] == placed["_kept"])
+    joined = maybe.join(placed.filter("kept"), same)
+    repeated = F.col("_c") > 1
+    once = joined.filter(~repeated | (F.col("_n") == 0)).select(*docs.columns)
+    several = joined.filter(repeated & (F.col("_n") > 0)).dropDuplicates([id_column, "_row"]).select(*docs.columns)
+    return rest.select(*docs.columns).unionByName(once).unionByName(several)
 
 
 OP2_SQL = r"""

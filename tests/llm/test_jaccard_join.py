@@ -85,7 +85,7 @@ def test_prefixes_share_as_many_tokens_as_they_promise(spark):
     frame = docs(spark, rows).selectExpr("doc_id as id", "0L as row", "text").coalesce(1)
     sets = frame.mapInArrow(jj._sets(5, 80, False), jj.SETS).selectExpr("*", "id as uid")
     prefix = {}
-    for p in jj.prefixes(sets, 80).collect():
+    for p in jj.prefixes(sets, sets, 80).collect():
         prefix.setdefault(p.id, {})[p.token] = (p.level, p.shared)
     whole = {i: shingles(t, 5) for i, t in rows}
     for i, x in whole.items():
