@@ -10,11 +10,13 @@ estimated cost of both decides.
 * Frequencies are needed only for a fixed share LIGHT of the token space: a set's
   tokens there are more than its prefix, as a rule; where they are fewer the prefix
   goes on with the other tokens by hash. The order stays common to all.
-* Candidates come in two rounds. First every document meets the smallest document of
-  each of its posting lists, as many pairs as postings. What these pairs connect needs
-  no further check; the second round enumerates only pairs of a list whose documents
-  are in different components, each outside the list's largest against all others. So
-  a list of thousands of near copies costs its length, not its square.
+* Candidates come in two rounds. First every document meets one document of each of its
+  posting lists, the one most of which is found elsewhere: as many pairs as postings.
+  What these pairs connect needs no further check. The second round looks at pairs of a
+  list whose documents are in different components, each outside the list's largest
+  against all others, and passes only those that can be similar by the shingles that
+  neither has alone. So a list of thousands of near copies does not make its square of
+  candidates.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ TOKEN_BITS = 48
 MOST_SHARED = 4
 #: Cost of verifying a candidate, in postings read.
 VERIFY = 8.0
+#: Documents outside a list's largest component from which on pairs are looked at more closely.
+CROWD = 16
 NO_ID = (1 << 63) - 1
 
 SETS = "id long, row long, n long, light long, digest binary, tokens array<long>"
@@ -86,7 +90,7 @@ def _sets(k: int, percent: int, whole: bool):
 
 
 def prefixes(sets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """token, id, n, level, shared: the postings of each head's prefix that occur elsewhere too.
+    """token, id, n, level, shared, weight: the postings of each head's prefix that occur elsewhere too.
 
     level is the least l at which the token belongs to the prefix; shared is the l
     that the document chose.
@@ -100,6 +104,8 @@ def prefixes(sets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     known = known.join(heads.select(F.col("uid").alias("id"), "n", "light"), "id")
     light = F.col("place") < F.col("light")
     own = W.partitionBy("id")
+    # How much of a document is found elsewhere: most of all in what its copies were made from.
+    known = known.withColumn("weight", F.count(F.lit(1)).over(own) / F.greatest("light", F.lit(1)))
     ranked = known.withColumn("_light", light).withColumn(
         "_nth", F.row_number().over(W.partitionBy("id", "_light").orderBy("df", "token"))
     )
@@ -117,7 +123,7 @@ def prefixes(sets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
         options.append(F.when(F.lit(l) <= F.col("_most"), F.struct((read * (1 + VERIFY / l)).alias("cost"), F.lit(l).alias("l"))))
     ranked = ranked.withColumn("shared", F.array_min(F.array_compact(F.array(*options)))["l"])
     level = F.greatest(F.lit(1), F.col("rank") - F.col("_base") + 2).cast("int")
-    return ranked.select("token", "id", "n", level.alias("level"), "shared").filter("level <= shared")
+    return ranked.select("token", "id", "n", level.alias("level"), "shared", "weight").filter("level <= shared")
 
 
 def _verify(percent: int):
@@ -136,6 +142,13 @@ def _verify(percent: int):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(cell.as_py(), np.int64) for cell in batch.column(1)]
+        ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets) if sets else ids)], ["id", "shingle"])
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     first = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
@@ -160,10 +173,11 @@ def links(rows: DataFrame, sets: DataFrame, heads: DataFrame, k: int, percent: i
     again = sets.groupBy("id", "row").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("uid")).filter("c > 1").select(F.col("uid").alias("id"))
     whole = written(whole)
     whole = whole.join(again, "id", "left_anti").unionByName(whole.join(again, "id", "left_semi").dropDuplicates(["id"]))
-    lead = postings.groupBy("token").agg(F.min(F.struct("id", "n")).alias("lead"))
+    lead = postings.groupBy("token").agg(F.max(F.struct("weight", -F.col("id"), "n")).alias("lead"))
+    lead = lead.select("token", (-F.col("lead.col2")).alias("lead"), F.col("lead.n").alias("lead_n"))
     stars = (
-        postings.join(lead, "token").filter("id > lead.id").filter(_sizes_fit("n", "lead.n", percent))
-        .select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+        postings.join(lead, "token").filter("id <> lead").filter(_sizes_fit("n", "lead_n", percent))
+        .select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
     )
     stars = written(stars)
     near = written(verified(stars, whole, percent))
@@ -175,12 +189,24 @@ def links(rows: DataFrame, sets: DataFrame, heads: DataFrame, k: int, percent: i
         placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
         .groupBy("token").agg(F.max(F.struct("c", "component")).alias("top")).select("token", F.col("top.component").alias("main"))
     )
-    placed = placed.join(largest, "token").withColumn("minor", F.col("component") != F.col("main")).drop("main")
+    placed = written(placed.join(largest, "token").withColumn("minor", F.col("component") != F.col("main")).drop("main"))
+    # Lists in which many are outside the largest component, as among near copies that are just too different.
+    crowds = placed.filter("minor").groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > CROWD).select("token", F.lit(True).alias("crowded"))
+    placed = placed.join(crowds, "token", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    # Their documents' shingles that no other of these documents has: none of the links between them can count those.
+    met = placed.filter("crowded").select("id").distinct()
+    shingles = whole.join(met, "id", "left_semi").select("id", "set").mapInArrow(_shingles, "id long, shingle long")
+    alone = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(
+        F.count(F.lit(1)).alias("alone")
+    )
+    placed = placed.join(alone, "id", "left").withColumn("rest", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
     r, s = placed.filter("minor").alias("r"), placed.alias("s")
+    most = F.least("r.rest", "s.rest")
     meets = (
         (F.col("r.token") == F.col("s.token")) & (F.col("r.component") != F.col("s.component"))
         & (~F.col("s.minor") | (F.col("r.id") < F.col("s.id"))) & _sizes_fit("r.n", "s.n", percent)
         & (F.greatest("r.level", "s.level") <= F.least("r.shared", "s.shared"))
+        & (~F.col("r.crowded") | (most * 100 >= (F.col("r.n") + F.col("s.n") - most) * percent))
     )
     crossing = (
         r.join(s, meets)

@@ -51,8 +51,9 @@ def variants(seed=2):
     return rows
 
 
-@pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
-def test_equals_all_pairs(spark, k, percent):
+@pytest.mark.parametrize("k, percent, crowd", [(4, 85, 0), (5, 80, 16)])
+def test_equals_all_pairs(spark, monkeypatch, k, percent, crowd):
+    monkeypatch.setattr(jj, "CROWD", crowd)
     rows = variants()
     assert found(spark, rows, k, percent) == expected(rows, k, percent)
 
