@@ -11,8 +11,8 @@ weight in each. A passage first adds up its terms' range maxima, for all passage
 ranges of a document at once; only ranges that can reach the threshold are walked,
 list by list, and items before a pivot are skipped unscored.
 
-Retrieved pairs are verified: the item's shingles, question and answer each, that
-occur in the passage's surroundings.
+All retrieved passages of a pair are verified, up to the first that holds: the item's
+shingles, question and answer each, that occur in the passage's surroundings.
 """
 
 from __future__ import annotations
@@ -123,8 +123,8 @@ class Index:
             cursors = sorted(c for c in cursors if c[0] >= 0)
         return found
 
-    def retrieve(self, words: list[str], least: float) -> dict[int, tuple[float, int]]:
-        """Every item that a passage of the text reaches, with its best score and the passage's first word.
+    def hits(self, words: list[str], least: float) -> Iterator[tuple[int, float, int]]:
+        """(item, score, the passage's first word) of every item that a passage of the text reaches.
 
         A passage is two neighbouring halves of at least an item's length, so any
         stretch of that length lies whole in a passage. Its block maxima are added up
@@ -134,9 +134,8 @@ class Index:
         get = self.terms.get
         ids = np.array([get(w, -1) for w in words], np.int64)
         at = np.flatnonzero(ids >= 0)
-        best: dict[int, tuple[float, int]] = {}
         if not len(at) or not len(self.lists):
-            return best
+            return
         n = len(self.lists)
         keys = np.unique((at // half) * n + ids[at])
         place, terms = keys // n, keys % n
@@ -152,20 +151,37 @@ class Index:
                 h += first
                 upto = ends[h + 1] if h + 1 < len(halves) and halves[h + 1] == halves[h] + 1 else ends[h]
                 for item, score in self.walk(np.unique(terms[begin[h] : upto]).tolist(), r, least):
-                    if item not in best or score > best[item][0]:
-                        best[item] = (score, int(halves[h]) * half)
+                    yield item, score, int(halves[h]) * half
+
+    def retrieve(self, words: list[str], least: float) -> dict[int, tuple[float, int]]:
+        """Every item that a passage of the text reaches, with its best score and the first word of the first such passage."""
+        best: dict[int, tuple[float, int]] = {}
+        for item, score, start in self.hits(words, least):
+            if item not in best or score > best[item][0]:
+                best[item] = (score, start)
         return best
 
 
 def matches(words: list[str], index: Index, least: float, overlap: float) -> list[tuple[int, float, float, float]]:
-    """(item, best score, question overlap, answer overlap) of the items that a text contains."""
+    """(item, best score, question overlap, answer overlap) of the items that a text contains.
+
+    Every passage that reaches an item may hold it, whatever the others score: they are
+    verified from the best on, up to the first that does.
+    """
     out = []
     size = 2 * max(index.longest, 8)
-    for item, (score, start) in sorted(index.retrieve(words, least).items()):
-        near = words[max(0, start - size) : start + 2 * size]
-        shares = [contained(part, near) for part in question_and_answer(index.words[item])]
-        if min(shares) >= overlap or contained(index.words[item], near) >= overlap:
-            out.append((index.ids[item], score, *shares))
+    reached: dict[int, list[tuple[float, int]]] = {}
+    for item, score, start in index.hits(words, least):
+        reached.setdefault(item, []).append((-score, start))
+    for item, passages in sorted(reached.items()):
+        passages.sort()
+        parts = question_and_answer(index.words[item])
+        for _, start in passages:
+            near = words[max(0, start - size) : start + 2 * size]
+            shares = [contained(part, near) for part in parts]
+            if min(shares) >= overlap or contained(index.words[item], near) >= overlap:
+                out.append((index.ids[item], -passages[0][0], *shares))
+                break
     return out
 
 
@@ -214,7 +230,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_column="doc_id", text_col
             terms = mine.select(F.explode("words").alias("word")).distinct()
             df = {r.word: r.df for r in frequency.join(terms, "word", "left_semi").collect()}
             index = Index(sorted(here), df, stats.n, mean)
-            out = out.union(rows.mapInArrow(_query([index], least, overlap), schema))
+            found = rows.mapInArrow(_query([index], least, overlap), schema)
+            # Written before the next is built: the driver holds one index at a time.
+            out = out.union(written(found) if blocks > 1 else found)
     return out
 
 

@@ -71,3 +71,18 @@ def test_odd_rows(spark):
     assert dc.contaminated(docs(spark, []), items).count() == 0
     assert dc.contaminated(docs(spark, odd_rows()), items.limit(0)).count() == 0
     assert dc.without_contaminated(docs(spark, odd_rows()), items.limit(0)).count() == len(odd_rows())
+
+
+def test_a_copy_behind_a_passage_of_the_same_words_in_other_order(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(words(rng, 12)) + "? " + " ".join(words(rng, 9)) + ".") for i in range(6)]
+    rows = []
+    for d, (_, text) in enumerate(items):
+        mixed = text.split()
+        rng.shuffle(mixed)
+        copy = text.split() if d % 2 else []
+        rows.append((d, " ".join([*words(rng, 40), *mixed, *words(rng, 600), *mixed, *words(rng, 600), *copy, *words(rng, 30)])))
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    for block in (2000, 2):
+        got = dc.contaminated(docs(spark, rows), frame, block=block).collect()
+        assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (3, 3), (5, 5)]
