@@ -69,18 +69,21 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     edge = np.flatnonzero(np.diff(np.concatenate(([False], positive, [False])).astype(np.int8)))
     sums = np.concatenate(([0.0], np.cumsum(scores)))
     kept: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum at end
+    smaller: list[int] = []  # of each kept segment, the nearest earlier one with a smaller sum before it
     for start, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
         left, right = float(sums[start]), float(sums[end])
+        j = len(kept) - 1
         while True:
-            j = len(kept) - 1
             while j >= 0 and kept[j][2] >= left:
-                # Segments whose left sum is not smaller can never be joined by later ones either.
-                j -= 1
+                # What a link passes over has no smaller sum either; no later search sees it again.
+                j = smaller[j]
             if j < 0 or kept[j][3] >= right:
                 kept.append((start, end, left, right))
+                smaller.append(j)
                 break
-            start, left = kept[j][0], kept[j][2]
-            del kept[j:]
+            start, left, after = kept[j][0], kept[j][2], smaller[j]
+            del kept[j:], smaller[j:]
+            j = after
     return [(s, e, r - x) for s, e, x, r in kept]
 
 

@@ -1,6 +1,7 @@
 """Segments against a naive scan; what the model learns, and what it must not read."""
 
 import random
+import time
 
 import numpy as np
 from llm.data import docs, odd_rows, words
@@ -33,6 +34,14 @@ def test_segments_equal_definition():
         assert got == sorted((a, b, round(float(v), 6)) for a, b, v in naive_segments(scores))
 
 
+def test_segments_of_a_very_long_clean_text_in_linear_time():
+    n = 100_000
+    began = time.process_time()
+    got = tx.segments(np.tile([1.0, -2.0], n))
+    assert got == [(2 * i, 2 * i + 1, 1.0) for i in range(n)]
+    assert time.process_time() - began < 20
+
+
 def corpus(spark):
     rng = random.Random(8)
     vocabulary = words(rng, 300)
