@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pactline.llm import chaining, decontaminate, host_rules, jaccard_join, mixing, preference, revisits, secrets, suffix_dedup, toxicity
+from pactline.llm import (
+    chaining, decontaminate, host_rules, jaccard_join, mixing, periods, preference, revisits, secrets, simhash, spelling, suffix_dedup, toxicity,
+)
 
 CASES = {
     "op1_suffix_dedup": (suffix_dedup.op1_suffix_dedup, None),
@@ -15,4 +17,7 @@ CASES = {
     "op8_decontaminate": (decontaminate.op8_decontaminate, None),
     "op9_secret_scan": (secrets.op9_secret_scan, None),
     "op10_fuzzy_passages": (chaining.op10_fuzzy_passages, None),
+    "op11_periodic_runs": (periods.op11_periodic_runs, None),
+    "op12_simhash_components": (simhash.op12_simhash_components, None),
+    "op13_spelling_groups": (spelling.op13_spelling_groups, None),
 }

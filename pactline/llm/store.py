@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The most keys that are broadcast because many rows have them.
+HOT_KEYS = 1024
 #: Buckets of a sieve: the most rows that it broadcasts.
 SIEVE_BUCKETS = 1 << 20
 
@@ -36,3 +38,16 @@ def sieved(rows: DataFrame, asked: DataFrame, key: str = "row") -> tuple[DataFra
     buckets = written(asked.select(bucket(F.col(key)).alias("_bucket")).distinct())
     inside = bucket(rows[key]) == buckets["_bucket"]
     return rows.join(F.broadcast(buckets), inside, "left_semi"), rows.join(F.broadcast(buckets), inside, "left_anti")
+
+
+def hot_and_rest(rows: DataFrame, classes: DataFrame, key: str, class_key: str) -> DataFrame:
+    """rows joined with their class (class_key, n rows, ...), which each of them has.
+
+    Classes of more than 1 / HOT_KEYS of all rows, so fewer than HOT_KEYS of them, are
+    broadcast, and their rows stay where they are; the others meet by a shuffle.
+    """
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(classes.filter(F.col("n") * HOT_KEYS > total).drop("n"))
+    rest = classes.filter(F.col("n") * HOT_KEYS <= total).drop("n")
+    cold = rows.join(hot, rows[key] == hot[class_key], "left_anti")
+    return rows.join(hot, rows[key] == hot[class_key]).unionByName(cold.join(rest, cold[key] == rest[class_key]))

@@ -20,6 +20,8 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: For bytes.translate: A-Z in lower case.
+LOWER_BYTES = _LOWER.tobytes()
 
 
 def mix(values: np.ndarray) -> np.ndarray:
