@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactline.llm.store import sieved, written
+from pactline.llm.store import boxed, sieved, written
 from pactline.llm.text import WORD, row_hash, table, text_of
 
 K1, B = 1.2, 0.75
@@ -205,7 +205,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_column="doc_id", text_col
     """doc_id, row, item_id, score and overlaps of every verified pair.
 
     Null and empty texts and items match nothing; repeated items count once each by
-    id; repeated rows give their pairs again. Other columns are ignored. Without
+    id, items without an id like others; repeated rows give their pairs again. Other columns are ignored. Without
     items or rows there are no pairs.
     """
     spark = docs.sparkSession
@@ -229,7 +229,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_column="doc_id", text_col
         if here:
             terms = mine.select(F.explode("words").alias("word")).distinct()
             df = {r.word: r.df for r in frequency.join(terms, "word", "left_semi").collect()}
-            index = Index(sorted(here), df, stats.n, mean)
+            index = Index(sorted(here, key=lambda item: (item[0] is None, item[0] or 0, item[1])), df, stats.n, mean)
             found = rows.mapInArrow(_query([index], least, overlap), schema)
             # Written before the next is built: the driver holds one index at a time.
             out = out.union(written(found) if blocks > 1 else found)
@@ -244,6 +244,7 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
 def without_contaminated(docs: DataFrame, items: DataFrame, id_column="doc_id", text_column="text") -> DataFrame:
     """docs less those that contain a test item."""
     found = written(contaminated(docs, items, id_column, text_column).select("doc_id", "row").distinct())
-    maybe, rest = sieved(docs.withColumn("_row", row_hash(F.col(id_column).cast("long"), text_of(text_column))), found.withColumnRenamed("row", "_row"), "_row")
-    same = maybe[id_column].cast("long").eqNullSafe(found["doc_id"]) & (maybe["_row"] == found["row"])
-    return rest.select(*docs.columns).unionByName(maybe.join(found, same, "left_anti").select(*docs.columns))
+    key = F.col(id_column).cast("long")
+    maybe, rest = sieved(boxed(docs, key, row_hash(key, text_of(text_column))), found)
+    same = maybe["doc_id"].eqNullSafe(found["doc_id"]) & (maybe["row"] == found["row"])
+    return rest.select("doc.*").unionByName(maybe.join(found, same, "left_anti").select("doc.*"))

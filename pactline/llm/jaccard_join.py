@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pactline.llm.graph import components
-from pactline.llm.store import sieved, written
+from pactline.llm.store import boxed, sieved, written
 from pactline.llm.text import grams, row_hash, table, text_of, word_hashes
 
 #: Share of the token space, in 64ths, whose frequencies are counted.
@@ -260,19 +260,17 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_column="doc_i
     Rows without shingles all stay.
     """
     placed = jaccard_components(docs, k, percent, id_column, text_column)
-    placed = written(placed.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_kept"), "kept").agg(
-        F.count(F.lit(1)).alias("_c"), F.max("n_shingles").alias("_n")
-    ))
+    placed = written(placed.groupBy("doc_id", "row", "kept").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n")))
     # Of most rows nothing is to be decided; only the others move.
-    open_ = placed.filter("not kept or (_c > 1 and _n > 0)")
-    row = row_hash(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), text_of(text_column))
-    maybe, rest = sieved(docs.withColumn("_row", row), open_.withColumnRenamed("_kept", "_row"), "_row")
-    same = maybe[id_column].cast("long").eqNullSafe(placed["_id"]) & (maybe["_row"] == placed["_kept"])
-    joined = maybe.join(placed.filter("kept"), same)
-    repeated = F.col("_c") > 1
-    once = joined.filter(~repeated | (F.col("_n") == 0)).select(*docs.columns)
-    several = joined.filter(repeated & (F.col("_n") > 0)).dropDuplicates([id_column, "_row"]).select(*docs.columns)
-    return rest.select(*docs.columns).unionByName(once).unionByName(several)
+    open_ = placed.filter("not kept or (rows > 1 and n > 0)")
+    key = F.col(id_column).cast("long")
+    maybe, rest = sieved(boxed(docs, key, row_hash(F.coalesce(key, F.lit(NO_ID)), text_of(text_column))), open_)
+    m, p = maybe.alias("m"), placed.filter("kept").alias("p")
+    joined = m.join(p, F.col("m.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("m.row") == F.col("p.row"))).select("m.*", "rows", "n")
+    repeated = (F.col("rows") > 1) & (F.col("n") > 0)
+    once = joined.filter(~repeated)
+    several = joined.filter(repeated).dropDuplicates(["doc_id", "row"])
+    return rest.select("doc.*").unionByName(once.select("doc.*")).unionByName(several.select("doc.*"))
 
 
 OP2_SQL = r"""

@@ -19,8 +19,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pactline.llm.store import sieved, written
+from pactline.llm.store import boxed, sieved, written
 from pactline.llm.text import row_hash, table, text_of
 
 REACH = 200
@@ -153,32 +154,31 @@ def spans_text(found: Column) -> Column:
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at, texts = batch.schema.names.index("_text"), []
-        for text, found in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist()):
+        texts = []
+        for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             out, upto = [], 0
             for p in found:
                 if p["end"] > upto:
                     out += [text[upto : p["start"]], f"[{KINDS[p['rank']].upper()}]"] if p["start"] >= upto else []
                     upto = p["end"]
             texts.append("".join([*out, text[upto:]]))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string())], [*batch.schema.names[:at], "_clean"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc", "clean"])
 
 
 def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; documents without spans pass untouched."""
     found = scan(docs, id_column, text_column).filter(F.size("found") > 0).select("doc_id", "row", "found").dropDuplicates(["doc_id", "row"])
     found = written(found)
-    maybe, rest = sieved(docs.withColumn("_row", row_hash(F.col(id_column).cast("long"), text_of(text_column))), found.withColumnRenamed("row", "_row"), "_row")
-    f = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_found_row"), F.col("found").alias("_found"))
-    same = maybe[id_column].cast("long").eqNullSafe(f["_id"]) & (maybe["_row"] == f["_found_row"])
-    joined = maybe.join(f, same, "left").drop("_id", "_found_row", "_row")
-    hit = joined.filter("_found is not null").withColumns({"_text": text_of(text_column)})
-    others = [c for c in docs.columns if c != text_column]
-    clean = hit.select(*others, "_text", "_found").mapInArrow(
-        _redact, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others), "_clean string"])
-    ).withColumnRenamed("_clean", text_column)
-    untouched = joined.filter("_found is null").select(*docs.columns)
-    return rest.select(*docs.columns).unionByName(untouched).unionByName(clean.select(*docs.columns))
+    key = F.col(id_column).cast("long")
+    boxes = boxed(docs, key, row_hash(key, text_of(text_column)))
+    maybe, rest = sieved(boxes, found)
+    m, f = maybe.alias("m"), found.alias("f")
+    joined = m.join(f, F.col("m.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("m.row") == F.col("f.row")), "left").select("m.doc", "f.found")
+    hit = joined.filter("found is not null").select("doc", F.col("doc")[text_column].cast("string").alias("text"), "found")
+    clean = hit.mapInArrow(_redact, T.StructType([boxes.schema["doc"], T.StructField("clean", T.StringType())]))
+    place = {c: F.col("clean") if c == text_column else F.col("doc")[c] for c in docs.columns}
+    untouched = joined.filter("found is null").select("doc.*")
+    return rest.select("doc.*").unionByName(untouched).unionByName(clean.select(*[v.alias(c) for c, v in place.items()]))
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The most keys that are broadcast because many rows have them.
@@ -28,6 +28,11 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def boxed(docs: DataFrame, key: Column, row: Column) -> DataFrame:
+    """doc_id, row, and doc with all columns of the caller, so that none of their names can clash; ``doc.*`` gives them back."""
+    return docs.select(key.alias("doc_id"), row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def sieved(rows: DataFrame, asked: DataFrame, key: str = "row") -> tuple[DataFrame, DataFrame]:
     """The rows whose key may be among asked, and those whose key is surely not; no row moves.
 

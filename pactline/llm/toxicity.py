@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pactline.llm.store import written
 from pactline.llm.text import row_hash, table, text_of
@@ -230,18 +231,19 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_passages")
 
 
-def _filter(model: Model, at: int):
+def _filter(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for cell in batch.column(at):
+            for cell in batch.column(1):
                 surprise = evidence(cell.as_py() or "", model)[0]
                 keep.append(model.slope * math.log1p(surprise) + model.offset < 0)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["doc"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def without_toxic(docs: DataFrame, model: Model, text_column="text") -> DataFrame:
     """The rows of docs that the model does not call toxic, with all their columns."""
-    return docs.mapInArrow(_filter(model, docs.columns.index(text_column)), docs.schema)
+    boxes = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_column).cast("string").alias("text"))
+    return boxes.mapInArrow(_filter(model), T.StructType([boxes.schema["doc"]])).select("doc.*")

@@ -86,3 +86,11 @@ def test_a_copy_behind_a_passage_of_the_same_words_in_other_order(spark):
     for block in (2000, 2):
         got = dc.contaminated(docs(spark, rows), frame, block=block).collect()
         assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (3, 3), (5, 5)]
+
+
+def test_items_without_an_id(spark):
+    rng = random.Random(6)
+    items = [(None, " ".join(words(rng, 30))), (3, " ".join(words(rng, 30))), (None, " ".join(words(rng, 30))), (None, None)]
+    rows = [(1, "start " + items[0][1]), (2, items[1][1]), (3, items[2][1] + " end"), (4, " ".join(words(rng, 60)))]
+    out = dc.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == {(1, None), (2, 3), (3, None)}
