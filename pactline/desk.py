@@ -18,8 +18,9 @@ from pactline.operators.checks import contract_checks
 from pactline.plans import admission, alerts, history, metrics, registry
 from pactline.plans.runs import derive_incidents, finalize_runs
 from pactline.session import settle
+from pactline.sources.claims import turn
 from pactline.sources.contracts import Contract, contract_rows
-from pactline.sources.resolve import OBJECT_STORE_PREFIX, READ_ERRORS, Resolved, reason_of, resolve
+from pactline.sources.resolve import OBJECT_STORE_PREFIX, READ_ERRORS, Resolved, resolve, root_cause
 from pactline.sources.store import ControlStore
 
 RUNS_PER_JOB = 32
@@ -131,7 +132,9 @@ class ContractDesk:
 
         The list of submissions is planned on the driver, their datasets are
         checked in shared jobs. With ``resume`` runs that are stored as running are
-        evaluated too: for use after the driver that began them has died.
+        evaluated too, as a new attempt: for use after the driver that began them has
+        died. Drivers decide one after the other, so a run is begun by one of them only
+        and a pipeline's running runs stay within their limit.
         """
         firsts: dict[tuple[str, str], Submission] = {}
         for s in submissions:
@@ -139,24 +142,35 @@ class ContractDesk:
         wanted = list(firsts.values())
         sources = [self._resolve(s.source) for s in wanted]
         targets = [self._resolve(s.target) if s.target else None for s in wanted]
-        decisions = self._decide(wanted, sources, targets)
-        begun = self._begun(wanted) if resume else set()
         rejected, accepted = [], []
-        for s, source, target in zip(wanted, sources, targets):
-            decision = decisions[(s.pipeline, s.run_id)]
-            if decision["reject_reason"] is not None:
-                rejected.append((s, decision["reject_reason"]))
-            elif not decision["stored"] or (s.pipeline, s.run_id) in begun:
-                accepted.append((s, source, target, decision["effective_version"]))
+        if not wanted:
+            return rejected
+        with turn(self.store, [s.pipeline for s in wanted]) as check:
+            decisions = self._decide(wanted, sources, targets)
+            begun = self._begun(wanted) if resume else {}
+            for s, source, target in zip(wanted, sources, targets):
+                decision, key = decisions[(s.pipeline, s.run_id)], (s.pipeline, s.run_id)
+                if decision["reject_reason"] is not None:
+                    rejected.append((s, decision["reject_reason"]))
+                elif not decision["stored"] or key in begun:
+                    attempt = begun[key] // 2 + 2 if key in begun else 1
+                    accepted.append((s, source, target, decision["effective_version"], attempt))
+            start = self.clock()
+            check()
+            keys = self._begin(accepted, start)
         for i in range(0, len(accepted), RUNS_PER_JOB):
-            self._evaluate(accepted[i : i + RUNS_PER_JOB])
+            part = accepted[i : i + RUNS_PER_JOB]
+            self._conclude(part, keys, start, self._contracts_for(part))
         return rejected
 
-    def _begun(self, wanted: list) -> set:
-        """Keys of the wanted runs whose last event says that they are running."""
+    def _begun(self, wanted: list) -> dict:
+        """Number of the last event of the wanted runs whose last event says that they are running.
+
+        Every attempt has two events: it begins with an odd number and ends with an even one.
+        """
         asked = self.spark.createDataFrame([(s.pipeline, s.run_id) for s in wanted], "pipeline string, run_id string")
-        running = self.store.runs().where(F.col("status") == model.RUNNING).select(*model.RUN_KEY)
-        return {tuple(r) for r in asked.join(running, model.RUN_KEY, "left_semi").collect()}
+        running = self.store.runs().where(F.col("status") == model.RUNNING).select(*model.RUN_KEY, "event_no")
+        return {(r["pipeline"], r["run_id"]): r["event_no"] for r in running.join(asked, model.RUN_KEY, "left_semi").collect()}
 
     def _resolve(self, uri: str) -> Resolved:
         return resolve(self.spark, uri, object_store=self.object_store)
@@ -194,7 +208,7 @@ class ContractDesk:
         """Source contracts by (pipeline, dataset, version), target contracts by (pipeline, dataset)."""
         shape = "pipeline string, dataset string, version int"
         asked = self.spark.createDataFrame(
-            [(s.pipeline, s.dataset, version) for s, _, _, version in accepted], shape
+            [(s.pipeline, s.dataset, version) for s, _, _, version, _ in accepted], shape
         ).distinct()
         found = self.store.contracts().join(asked, ["pipeline", "dataset", "version"], "left_semi")
         sources = {
@@ -202,7 +216,7 @@ class ContractDesk:
         }
         pairs = [
             (s.pipeline, s.target_dataset)
-            for s, _, target, _ in accepted
+            for s, _, target, _, _ in accepted
             if target is not None and s.target_dataset
         ]
         if not pairs:
@@ -213,13 +227,12 @@ class ContractDesk:
         )
         return sources, {(r["pipeline"], r["dataset"]): Contract.from_row(r) for r in newest.collect()}
 
-    def _evaluate(self, accepted: list) -> None:
-        start = self.clock()
+    def _begin(self, accepted: list, start: datetime) -> DataFrame:
+        """Record the runs as running; returns their keys, versions and attempts."""
         seq = micros_of(start)
-        started = moment_literal(start)
         keys = self.spark.createDataFrame(
-            [(s.pipeline, s.run_id, version, seq + i) for i, (s, _, _, version) in enumerate(accepted)],
-            "pipeline string, run_id string, contract_version int, seq bigint",
+            [(s.pipeline, s.run_id, version, seq + i, attempt) for i, (s, _, _, version, attempt) in enumerate(accepted)],
+            "pipeline string, run_id string, contract_version int, seq bigint, attempt int",
         )
         empty = {
             "source_row_count": F.lit(None).cast("bigint"),
@@ -227,18 +240,18 @@ class ContractDesk:
             "failure_reason": F.lit(None).cast("string"),
             "ended_at": F.lit(None).cast("timestamp_ntz"),
         }
-        self.store.append(
-            "runs",
-            keys.select(
-                "*",
-                F.lit(model.RUNNING).alias("status"),
-                started.alias("started_at"),
-                F.lit(1).alias("event_no"),
-                *[v.alias(k) for k, v in empty.items()],
-            ),
-        )
-        contracts = self._contracts_for(accepted)
-        self._conclude(accepted, keys, start, contracts)
+        if accepted:
+            self.store.append(
+                "runs",
+                keys.select(
+                    "*",
+                    F.lit(model.RUNNING).alias("status"),
+                    moment_literal(start).alias("started_at"),
+                    (F.col("attempt") * 2 - 1).alias("event_no"),
+                    *[v.alias(k) for k, v in empty.items()],
+                ),
+            )
+        return keys
 
     def _conclude(self, accepted: list, keys: DataFrame, start: datetime, contracts: tuple[dict, dict]) -> None:
         """Check, and record how the runs ended; a dataset that cannot be scanned fails its own run only."""
@@ -249,19 +262,41 @@ class ContractDesk:
                 for one in accepted:
                     self._conclude([one], keys, start, contracts)
                 return
-            s, source, target, version = accepted[0]
-            lost = Resolved(source.uri, error=f"Failed to read: {reason_of(exc)}")
-            checks = self._checked([(s, lost, target, version)], start, contracts)
-        self.store.append("checks", checks, start.date())
+            checks = self._checked_apart(accepted[0], start, contracts, exc)
+        self.store.append("checks", checks.join(keys.select(*model.RUN_KEY, "attempt"), model.RUN_KEY), start.date())
         ended = moment_literal(self.clock())
         final = finalize_runs(checks).join(keys, model.RUN_KEY)
-        rows = final.select("*", moment_literal(start).alias("started_at"), ended.alias("ended_at"), F.lit(2).alias("event_no"))
+        event_no = (F.col("attempt") * 2).alias("event_no")
+        rows = final.select("*", moment_literal(start).alias("started_at"), ended.alias("ended_at"), event_no)
         # The final event comes last: until it is there the run can be resumed, and
         # whatever was written before is read once only.
-        incidents = derive_incidents(rows, self.store.pipelines())
-        self.store.append("incidents", incidents.withColumn("event_no", F.lit(0)))
+        incidents = derive_incidents(rows, self.store.pipelines()).withColumn("event_no", F.lit(0))
+        if any(attempt > 1 for *_, attempt in accepted):
+            incidents = incidents.unionByName(self._settled_incidents(accepted, incidents))
+        self.store.append("incidents", incidents)
         self.store.append("runs", rows)
 
+    def _settled_incidents(self, accepted: list, incidents: DataFrame) -> DataFrame:
+        """Open incidents of earlier attempts that the last one did not confirm, now resolved."""
+        resumed = self.spark.createDataFrame(
+            [(s.pipeline, s.run_id) for s, *_, attempt in accepted if attempt > 1], "pipeline string, run_id string"
+        )
+        known = self.store.incidents().where(F.col("status") == model.OPEN).join(resumed, model.RUN_KEY, "left_semi")
+        gone = known.join(incidents, [*model.RUN_KEY, "incident_type"], "left_anti")
+        return gone.withColumn("status", F.lit(model.RESOLVED)).withColumn("event_no", F.col("event_no") + 1)
+
+    def _checked_apart(self, one: tuple, start: datetime, contracts: tuple[dict, dict], exc: Exception) -> DataFrame:
+        """Results of a run whose scan failed: of its target, if its source alone can be scanned."""
+        s, source, target, version, attempt = one
+        if target is not None and target.readable:
+            try:
+                lost = Resolved(target.uri, error=f"Failed to read: {root_cause(exc)}")
+                return self._checked([(s, source, lost, version, attempt)], start, contracts)
+            except READ_ERRORS as own:
+                exc = own
+        lost = Resolved(source.uri, error=f"Failed to read: {root_cause(exc)}")
+        return self._checked([(s, lost, target, version, attempt)], start, contracts)
+
     def _checked(self, accepted: list, start: datetime, contracts: tuple[dict, dict]) -> DataFrame:
         source_contracts, target_contracts = contracts
         results = [
@@ -273,7 +308,7 @@ class ContractDesk:
                 target_contracts.get((s.pipeline, s.target_dataset)),
                 self.rule_set,
             ).select(F.lit(s.pipeline).alias("pipeline"), F.lit(s.run_id).alias("run_id"), "*")
-            for s, source, target, version in accepted
+            for s, source, target, version, _ in accepted
         ]
         # A handful of rows per run, computed once for the log and the verdict.
         return settle(reduce(DataFrame.unionByName, results))
@@ -282,19 +317,19 @@ class ContractDesk:
 
     def run_health(self, pipeline: str, run_id: str) -> DataFrame:
         s = self.store
-        return history.run_health(s.runs(), s.checks(), s.incidents(), pipeline, run_id)
+        return history.run_health(s.runs(pipeline), s.checks(pipeline=pipeline), s.incidents(pipeline), pipeline, run_id)
 
     def pipeline_health(self, pipeline: str) -> DataFrame:
         s = self.store
-        return history.latest_health(s.runs(), s.checks(), s.incidents(), pipeline)
+        return history.latest_health(s.runs(pipeline), s.checks(pipeline=pipeline), s.incidents(pipeline), pipeline)
 
     def list_runs(
         self, pipeline: str, status: str | None = None, limit: int = 20, offset: int = 0
     ) -> DataFrame:
-        return history.list_runs(self.store.runs(), pipeline, status, limit, offset)
+        return history.list_runs(self.store.runs(pipeline), pipeline, status, limit, offset)
 
     def list_incidents(self, pipeline: str, limit: int = 20) -> DataFrame:
-        return history.open_incidents(self.store.incidents(), self.store.runs(), pipeline, limit)
+        return history.open_incidents(self.store.incidents(pipeline), self.store.runs(pipeline), pipeline, limit)
 
     def acknowledge(self, run_id: str) -> int:
         """Acknowledge the run's open incidents; returns how many there were."""
@@ -325,6 +360,10 @@ class ContractDesk:
     def notification_log(self, limit: int = 20) -> DataFrame:
         return history.notification_log(self.store.notifications(), limit)
 
+    def fold(self) -> int | None:
+        """Write a snapshot of the logs' closed hours, which all questions read from then on."""
+        return self.store.fold()
+
     def metrics(self) -> DataFrame:
         s, now = self.store, self.clock()
         # What only counts for the last day is read from its folders only.
@@ -340,4 +379,4 @@ class ContractDesk:
 
     def alerts(self) -> DataFrame:
         s = self.store
-        return alerts.evaluate(alerts.rule_rows(s.pipelines(), s.runs(), s.checks(), s.incidents()))
+        return alerts.states(s.pipelines(), s.runs(), s.checks(), s.incidents())

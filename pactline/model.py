@@ -82,7 +82,7 @@ RUNS = (
 CHECKS = (
     "pipeline string, run_id string, check_order int, check_type string, "
     "status string, expected string, observed string, message string, "
-    "error_category string"
+    "error_category string, attempt int"
 )
 INCIDENTS = (
     "pipeline string, run_id string, incident_type string, severity string, "

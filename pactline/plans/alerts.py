@@ -96,6 +96,99 @@ def evaluate(found: Mapping[str, DataFrame]) -> DataFrame:
     return result
 
 
+# -- all rules in one fold -------------------------------------------------
+
+
+def _part(rows: DataFrame, **given: Column) -> DataFrame:
+    """Rows of one log in the shape that all of them share; what a log does not say is null."""
+    kinds = {
+        "run": "struct<event_no: int, ended_at: timestamp_ntz, seq: bigint, status: string>",
+        "attempt": "int",
+        "late": "struct<attempt: int, expected: string, observed: string>",
+        "source_drift": "int",
+        "target_drift": "int",
+        "incident": "struct<incident_type: string, event_no: int, first_observed_at: timestamp_ntz, status: string>",
+    }
+    none = F.lit(None)
+    return rows.select(*model.RUN_KEY, *[given.get(n, none).cast(kind).alias(n) for n, kind in kinds.items()])
+
+
+def _event_no(rows: DataFrame) -> Column:
+    """Settled tables need no event number."""
+    return F.col("event_no") if "event_no" in rows.columns else F.lit(0)
+
+
+def tagged(runs: DataFrame, checks: DataFrame, incidents: DataFrame) -> DataFrame:
+    """What the rules need of the three logs, or of the settled tables, one under the other."""
+    kind, attempt = F.col("check_type"), F.coalesce("attempt", F.lit(1)) if "attempt" in checks.columns else F.lit(1)
+    failed = (F.col("status") == model.FAILED) & kind.isin(model.FRESHNESS, *model.SCHEMA_CHECKS)
+    # Of resumed runs all results say which attempt is the last.
+    told = checks.where(failed | (attempt > 1))
+    first, second = (F.when(failed & (kind == t), attempt) for t in model.SCHEMA_CHECKS)
+    event = F.struct(_event_no(runs), "ended_at", "seq", "status")
+    change = F.struct("incident_type", _event_no(incidents), "first_observed_at", "status")
+    late = F.when(failed & (kind == model.FRESHNESS), F.struct(attempt, "expected", "observed"))
+    return (
+        _part(runs, run=event)
+        .unionByName(_part(told, attempt=attempt, late=late, source_drift=first, target_drift=second))
+        .unionByName(_part(incidents, incident=change))
+    )
+
+
+def per_run(rows: DataFrame) -> DataFrame:
+    """Tagged rows folded by run: its newest event, the last attempts that failed, the changes of its few incidents.
+
+    Folding events again, or in another order, gives the same.
+    """
+    return rows.groupBy(*model.RUN_KEY).agg(
+        F.max("run").alias("run"),
+        F.max("attempt").alias("attempt"),
+        F.max("late").alias("late"),
+        F.max("source_drift").alias("source_drift"),
+        F.max("target_drift").alias("target_drift"),
+        F.collect_set("incident").alias("incidents"),
+    )
+
+
+LIVE = "pipeline string, run_id string, seq bigint, failed int, stale int, drift int, open int"
+
+
+def contributions(folded: DataFrame) -> DataFrame:
+    """What each known run adds to the rules: (LIVE). Only a pipeline's latest run counts but for open incidents."""
+    age = F.get_json_object("late.observed", "$.age_hours").try_cast("double")
+    limit = F.get_json_object("late.expected", "$.max_age_hours").try_cast("double")
+    order = lambda e: F.struct(e["event_no"], e["first_observed_at"])
+    replaced = lambda e: F.exists("incidents", lambda o: (o["incident_type"] == e["incident_type"]) & (order(o) > order(e)))
+    still_open = F.filter("incidents", lambda e: (e["status"] == model.OPEN) & ~replaced(e))
+    flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    return folded.where("run IS NOT NULL").select(
+        *model.RUN_KEY,
+        F.col("run.seq").alias("seq"),
+        flag(F.col("run.status") == model.FAILED).alias("failed"),
+        flag((F.col("late.attempt") == F.col("attempt")) & (age > limit)).alias("stale"),
+        (flag(F.col("source_drift") == F.col("attempt")) + flag(F.col("target_drift") == F.col("attempt"))).alias("drift"),
+        F.size(still_open).alias("open"),
+    )
+
+
+def rule_states(live: DataFrame, pipelines: DataFrame) -> DataFrame:
+    """One row per rule from the runs' contributions: how many rows it finds and whether it fires."""
+    latest = F.max_by(F.struct("failed", "stale", "drift"), F.struct("seq", "run_id"))
+    per_pipeline = named(live.groupBy("pipeline").agg(latest.alias("latest"), F.sum("open").alias("open")), pipelines)
+    found = {"failed_run": "latest.failed", "stale_data": "latest.stale", "open_incidents": "open", "schema_drift": "latest.drift"}
+    totals = per_pipeline.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name) for name, c in found.items()])
+    rules = [
+        F.struct(*[F.lit(v).alias(c) for c, v in zip(("rule", "title", "severity", "owner", "category"), RULES[name])], F.col(name).alias("value"))
+        for name in found
+    ]
+    return totals.select(F.inline(F.array(*rules))).withColumn("firing", F.col("value") > 0)
+
+
+def states(pipelines: DataFrame, runs: DataFrame, checks: DataFrame, incidents: DataFrame) -> DataFrame:
+    """The state of every rule, with one scan of each table and one shuffle of what failed."""
+    return rule_states(contributions(per_run(tagged(runs, checks, incidents))), pipelines)
+
+
 def notification_rows(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Alert name and status of received alert documents.
 

@@ -118,6 +118,16 @@ def reason_of(exc: Exception) -> str:
     return text.splitlines()[0]
 
 
+def root_cause(exc: Exception) -> str:
+    """First line of the innermost cause of a failed scan, not of what it was wrapped in."""
+    cause = exc.java_exception if isinstance(exc, Py4JJavaError) else getattr(exc, "_origin", None)
+    if cause is None:
+        return reason_of(exc)
+    while cause.getCause() is not None:
+        cause = cause.getCause()
+    return (cause.getMessage() or cause.toString()).splitlines()[0]
+
+
 def _from_catalog(spark: SparkSession, ref: SourceRef) -> Resolved:
     try:
         frame = spark.table(ref.path)

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from conftest import TIDE_FRESHNESS, TIDE_QUALITY, TIDE_SCHEMA, tide_rows
+from pactline import model
 from pactline.desk import ContractDesk, Rejected, Submission
 
 PIPELINE, DATASET = "harbour_gauges", "tide_readings"
@@ -236,6 +237,104 @@ def test_a_run_of_a_driver_that_died_can_be_resumed(desk, write_csv, monkeypatch
     assert desk.store.runs().count() == 1 and desk.store.checks().count() == 5 and desk.store.incidents().count() == 1
 
 
+def test_the_second_attempt_replaces_the_first(desk, write_csv, monkeypatch):
+    """The first dies after it has stored five results and an incident; by the second the source is fine."""
+    path = write_csv("a.csv", tide_rows(day="2026-06-01"))
+    append = desk.store.append
+
+    def dies(table, rows, time=None):
+        if table == "runs" and rows.first()["event_no"] == 2:
+            raise KeyboardInterrupt
+        append(table, rows, time)
+
+    with monkeypatch.context() as patch, pytest.raises(KeyboardInterrupt):
+        patch.setattr(desk.store, "append", dies)
+        desk.submit_runs([run("r", path)])
+    assert desk.list_incidents(PIPELINE).count() == 1
+    write_csv("a.csv", tide_rows())
+    desk.submit_runs([run("r", path)], resume=True)
+    health = desk.run_health(PIPELINE, "r").first()
+    assert health["status"] == "passed" and {c["status"] for c in health["checks"]} <= {"passed", "skipped"}
+    assert [i["status"] for i in health["incidents"]] == ["resolved"] and desk.list_incidents(PIPELINE).isEmpty()
+    assert {r["event_no"] for r in desk.store.log("runs").collect()} == {1, 3, 4}
+    assert {r["value"] for r in desk.alerts().collect()} == {0}
+
+
+def test_a_target_that_fails_in_its_scan_fails_its_own_checks(desk, write_csv):
+    desk.register_dataset(PIPELINE, "copies", "target", TIDE_SCHEMA, TIDE_FRESHNESS, TIDE_QUALITY)
+    bad = "query://SELECT raise_error('target lost') AS gauge_no FROM range(3) WHERE id > 0"
+    one = Submission(PIPELINE, "t", write_csv("a.csv", tide_rows()), DATASET, bad, "copies")
+    other = Submission(PIPELINE, "u", bad.replace("target", "source"), DATASET, write_csv("b.csv", tide_rows()), "copies")
+    assert desk.submit_runs([one, other]) == []
+    health = desk.run_health(PIPELINE, "t").first()
+    assert states(health) == {
+        "source_readability": "passed", "schema_compatibility": "passed", "target_schema_compatibility": "failed",
+        "row_count": "failed", "freshness": "passed",
+    }
+    said = {c["check_type"]: c["message"] for c in health["checks"]}
+    assert "target lost" in said["target_schema_compatibility"] and "SparkException" not in said["target_schema_compatibility"]
+    assert said["row_count"].startswith("Target not readable: Failed to read: ")
+    other = desk.run_health(PIPELINE, "u").first()
+    assert states(other) == {"source_readability": "failed"} and "source lost" in other["checks"][0]["message"]
+
+
+def two_desks(spark, desk, submissions, monkeypatch, evaluated):
+    """Submit each list at once, from desks and sessions of their own, whose runs never end."""
+    from threading import Barrier, Thread
+
+    def keep(self, accepted, *rest):
+        evaluated.extend((s.run_id, threads.index(current_thread())) for s, *_ in accepted)
+
+    from threading import current_thread
+
+    monkeypatch.setattr(ContractDesk, "_conclude", keep)
+    start, rejected = Barrier(len(submissions)), []
+
+    def submit(wanted):
+        own = ContractDesk(spark.newSession(), desk.store.root, clock=desk.clock)
+        start.wait()
+        for one in wanted:
+            rejected.extend(own.submit_runs([one]))
+
+    threads = [Thread(target=submit, args=(wanted,)) for wanted in submissions]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    return rejected
+
+
+def test_two_drivers_begin_a_run_once_and_keep_the_limit(spark, desk, write_csv, monkeypatch):
+    source, evaluated = write_csv("a.csv", tide_rows()), []
+    lists = [[run("same", source), run(f"own-{i}", source), run(f"more-{i}", source)] for i in range(2)]
+    rejected = two_desks(spark, desk, lists, monkeypatch, evaluated)
+    begun = [run_id for run_id, _ in evaluated]
+    assert begun.count("same") == 1 and len(begun) == len(set(begun)) == model.MAX_CONCURRENT_RUNS
+    assert desk.store.log("runs").count() == 3 and len(rejected) == 2
+    assert all("Concurrent run limit exceeded" in reason for _, reason in rejected)
+
+
+def test_a_claim_of_a_dead_driver_is_not_waited_for_forever(desk, monkeypatch):
+    from datetime import timedelta
+
+    from pactline.sources import claims
+
+    now = desk.store.clock()
+    monkeypatch.setattr(desk.store, "clock", lambda: now - timedelta(minutes=6))
+    claims._write(desk.store, "dead", claims.ENTER, ["p"], 0)
+    monkeypatch.setattr(desk.store, "clock", lambda: now)
+    claims._write(desk.store, "alive", claims.ENTER, ["p"], 0)
+    claims._write(desk.store, "alive", claims.NUMBER, ["p"], 7)
+    claims._write(desk.store, "gone", claims.ENTER, ["p"], 0)
+    claims._write(desk.store, "gone", claims.LEAVE, ["p"], 0)
+    assert claims.waiting(desk.store, ["p", "x"]) == {"alive": (claims.NUMBER, 7)} and claims.waiting(desk.store, ["x"]) == {}
+    with claims.turn(desk.store, ["x"]) as check:
+        check()
+        monkeypatch.setattr(desk.store, "clock", lambda: now + timedelta(minutes=3))
+        with pytest.raises(claims.TurnLost):
+            check()
+
+
 def test_checks_and_incidents_of_any_type_count(spark):
     from pactline.plans.runs import finalize_runs, run_verdicts
 
