@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from pactline import model
 from pactline.functions import timestamps
-from pactline.functions.text import document, quoted_list, two_decimals
+from pactline.functions.text import column, document, quoted_list, two_decimals
 from pactline.functions.validators import is_known
-from pactline.operators.measures import checked_columns, duplicate_rows, measure
+from pactline.operators.measures import checked_columns, duplicate_rows, measure, same_keys
 from pactline.sources.contracts import Contract
 from pactline.sources.resolve import Resolved
 
@@ -436,31 +436,74 @@ def _stop_after_empty(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("row_count") > 0) | (F.col("check_order") == 1)).drop("row_count")
 
 
+def _whole(measures: DataFrame, by: Sequence[str], fields: Sequence[str]) -> Column:
+    """The measures as one struct, with zero for the counts of a dataset that is not there."""
+    counts = ("row_count", "null_violations", "type_violations")
+    present = {c: F.coalesce(measures[c], F.lit(0)) if c in counts else measures[c] for c in fields}
+    return F.struct(*[v.alias(c) for c, v in present.items()])
+
+
+def _with_target(measures: DataFrame, target: DataFrame, by: Sequence[str], target_by: Sequence[str]) -> DataFrame:
+    """Measures of source and target per key, from either side's keys, null equal to null."""
+    own = [c for c in measures.columns if c not in by]
+    fields = [c for c in target.columns if c not in target_by]
+    joined = measures.join(target, same_keys(measures, target, by, target_by), "full_outer")
+    counts = ("row_count", "null_violations", "type_violations", "duplicates")
+    return joined.select(
+        *[F.coalesce(measures[f"`{k}`"], target[f"`{t}`"]).alias(k) for k, t in zip(by, target_by)],
+        *[(F.coalesce(measures[c], F.lit(0)) if c in counts else measures[c]).alias(c) for c in own],
+        _whole(target, target_by, fields).alias("target"),
+    )
+
+
 def contract_checks_by_key(
     source: Resolved,
     contract: Contract,
     as_of: datetime,
     by: Sequence[str],
     rule_set: str = "reference",
+    *,
+    target: Resolved | None = None,
+    target_contract: Contract | None = None,
+    target_by: Sequence[str] | None = None,
+    samples: bool = False,
 ) -> DataFrame:
-    """The source checks for every key of a table that holds many datasets.
+    """All checks for every key of a table that holds many datasets, with the keys of a target table beside it.
+
+    ``target_by`` names the target's key columns where they differ. A key that only the
+    target has is a source without rows, one that only the source has a target without
+    rows. With ``samples`` messages name the first violation: lowest column, lowest value.
 
-    Two shuffles whatever the number of datasets: partial sums per key, and
-    partial counts per key and unique key. No dataset is gathered in one task.
+    Two shuffles for the source whatever the number of datasets, partial sums per key and
+    partial counts per key and unique key, and one for the target; with samples one more
+    for what breaks a type rule on each side. No dataset is gathered in one task: what is
+    joined are the measures, one row per key.
     """
     by = list(by)
-    measures = measure(source, contract, by=by, samples=False, rule_set=rule_set)
+    if not source.readable:
+        return _rows_of(_one_row(), [_readability(source)])
+    measures = measure(source, contract, by=by, samples=samples, rule_set=rule_set)
     if contract.unique_keys:
         duplicates = duplicate_rows(source.frame, contract.unique_keys, by)
-        null_safe = [measures[k].eqNullSafe(duplicates[k]) for k in by]
-        measures = measures.join(duplicates, null_safe, "inner").select(
-            *[measures[c] for c in measures.columns], "duplicates"
+        measures = measures.join(duplicates, same_keys(measures, duplicates, by), "inner").select(
+            *[measures[f"`{c}`"] for c in measures.columns], "duplicates"
         )
+    target_kind = model.TARGET_SCHEMA_COMPATIBILITY
+    target_verdict = _skipped(target_kind, "No target to validate")
+    if target is not None and target.readable:
+        target_by = list(target_by or by)
+        if target_contract is not None:
+            other = measure(target, target_contract, by=target_by, freshness=False, samples=samples, rule_set=rule_set)
+        else:
+            other = target.frame.groupBy(*[column(k) for k in target_by]).agg(F.count(F.lit(1)).alias("row_count"))
+        measures = _with_target(measures, other, by, target_by)
+    if target is not None and target_contract is not None:
+        target_verdict = _schema(target, target_contract, target_kind, rule_set, "target", samples)
     verdicts = [
         _readability(source),
-        _schema(source, contract, model.SCHEMA_COMPATIBILITY, rule_set, samples=False),
-        _skipped(model.TARGET_SCHEMA_COMPATIBILITY, "No target to validate"),
-        _row_count(source, contract, None),
+        _schema(source, contract, model.SCHEMA_COMPATIBILITY, rule_set, samples=samples),
+        target_verdict,
+        _row_count(source, contract, target),
         _freshness(source, contract, as_of),
     ]
-    return _rows_of(measures, verdicts, by)
+    return _stop_after_empty(_rows_of(measures, verdicts, [*by, "row_count"]))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,6 +76,44 @@ def _first(hits: Sequence[tuple[int, str, str]]) -> str:
     return f"min(coalesce({cases}))"
 
 
+def _lowest(hits: Sequence[tuple[int, str, str]]) -> str:
+    """Position of the lowest column with a violation."""
+    return f"min(coalesce({', '.join(f'CASE WHEN {flag} THEN {i} END' for i, flag, _ in hits)}))" if hits else "CAST(NULL AS int)"
+
+
+def same_keys(left: DataFrame, right: DataFrame, by: Sequence[str], right_by: Sequence[str] = ()) -> Column:
+    """Equal keys, null equal to null."""
+    pairs = [left[f"`{k}`"].eqNullSafe(right[f"`{r}`"]) for k, r in zip(by, right_by or by)]
+    return reduce(lambda x, y: x & y, pairs)
+
+
+def with_first_cases(measures: DataFrame, source: Resolved, contract: Contract, by: Sequence[str], rule_set: str) -> DataFrame:
+    """The measures per key with first_null and first_type: lowest column, then lowest value.
+
+    Rows of a table have no numbers. Only rows that break a type rule are looked at
+    again, reduced to one per key in each task, so a key that holds most of them is no hot spot.
+    """
+    checked = checked_columns(source.frame, contract, rule_set)
+    bad = [
+        F.when(c.violation, F.struct(F.lit(i).alias("position"), column(c.rule.name).cast("string").alias("value")))
+        for i, c in enumerate(checked) if c.violation is not None
+    ]
+    none = F.lit(None).cast("struct<position: int, block: bigint, row: bigint, value: string>")
+    case = lambda position, value: F.struct(
+        position.alias("position"), F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("bigint").alias("row"), value.alias("value")
+    )
+    null = F.when(F.col("null_position").isNotNull(), case(F.col("null_position"), F.lit(None).cast("string")))
+    measures = measures.withColumn("first_null", null).drop("null_position")
+    if not bad:
+        return measures.withColumn("first_type", none)
+    rows = source.frame.select(*[column(k).alias(f"__by{i}") for i, k in enumerate(by)], F.coalesce(*bad).alias("case"))
+    names = [f"__by{i}" for i in range(len(by))]
+    first = rows.where("case IS NOT NULL").groupBy(*names).agg(F.min("case").alias("case"))
+    joined = measures.join(first, same_keys(measures, first, by, names), "left")
+    found = F.when(F.col("case").isNotNull(), case(F.col("case.position"), F.col("case.value")))
+    return joined.withColumn("first_type", found).drop("case", *names)
+
+
 def measure(
     source: Resolved,
     contract: Contract,
@@ -87,8 +126,12 @@ def measure(
 ) -> DataFrame:
     """row_count, null/type violations with their first cases, latest event time.
 
-    One row for the dataset, or one per key when ``by`` names key columns.
+    One row for the dataset, or one per key when ``by`` names key columns; the first
+    cases then come from a second pass over the rows that break a type rule.
     """
+    if by and samples:
+        plain = measure(source, contract, by=by, schema=schema, freshness=freshness, samples=False, rule_set=rule_set)
+        return with_first_cases(plain, source, contract, by, rule_set) if schema else plain
     numbered = samples and not by and source.placed is not None
     frame = source.placed if numbered else source.frame
     checked = checked_columns(frame, contract, rule_set) if schema else []
@@ -116,6 +159,9 @@ def measure(
         f"{_hits([flag for _, flag, _ in nulls])} AS null_violations",
         f"{_hits([flag for _, flag, _ in types])} AS type_violations",
     ]
+    if by:
+        # A number, so that all keys are folded by hashing.
+        aggregates.append(f"{_lowest(nulls)} AS null_position")
     if samples:
         aggregates += [f"{_first(nulls)} AS first_null", f"{_first(types)} AS first_type"]
     computed = [F.expr(text) for text in aggregates]

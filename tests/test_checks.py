@@ -368,3 +368,53 @@ def test_by_key_equals_one_by_one(spark):
                 # Samples are left out where many datasets are checked at once.
                 assert other["message"].startswith(row["message"].split("; Type")[0])
     assert len(together) == 15
+
+
+def side(spark, rows):
+    return spark.createDataFrame(rows, "site string, n string, d string, extra string")
+
+
+@pytest.mark.parametrize("with_contract", [True, False])
+def test_whole_runs_by_key_equal_one_by_one(spark, with_contract):
+    """Source and target with samples: keys of one side only, a null key, one key with most rows."""
+    rows = [
+        ("s1", "1", "2026-08-01", ""), ("s1", "1", "2026-07-01", "z"), ("s1", "x", "bad", "a"), ("s1", "a", "worse", None),
+        ("s2", "5", "2026-06-01", "q"), (None, "7", None, "q"), (None, "", "2026-08-01", "q"), ("only", "1", "2026-08-01", "q"),
+        *[("hot", str(i % 900), "2026-08-01", "q") for i in range(1000)], ("hot", "b", "2026-08-01", None),
+    ]
+    copies = [("s1", "1", "k", None), ("s1", "w", "c", None), (None, "7", "z", None), ("s2", "5", "2", ""), ("target", "1", "x", "x")]
+    copies += [("hot", str(i), "y", "v") for i in range(990)]
+    source, target = side(spark, rows), side(spark, copies).withColumnRenamed("site", "place")
+    contract = Contract(
+        (ColumnRule("site"), ColumnRule("n", "integer", False), ColumnRule("d", "date"), ColumnRule("extra", "string", False)),
+        unique_keys=("n",), timestamp_column="d", max_row_count=2, max_row_count_diff_pct=10,
+    )
+    expected = Contract((ColumnRule("place"), ColumnRule("n", "integer", False), ColumnRule("d", "decimal"))) if with_contract else None
+    together = contract_checks_by_key(
+        from_frame(source), contract, AS_OF, ["site"], target=from_frame(target), target_contract=expected, target_by=["place"], samples=True
+    ).collect()
+    for site in ("s1", "s2", "only", "hot", "target", None):
+        mine = from_frame(source.where(F.col("site").eqNullSafe(F.lit(site))))
+        other = from_frame(target.where(F.col("place").eqNullSafe(F.lit(site))))
+        alone = contract_checks(mine, contract, AS_OF, other, expected).collect()
+        got = [r for r in together if r["site"] == site]
+        assert len(got) == (1 if site == "target" else 5)
+        assert {tuple(r)[1:] for r in got} == {tuple(r) for r in alone}
+
+
+def test_by_key_folds_by_hashing_and_takes_samples_of_violations_only(spark):
+    rows = [(f"s{i % 5}", "x" if i % 50 == 0 else str(i), "2026-08-01", None) for i in range(200)]
+    contract = Contract((ColumnRule("site"), ColumnRule("n", "integer", False)), timestamp_column="d")
+    found = contract_checks_by_key(from_frame(side(spark, rows)), contract, AS_OF, ["site"], target=from_frame(side(spark, rows)), samples=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Texts are sorted among the violations only; counts of all rows are not.
+    assert plan.count("SortAggregate") == 2 and "HashAggregate" in plan
+
+
+def test_unreadable_sides_by_key(spark):
+    source, lost = from_frame(side(spark, [("s", "1", "2026-08-01", None)])), Resolved("x", error="Failed to read: gone")
+    contract = Contract((ColumnRule("n"),), timestamp_column="d")
+    got = {r["check_type"]: r for r in contract_checks_by_key(source, contract, AS_OF, ["site"], target=lost, target_contract=contract).collect()}
+    assert got["target_schema_compatibility"]["status"] == got["row_count"]["status"] == "failed"
+    assert "Target not readable: Failed to read: gone" in got["row_count"]["message"]
+    assert [r["check_type"] for r in contract_checks_by_key(lost, contract, AS_OF, ["site"]).collect()] == ["source_readability"]

@@ -423,6 +423,85 @@ def contract_run_by_key(spark, d):
     return found.select("l_suppkey", "check_order", "status", "message")
 
 
+SHIPMENT_RULES = {
+    "supplier": ("integer", False),
+    "l_orderkey": ("integer", False),
+    "l_linenumber": ("integer", False),
+    "flag": ("integer", False),
+    "price": ("decimal", False),
+    "l_shipdate": ("timestamp", False),
+}
+SHIPMENTS = _contract(
+    SHIPMENT_RULES,
+    timestamp_column="l_shipdate",
+    max_age_hours=48,
+    max_row_count=600,
+    max_row_count_diff_pct=5,
+    unique_keys=("l_orderkey", "l_linenumber"),
+)
+COPIES = _contract({"supplier": ("integer", False), "flag": ("integer", False)})
+
+
+def _shipments(spark, d):
+    """Order lines by supplier, some with a missing price or a flag that is no number."""
+    return t.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("supplier"),
+        "l_orderkey",
+        "l_linenumber",
+        "l_shipdate",
+        "l_quantity",
+        F.when(F.col("l_returnflag") == "N", "7").otherwise(F.concat("l_returnflag", "l_linenumber")).alias("flag"),
+        F.when(F.col("l_quantity") <= 45, F.col("l_extendedprice")).alias("price"),
+    )
+
+
+@case(
+    "run_by_key",
+    """WITH s AS (SELECT l_suppkey AS k, l_orderkey, l_linenumber, l_shipdate, l_quantity,
+    CASE WHEN l_returnflag = 'N' THEN '7' ELSE l_returnflag || l_linenumber END AS flag, l_quantity > 45 AS unpriced FROM lineitem),
+  source AS (SELECT k, count(*) AS n, count(*) FILTER (unpriced) AS nulls, count(*) FILTER (flag <> '7') AS bad,
+    min(flag) FILTER (flag <> '7') AS worst, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS dup,
+    (epoch_us(TIMESTAMP '2001-11-06 07:30:00') - epoch_us(max(l_shipdate))) / 3600000000.0 AS age FROM s GROUP BY 1),
+  target AS (SELECT CASE WHEN k % 11 = 0 THEN k + 1000000 ELSE k END AS k, count(*) AS m, count(*) FILTER (flag <> '7') AS bad,
+    min(flag) FILTER (flag <> '7') AS worst FROM s WHERE l_quantity <= 48 AND k % 7 <> 0 GROUP BY 1),
+  per AS (SELECT coalesce(source.k, target.k) AS supplier, coalesce(n, 0) AS n, nulls, source.bad, source.worst, dup, age,
+    coalesce(m, 0) AS m, coalesce(target.bad, 0) AS target_bad, target.worst AS target_worst
+    FROM source FULL JOIN target ON source.k = target.k)
+SELECT supplier, 1 AS check_order, CASE WHEN n = 0 THEN 'failed' ELSE 'passed' END AS status,
+  CASE WHEN n = 0 THEN 'Source has 0 rows' ELSE 'Source readable: ' || n || ' rows, 6 columns' END AS message FROM per
+UNION ALL SELECT supplier, 2, CASE WHEN nulls + bad > 0 THEN 'failed' ELSE 'passed' END,
+  CASE WHEN nulls + bad = 0 THEN 'Schema matches: 6 columns as expected' ELSE concat_ws('; ',
+    CASE WHEN nulls > 0 THEN 'Null violations (' || nulls || '): Null in non-nullable column ''price''' END,
+    CASE WHEN bad > 0 THEN 'Type violations (' || bad || '): Type mismatch in ''flag'': expected integer, got ''' || worst || '''' END)
+  END FROM per WHERE n > 0
+UNION ALL SELECT supplier, 3, CASE WHEN target_bad > 0 THEN 'failed' ELSE 'passed' END,
+  CASE WHEN target_bad = 0 THEN 'Schema matches: 2 columns as expected' ELSE
+    'Type violations (' || target_bad || '): Type mismatch in ''flag'': expected integer, got ''' || target_worst || '''' END
+  FROM per WHERE n > 0
+UNION ALL SELECT supplier, 4, CASE WHEN n > 600 OR dup > 0 OR abs(n - m) / n * 100 > 5 THEN 'failed' ELSE 'passed' END,
+  CASE WHEN n > 600 OR dup > 0 OR abs(n - m) / n * 100 > 5 THEN concat_ws('; ',
+    CASE WHEN n > 600 THEN 'Source row count ' || n || ' outside range [0, 600]' END,
+    CASE WHEN dup > 0 THEN 'Found ' || dup || ' duplicate rows on keys [''l_orderkey'', ''l_linenumber'']' END,
+    CASE WHEN abs(n - m) / n * 100 > 5 THEN 'Source-target mismatch: ' || n || ' vs ' || m || ' ('
+      || CAST(round(abs(n - m) / n * 100, 2) AS DOUBLE) || '% diff, max 5%)' END)
+  ELSE 'Row count ' || n || ' within range [0, 600]' END FROM per WHERE n > 0
+UNION ALL SELECT supplier, 5, CASE WHEN age > 48 THEN 'failed' ELSE 'passed' END,
+  'Data is ' || CASE WHEN age > 48 THEN 'stale' ELSE 'fresh' END || ': ' || round(age, 2) || 'h old (max 48h)' FROM per WHERE n > 0""",
+)
+def run_by_key(spark, d):
+    """Whole runs of all suppliers' shipments against copies that lack rows and suppliers, and have suppliers of their own."""
+    rows = _shipments(spark, d)
+    number = F.col("supplier")
+    copies = rows.where((F.col("l_quantity") <= 48) & (number % 7 != 0)).select(
+        F.when(number % 11 == 0, number + 1000000).otherwise(number).alias("supplier"), "flag"
+    )
+    found = checks.contract_checks_by_key(
+        from_frame(rows.drop("l_quantity")), SHIPMENTS, AS_OF, ["supplier"],
+        target=from_frame(copies), target_contract=COPIES, samples=True,
+    )
+    return found.select("supplier", "check_order", "status", "message")
+
+
 @case(
     "number_text",
     """SELECT o_orderkey, CAST(round(o_totalprice / 7, 2) AS VARCHAR) AS shown FROM orders""",

@@ -110,7 +110,11 @@ LEFT JOIN (SELECT pipeline, run_id, string_agg(incident_type || '=' || severity
     ),
 )
 def run_health(spark, d):
-    found = runs.health_summary(t.runs(spark, d), t.checks(spark, d), t.incidents(spark, d))
+    return flat_health(runs.health_summary(t.runs(spark, d), t.checks(spark, d), t.incidents(spark, d)))
+
+
+def flat_health(found):
+    """Health with its lists as texts."""
 
     def check(x):
         return F.concat(x["check_type"], F.lit("="), x["status"], F.lit(":"), x["message"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pactline import model
 from pactline.operators.checks import check_freshness, check_readability, check_row_count, check_schema, contract_checks
-from pactline.plans import registry
+from pactline.plans import history, registry
 from pactline.session import work_folder
 from pactline.sources.contracts import ColumnRule, Contract, explode_columns, read_contract_files
 from pactline.sources.resolve import profile, resolve
@@ -63,6 +63,20 @@ def source_object_store(spark, d):
     return resolve(spark, "s3://lake/customer.parquet", object_store=f"{folder}/").frame
 
 
+@case(
+    "source_object_text",
+    "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name || ', \"' || c_mktsegment || '\"' AS name FROM customer",
+)
+def source_object_text(spark, d):
+    """A delimited file in an object store, with quoted commas; one writer makes one file."""
+    folder = work_folder(spark, "bucket")
+    name = F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("name")
+    rows = t.table(spark, d, "customer").select(F.col("c_custkey").alias("key"), name).coalesce(1)
+    rows.write.option("header", "true").option("escape", '"').csv(f"{folder}/lake/customers")
+    file = spark.read.text(f"{folder}/lake/customers").select("_metadata.file_name").first()[0]
+    return resolve(spark, f"s3://lake/customers/{file}", object_store=f"{folder}/").frame
+
+
 @case("source_catalog_table", "SELECT * FROM part")
 def source_catalog_table(spark, d):
     t.table(spark, d, "part").createOrReplaceTempView("checked_part")
@@ -230,6 +244,27 @@ def checks_unreadable(spark, d):
     return reduce(DataFrame.unionByName, named)
 
 
+@case(
+    "checks_target_unreadable",
+    """SELECT v.* FROM (SELECT count(*) AS n FROM customer), LATERAL (VALUES
+  (1, 'passed', 'Source readable: ' || n || ' rows, 2 columns', NULL), (2, 'passed', 'Schema matches: 2 columns as expected', NULL),
+  (3, 'failed', 'Cannot read source for schema check: Failed to read partitions: text is not valid UTF-8', 'source_not_readable'),
+  (4, 'failed', 'Target not readable: Failed to read partitions: text is not valid UTF-8', 'unknown'),
+  (5, 'failed', 'No valid timestamps found in column ''name''', 'freshness_exceeded')
+) v(check_order, status, message, error_category)""",
+)
+def checks_target_unreadable(spark, d):
+    """All checks of customers whose copies are in another encoding: the target's checks fail, the source's do not."""
+    folder = _bare(work_folder(spark, "copies"))
+    rows = t.table(spark, d, "customer").select("c_custkey", F.concat("c_name", F.lit(" é")).alias("name"))
+    rows.write.option("header", "true").csv(f"{folder}/source")
+    rows.write.option("header", "true").option("encoding", "ISO-8859-1").csv(f"{folder}/target")
+    contract = Contract((ColumnRule("c_custkey", "integer"), ColumnRule("name")), timestamp_column="name")
+    source, target = (resolve(spark, f"partition://{folder}/{x}") for x in ("source", "target"))
+    found = contract_checks(source, contract, datetime(2002, 1, 1), target, contract)
+    return found.select("check_order", "status", "message", "error_category")
+
+
 @case(
     "contract_files",
     """SELECT c_name AS pipeline, 'lines' AS dataset, c_nationkey AS version, position, "column", type, nullable
@@ -303,6 +338,30 @@ def sink_checks(spark, d):
     return store.checks(date(2001, 1, 1)).withColumn("check_order", F.col("check_order").cast("int"))
 
 
+@case(
+    "run_health_of_one",
+    f"{control.CASES['run_health'][1]} WHERE r.seq = (SELECT max(seq) FROM runs WHERE status = 'failed')",
+)
+def run_health_of_one(spark, d):
+    """Health of the last failed run, from a snapshot of how all runs began and the events that came after it."""
+    began = datetime.now(timezone.utc) - timedelta(hours=8)
+    folder = work_folder(spark, "store")
+    store, events = ControlStore(spark, folder, lambda: began), _events(t.runs(spark, d))
+    found = t.incidents(spark, d)
+    store.append("runs", events.where("event_no = 1"))
+    store.append("checks", t.checks(spark, d), date(2001, 1, 1))
+    store.append("incidents", found.withColumn("owner", F.lit("nobody")).withColumn("event_no", F.lit(0)))
+    store = ControlStore(spark, folder)
+    store.fold()
+    store.append("runs", events.where("event_no = 2"))
+    store.append("incidents", found.withColumn("event_no", F.lit(1)))
+    last = t.runs(spark, d).where(F.col("status") == model.FAILED).agg(F.max_by(F.struct(*model.RUN_KEY), "seq").alias("run"))
+    pipeline, run_id = last.select("run.*").first()
+    return control.flat_health(
+        history.run_health(store.runs(pipeline), store.checks(pipeline=pipeline), store.incidents(pipeline), pipeline, run_id)
+    )
+
+
 @case("sink_incidents", sql("SELECT * FROM incidents", "incidents"))
 def sink_incidents(spark, d):
     """Incidents open first; some are acknowledged by a later entry."""
