@@ -59,8 +59,62 @@ def test_very_long_and_empty(spark):
     assert pf.conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_sampled_pairs_end_in_another_answer(spark):
-    rows = [(c, t, ["user", "assistant"][t % 2], f"{c}-{t}") for c in (1, 2, 4) for t in range(3)]
-    lists = pf.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    got = pf.sampled_pairs(lists).select("pair_id", F.expr("transform(chosen, t -> t.text)").alias("c"), F.expr("transform(rejected, t -> t.text)").alias("r")).collect()
-    assert [tuple(r) for r in got] == [(1, ["1-0", "1-1"], ["1-0", "2-1"])]
+def brute_next(rows):
+    """(key, value) rows to the next key with another value, around the end."""
+    ordered = sorted(rows)
+    out = {}
+    for i, (key, value) in enumerate(ordered):
+        around = ordered[i + 1 :] + ordered[:i]
+        out[key] = next((k for k, v in around if v != value), None)
+    return out
+
+
+def test_next_key_with_another_value(spark):
+    rng = random.Random(3)
+    cases = [[(f"k{i:04}", rng.randint(0, 1)) for i in rng.sample(range(5000), 400)], [(i * 2, 7) for i in range(60)] + [(5, 8)], [(i, 1) for i in range(50)], [(3, 3)]]
+    cases.append([(i, i // 90) for i in range(400)])
+    for rows in cases:
+        kind = "string" if isinstance(rows[0][0], str) else "long"
+        out = pf.next_different(spark.createDataFrame(rows, f"k {kind}, v long"), "k", "v")
+        assert {r["key"]: r["next"] for r in out.collect()} == brute_next(rows)
+    assert pf.next_different(spark.createDataFrame([], "k long, v long"), "k", "v").count() == 0
+
+
+def pairs_of(spark, rows, kind="long"):
+    lists = pf.conversations(spark.createDataFrame(rows, f"conv_id {kind}, turn long, role string, text string"))
+    texts = lambda c: F.expr(f"transform({c}, t -> t.text)").alias(c)
+    return {r[0]: (r[1], r[2]) for r in pf.sampled_pairs(lists).select("pair_id", texts("chosen"), texts("rejected")).collect()}
+
+
+def test_sampled_pairs_part_at_the_middle_answer(spark):
+    rows = [(c, t, ["user", "assistant"][t % 2], f"{c}-{t}") for c in (2, 4, 8) for t in range(2 * c + 1)]
+    got = pairs_of(spark, rows)
+    name = lambda c, *places: [f"{c}-{t}" for t in places]
+    assert got[2] == (name(2, 0, 1, 2, 3), name(2, 0) + name(4, 3, 4, 5, 6, 7))
+    assert got[4] == (name(4, *range(8)), name(4, 0, 1, 2) + name(8, *range(7, 16)))
+    assert got[8] == (name(8, *range(16)), name(8, *range(7)) + name(2, 1, 2, 3))
+
+
+def test_every_answered_conversation_has_a_pair(spark):
+    """Even ids, text ids, the same answer in most conversations; those without an answer have none."""
+    even = [(2 * c, t, ["user", "assistant"][t], "yes" if t and c % 10 else f"{c}-{t}") for c in range(50) for t in range(2)]
+    assert set(pairs_of(spark, even)) == {2 * c for c in range(50)}
+    named = [(f"conv-{c}", t, ["user", "assistant"][t], f"{c}-{t}") for c in range(20) for t in range(2)] + [("mute", 0, "user", "hello"), (None, 1, "assistant", "x")]
+    assert set(pairs_of(spark, named, "string")) == {f"conv-{c}" for c in range(20)}
+    assert pairs_of(spark, [(c, 0, "assistant", "same") for c in range(9)]) == {} == pairs_of(spark, [])
+
+
+def test_query_pairs_all_answered_conversations(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(3 * c, t, rng.choice(["user", "assistant", None]), rng.choice(["a", "b", None, f"t{c}-{t}"])) for c in range(120) for t in range(rng.randint(1, 9))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = pf.op4_preference_pairs(spark, str(tmp_path)).collect()
+    assert {r["conv_id"] for r in got} == {c for c, _, role, _ in rows if role == "assistant"}
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    names = ["conv_id", "prompt_turns", "prompt", "chosen", "chosen_spans", "rejected", "rejected_spans"]
+    expected = duck.sql(f"select {', '.join(names)} from ({pf.OP4_SQL})").fetchall()
+    assert sorted(tuple(r[n] for n in names) for r in got) == sorted(expected)
+    assert max(r["chosen_spans"].count(",") for r in got) > 1 and len({r["prompt_turns"] for r in got}) > 3
