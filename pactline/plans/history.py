@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,7 +60,9 @@ def list_runs(
     if status and status not in model.RUN_STATUSES:
         raise ValueError(f"'{status}' is not a run status")
     found = runs.where(F.col("status") == status) if status else runs
-    if pipeline is not None:
+    if pipeline is not None and offset + limit > SHALLOW:
+        page = _deep_page(found.where(F.col("pipeline") == pipeline), NEWEST, offset, limit).orderBy(*_newest_first(NEWEST))
+    elif pipeline is not None:
         page = (
             found.where(F.col("pipeline") == pipeline)
             .orderBy(*_newest_first(NEWEST))
@@ -71,7 +74,14 @@ def list_runs(
     return page.withColumn("duration_ms", duration_ms()).select(*RUN_ITEM)
 
 
+#: Places up to which Spark keeps that many rows of each pipeline in every task before it shuffles.
+SHALLOW = 1000
+
+
 def _page_per_pipeline(rows: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFrame:
+    """Rows number offset + 1 to offset + limit of every pipeline."""
+    if offset + limit > SHALLOW:
+        return _deep_page(rows, order, offset, limit)
     # The bound on the rank lets Spark keep only that many rows per pipeline in
     # each task before the shuffle.
     window = Window.partitionBy("pipeline").orderBy(*_newest_first(order))
@@ -79,6 +89,27 @@ def _page_per_pipeline(rows: DataFrame, order: Sequence[str], offset: int, limit
     return ranked.where(F.col("rank") > offset).drop("rank")
 
 
+def _deep_page(rows: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFrame:
+    """The page in two passes, the first of which finds the hours that it lies in.
+
+    Rows are counted per pipeline and hour, with partial counts before the shuffle, and the
+    counts of later hours added up. Only rows of hours that the page touches are then
+    ranked, each hour by itself, so a pipeline that owns most rows is never in one task.
+    """
+    hours = {"__day": F.col(order[0]).cast("date"), "__hour": F.hour(order[0])}
+    placed = rows.withColumns(hours)
+    later = Window.partitionBy("pipeline").orderBy(*_newest_first(hours)).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("pipeline", *hours).agg(F.count(F.lit(1)).alias("__rows"))
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__rows").over(later), F.lit(0)))
+    touched = counts.where((F.col("__before") < offset + limit) & (F.col("__before") + F.col("__rows") > offset))
+    touched = touched.select(*[F.col(c).alias(f"{c}_") for c in ("pipeline", *hours)], "__before")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("pipeline", *hours)])
+    inside = Window.partitionBy("pipeline", *hours).orderBy(*_newest_first(order))
+    rank = F.col("__before") + F.row_number().over(inside)
+    ranked = placed.join(touched, same).withColumn("__rank", rank)
+    return ranked.where((F.col("__rank") > offset) & (F.col("__rank") <= offset + limit)).select(*rows.columns)
+
+
 def find_run(runs: DataFrame, run_id: str, pipeline: str | None = None) -> DataFrame:
     """A run of a pipeline, or the first registered one with that id."""
     found = runs.where(F.col("run_id") == run_id)
@@ -131,6 +162,8 @@ def open_incidents(
     order = ["first_observed_at", "run_id"]
     if pipeline is not None:
         found = of_runs(found.where(F.col("pipeline") == pipeline), runs)
+        if limit > SHALLOW:
+            return _deep_page(found, order, 0, limit).orderBy(*_newest_first(order))
         return found.orderBy(*_newest_first(order)).limit(limit)
     return _page_per_pipeline(of_runs(found, runs), order, 0, limit)
 

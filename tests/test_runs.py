@@ -258,3 +258,38 @@ def test_run_ids_are_stable(spark):
         run_id(day, F.lit("a")), run_id(day, F.lit("a")), run_id(day, F.lit("b"))
     ).first()
     assert first == again != other and re.fullmatch(r"2026-08-19-[0-9a-f]{6}", first)
+
+
+def deep_runs(spark):
+    """One pipeline with most runs, ties in time, runs without a time, a small pipeline."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2026, 8, 1)
+    rows = [("hot", f"h{i}", start + timedelta(minutes=i // 3) if i % 50 else None, i) for i in range(8000)]
+    rows += [("cold", f"c{i}", start + timedelta(hours=i), i) for i in range(1200)]
+    base = spark.createDataFrame(rows, "pipeline string, run_id string, started_at timestamp_ntz, seq bigint")
+    rest = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in model.RUNS.split(", ")}
+    return base.select("*", *[v.alias(k) for k, v in rest.items() if k not in base.columns]), rows
+
+
+def test_deep_pages_equal_sorting(spark):
+    runs, rows = deep_runs(spark)
+    ordered = {p: sorted((r for r in rows if r[0] == p), key=lambda r: (r[2] is not None, r[2], r[3]) if r[2] else (False, None, r[3]), reverse=True) for p in ("hot", "cold")}
+    for offset, limit in ((5000, 30), (7820, 60), (990, 20), (1150, 200), (7990, 5000)):
+        expected = {p: [r[1] for r in ordered[p][offset : offset + limit]] for p in ordered}
+        got = history.list_runs(runs, limit=limit, offset=offset).collect()
+        assert {p: {r["run_id"] for r in got if r["pipeline"] == p} for p in ordered} == {p: set(e) for p, e in expected.items()}
+        one = history.list_runs(runs, "hot", limit=limit, offset=offset).collect()
+        assert [r["run_id"] for r in one] == expected["hot"]
+
+
+def test_a_deep_page_ranks_hours_not_pipelines(spark):
+    runs, _ = deep_runs(spark)
+    found = history.list_runs(runs, limit=30, offset=5000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 2
+    ranked = next(line for line in windows if "row_number" in line)
+    assert "__day" in ranked.split("windowspecdefinition(")[1].split("started_at")[0]
+    # The other one adds up counts, one row for each hour of a pipeline.
+    assert "sum(__rows" in next(line for line in windows if "row_number" not in line)

@@ -454,6 +454,20 @@ def run_page(spark, d):
     return history.list_runs(t.runs(spark, d), status=model.LATE, limit=2, offset=1)
 
 
+@case(
+    "run_page_deep",
+    sql(
+        f"""SELECT {RUN_ITEM_SQL} FROM (SELECT * REPLACE (CASE WHEN seq % 16 = 0 THEN 'small' ELSE 'large' END AS pipeline) FROM runs)
+QUALIFY row_number() OVER (PARTITION BY pipeline ORDER BY started_at DESC, seq DESC) BETWEEN 1001 AND 1040""",
+        "runs",
+    ),
+)
+def run_page_deep(spark, d):
+    """A page far back of two pipelines, one of which owns most runs."""
+    shared = F.when(F.col("seq") % 16 == 0, "small").otherwise("large")
+    return history.list_runs(t.runs(spark, d).withColumn("pipeline", shared), limit=40, offset=1000)
+
+
 @case(
     "run_page_of_one",
     sql(
