@@ -4,6 +4,8 @@ Lines end at a line feed, a carriage return, or both. Empty lines are no rows; l
 of blanks are. Columns go by the names in each file's first line; of repeated names
 the last counts. Text must be UTF-8.
 
+A quoted name of a header may go on over several lines.
+
 One scan looks every file over: its first line, whether it is valid UTF-8, and whether
 a line opens a quoted field that goes on past its end. Text without such lines stays splittable and is parsed line by line; only text
 with them is read file by file. What decides is the content, not the size. (Read file by file, a lone carriage return
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 
 BLOCK, ROW = "__block", "__row"
 _FORMAT = {"escape": '"', "maxCharsPerColumn": "-1"}
+#: The most lines that a header with line breaks in its names may have.
+HEADER_LINES = 256
 _FILE, _VALUE, _HEADER, _FIRST = "__file", "__value", "__header", "__first"
 
 
@@ -65,6 +69,36 @@ def _survey(lines: DataFrame, guess: str | None) -> DataFrame:
     )
 
 
+def _open(header: Column) -> Column:
+    return F.length(F.regexp_replace(header, '[^"]', "")) % 2 == 1
+
+
+def _with_whole_headers(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """The survey with all lines of headers in which a quoted name goes on past the first line."""
+    asked = files.where(_open(F.col(_HEADER))).select(_FILE, _FIRST)
+    near = lines.where(F.col(BLOCK) == 0).join(asked, _FILE).where(F.col(ROW).between(F.col(_FIRST), F.col(_FIRST) + HEADER_LINES - 1))
+    top = near.groupBy(_FILE).agg(F.sort_array(F.collect_list(F.struct(ROW, _VALUE))).alias("top"))
+    lines_of = F.transform("top", lambda line: line[_VALUE])
+    more = lambda text, line: F.when(_open(text), F.concat(text, F.lit("\n"), line)).otherwise(text)
+    whole = F.aggregate(F.slice(lines_of, F.lit(2), F.size("top")), F.get(lines_of, 0), more).alias("__whole")
+    joined = files.join(top.select(_FILE, whole), _FILE, "left")
+    return joined.withColumn(_HEADER, F.coalesce("__whole", _HEADER)).drop("__whole")
+
+
+def _kinds(files: DataFrame) -> list:
+    """One row per layout of columns, of which a dataset has few."""
+    return (
+        files.groupBy(_HEADER)
+        .agg(
+            F.min(_FILE).alias("file"), F.count(F.lit(1)).alias("files"), F.sum("filled").alias("filled"),
+            F.bool_or("odd").alias("odd"), F.bool_or("foreign").alias("foreign"), F.min(_FIRST).alias("first"),
+            F.max("same").alias("same"),
+        )
+        .orderBy("file")
+        .collect()
+    )
+
+
 def names_of(header: str) -> list[str]:
     return next(csv.reader([header]), [])
 
@@ -99,17 +133,10 @@ def read_delimited(
     guess = text.where(F.col(_VALUE) != "").select(_VALUE).first()
     guess = guess[0] if guess else None
     files = _survey(lines, guess)
-    # One row per layout of columns, of which a dataset has few.
-    kinds = (
-        files.groupBy(_HEADER)
-        .agg(
-            F.min(_FILE).alias("file"), F.count(F.lit(1)).alias("files"), F.sum("filled").alias("filled"),
-            F.bool_or("odd").alias("odd"), F.bool_or("foreign").alias("foreign"), F.min(_FIRST).alias("first"),
-            F.max("same").alias("same"),
-        )
-        .orderBy("file")
-        .collect()
-    )
+    kinds = _kinds(files)
+    if multi_line is not False and any((k[_HEADER] or "").count('"') % 2 for k in kinds):
+        files = _with_whole_headers(lines, files)
+        kinds = _kinds(files)
     if any(k["foreign"] for k in kinds):
         return Delimited(None, error="text is not valid UTF-8")
     kinds = [k for k in kinds if k[_HEADER] is not None]

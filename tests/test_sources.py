@@ -243,3 +243,28 @@ def test_repeated_header_names_and_foreign_text(spark, tmp_path):
     assert found.columns == ("a", "b") and tuple(found.frame.first()) == ("3", "2")
     (tmp_path / "f.csv").write_bytes(b"a,b\n1,\xe9\n")
     assert resolve(spark, str(tmp_path / "f.csv")).error == "Failed to read file: text is not valid UTF-8"
+
+
+def test_names_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('"a\nb",c,"d ""q""\n\nlast"\n1,"x\ny",3\n4,,6\n')
+    found = resolve(spark, str(path))
+    assert found.columns == ("a\nb", "c", 'd "q"\n\nlast')
+    assert sorted(map(tuple, found.frame.collect())) == [("1", "x\ny", "3"), ("4", None, "6")]
+
+
+def test_partitions_whose_broken_headers_differ_below_the_first_line(spark, tmp_path):
+    for name, header, row in (("p=1", 'k,"a\nb"', "1,2"), ("p=2", '"z\ny",k', "3,4"), ("p=3", 'k,"a\nc"', "5,6"), ("p=4", "k", "7")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.csv").write_text(f"{header}\n{row}\n")
+    found = resolve(spark, f"partition://{tmp_path}")
+    assert set(found.columns) == {"k", "a\nb", "z\ny", "a\nc"}
+    rows = {r["k"]: (r["a\nb"], r["a\nc"], r["z\ny"]) for r in found.frame.collect()}
+    assert rows == {"1": ("2", None, None), "4": (None, None, "3"), "5": (None, "6", None), "7": (None, None, None)}
+
+
+def test_a_header_alone_with_line_breaks_has_no_rows(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('"a\nb",c\n')
+    found = resolve(spark, str(path))
+    assert found.columns == ("a\nb", "c") and found.frame.isEmpty()

@@ -169,6 +169,19 @@ def source_text_file(spark, d):
     return resolve(spark, _bare(file)).frame
 
 
+@case(
+    "source_text_header_breaks",
+    "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, c_mktsegment || chr(10) || 'end' AS segment FROM customer",
+)
+def source_text_header_breaks(spark, d):
+    """Text whose column names, and some values, have line breaks."""
+    folder = _bare(work_folder(spark, "breaks"))
+    rows = t.table(spark, d, "customer").select("c_custkey", "c_name", F.concat("c_mktsegment", F.lit("\nend")))
+    rows.toDF("customer\nkey", "name", "market\n\nsegment").write.option("header", "true").option("escape", '"').csv(folder)
+    found = resolve(spark, f"partition://{folder}").frame
+    return found.select(F.col("customer\nkey").alias("key"), "name", F.col("market\n\nsegment").alias("segment"))
+
+
 @case(
     "source_text_headers",
     """SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey % 3 < 2 THEN c_name END AS name,
