@@ -36,18 +36,29 @@ def canonical(url: Column) -> Column:
 def resolve(records: DataFrame) -> DataFrame:
     """record_id, address, response_id, status, headers, payload for every revisit.
 
-    records has record_id (unique), url, ts, kind ("response" or "revisit"), etag,
+    records has record_id, url, ts, kind ("response" or "revisit"), etag,
     last_modified, headers (map of strings, names in lower case) and payload. status is
     "resolved"; "mismatch" if both sides have an entity tag, or else a date, and they
     differ; "unchecked" if they have no validator in common; "missing" without an
     earlier response or with a null url or time. Only resolved and unchecked revisits
     get headers and payload. Of responses at one time the largest id is the latest.
-    Records of other kinds are ignored, so are other columns. No rows give no rows.
+    Records of one id are one, however often they come; of different ones that with the
+    smallest values stands. Records of other kinds are ignored, so are other columns. No rows give no rows.
     """
     light = written(records.filter(F.col("kind").isin("response", "revisit")).select(
         F.col("record_id").cast("long").alias("record_id"), canonical(F.col("url")).alias("address"), F.col("ts").cast("double").alias("ts"),
         (F.col("kind") == "response").cast("int").alias("full"), "etag", "last_modified",
     ))
+    # Ids that come again are few; only their rows are gathered.
+    again = written(light.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("record_id"))
+
+    def once(rows: DataFrame, key: str, order: Column) -> DataFrame:
+        repeated = rows[key].eqNullSafe(again["record_id"])
+        rest = [c for c in rows.columns if c != key]
+        least = rows.join(again, repeated, "left_semi").groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("least"))
+        return rows.join(again, repeated, "left_anti").unionByName(least.select(key, "least.*"))
+
+    light = once(light, "record_id", F.struct("address", "ts", "full", "etag", "last_modified"))
     usable = light.filter("address is not null and ts is not null")
     span = usable.agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high")).first()
     slices = 1 << slice_bits(span.n)
@@ -71,6 +82,8 @@ def resolve(records: DataFrame) -> DataFrame:
     judged = found.select("record_id", "address", F.col("found.record_id").alias("response_id"), status.alias("status"))
     own = records.filter("kind = 'revisit'").select(F.col("record_id").alias("_revisit"), F.col("headers").alias("_new"))
     stored = records.filter("kind = 'response'").select(F.col("record_id").alias("_response"), F.col("headers").alias("_old"), "payload")
+    own = once(own, "_revisit", F.to_json("_new"))
+    stored = once(stored, "_response", F.to_json(F.struct("_old", "payload")))
     usable_id = F.when(F.col("status").isin("resolved", "unchecked"), F.col("response_id"))
     full = judged.withColumn("_from", usable_id).join(stored, F.col("_from") == F.col("_response"), "left").join(
         own, F.col("record_id") == F.col("_revisit"), "left"
@@ -81,29 +94,37 @@ def resolve(records: DataFrame) -> DataFrame:
     return full.select("record_id", "address", "response_id", "status", headers.alias("headers"), "payload")
 
 
-#: A revisit follows its page by so many captures.
-LAG = 500.5
+#: Captures of a page by the query, and how far they are apart.
+ROUNDS = 6
+LAG = 100.5
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Records of a crawl of pages, one response each at the time of its id, and of a later check of each that found it unmodified."""
-    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
-    id_ = F.col("page_id").cast("long")
-    first = pages.select(
-        (2 * id_).alias("record_id"), "url", id_.cast("double").alias("ts"), F.lit("response").alias("kind"), tag.alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"),
-        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("string"),
-                     F.lit("etag"), tag, F.lit("date"), id_.cast("string")).alias("headers"),
-        F.col("html").alias("payload"),
-    )
-    again = pages.select(
-        (2 * id_ + 1).alias("record_id"), "url", (id_ + LAG).alias("ts"), F.lit("revisit").alias("kind"), tag.alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"),
-        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("etag"), tag, F.lit("date"), (id_ + 500).cast("string"),
-                     F.lit("cache-control"), F.lit("max-age=60")).alias("headers"),
-        F.lit(None).cast("string").alias("payload"),
+    """Records of a crawl that came to each page ROUNDS times; by rule some captures are full responses, of two versions.
+
+    Of every third capture on there is a full response; the others are revisits, so some
+    come before any response and some after one of the other version. Entity tags name
+    the version; every fifth page has dates only, and revisits of every seventh nothing.
+    """
+    id_, k = F.col("page_id").cast("long"), F.col("k").cast("long")
+    full = F.pmod(id_ + k, F.lit(3)) == 0
+    version = F.pmod(F.floor((id_ + k) / 2).cast("long"), F.lit(2))
+    body = F.concat(F.coalesce("html", F.lit("")), F.lit("#"), version)
+    bare = ~full & (id_ % 7 == 0)
+    tag = F.when(~bare & (id_ % 5 != 0), F.concat(F.lit('"'), F.md5(body), F.lit('"')))
+    dated = F.when(~bare & (id_ % 5 == 0), F.concat(F.lit("v"), version))
+    rows = pages.select("page_id", "url", "html", F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))).alias("k"))
+    given = {
+        "content-length": F.when(full, F.octet_length(body)).otherwise(0).cast("string"),
+        "date": (id_ * 10 + k).cast("string"),
+        "cache-control": F.when(~full, "max-age=60"),
+        "etag": tag,
+    }
+    headers = F.map_filter(F.create_map(*[x for n, v in given.items() for x in (F.lit(n), v)]), lambda _, v: v.isNotNull())
+    return rows.select(
+        (id_ * 8 + k).alias("record_id"), "url", (id_ + k * F.lit(LAG)).alias("ts"), F.when(full, "response").otherwise("revisit").alias("kind"),
+        tag.alias("etag"), dated.alias("last_modified"), headers.alias("headers"), F.when(full, body).alias("payload"),
     )
-    return first.unionByName(again)
 
 
 def op7_revisits(spark, sf_dir: str) -> DataFrame:
@@ -114,22 +135,32 @@ def op7_revisits(spark, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 with b as (
-  select page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare from pages
+  select page_id::bigint as id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare from pages
 ), c as (
-  select page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www[.]', ''), ':(80|443)$', '')
+  select id, html, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www[.]', ''), ':(80|443)$', '')
     || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') as place,
     array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '^[^?]*[?](.*)$', 1), '&'),
       lambda p: p <> '' and not regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sid|sessionid)(=|$)'))), '&') as query
   from b
-), p as (
-  select page_id::bigint as id, html, '"' || md5(coalesce(html, '')) || '"' as tag, coalesce(strlen(html), 0) as n,
-    place || case when query <> '' then '?' || query else '' end as address from c
-), j as (
-  select r.id, r.address, r.tag, s.id as sid, s.tag as stag, s.n, s.html from p r asof left join p s on r.address = s.address and r.id + 500.5 > s.id
+), r as (
+  select 8 * id + k as record_id, place || case when query <> '' then '?' || query else '' end as address, id + k * 100.5 as ts,
+    (id + k) % 3 = 0 as whole, coalesce(html, '') || '#' || ((id + k) // 2) % 2 as body, id, k, ((id + k) // 2) % 2 as version,
+    (id + k) % 3 <> 0 and id % 7 = 0 as naked
+  from c, generate_series(0, 5) g(k)
+), v as (
+  select *, case when not naked and id % 5 <> 0 then '"' || md5(body) || '"' end as tag,
+    case when not naked and id % 5 = 0 then 'v' || version end as dated from r
+), w as (select address, ts, max(record_id) as record_id from v where whole group by address, ts),
+j as (
+  select n.record_id, n.address, n.id, n.k, n.tag, n.dated, o.record_id as response_id, o.tag as old_tag, o.dated as old_dated, o.body, o.id as old_id, o.k as old_k
+  from (select * from v where not whole) n asof left join w on n.address = w.address and n.ts > w.ts left join v o on o.record_id = w.record_id
+), s as (
+  select *, case when response_id is null then 'missing' when coalesce(tag = old_tag, dated = old_dated) is null then 'unchecked'
+    when coalesce(tag = old_tag, dated = old_dated) then 'resolved' else 'mismatch' end as status from j
 )
-select 2 * id + 1 as record_id, address, 2 * sid as response_id,
-  case when sid is null then 'missing' when tag = stag then 'resolved' else 'mismatch' end as status,
-  case when tag = stag then 'cache-control=max-age=60;content-length=' || n || ';content-type=text/html;date=' || (id + 500) || ';etag=' || tag end as headers,
-  case when tag = stag then md5(html) end as payload_md5
-from j
+select record_id, address, response_id, status,
+  case when status in ('resolved', 'unchecked') then 'cache-control=max-age=60;content-length=' || strlen(body) || ';date=' || (10 * id + k)
+    || case when coalesce(tag, old_tag) is not null then ';etag=' || coalesce(tag, old_tag) else '' end end as headers,
+  case when status in ('resolved', 'unchecked') then md5(body) end as payload_md5
+from s
 """

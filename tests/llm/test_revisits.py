@@ -59,6 +59,32 @@ def test_empty_and_payload(spark):
     assert (r.status, len(r.payload), r.headers) == ("resolved", 200_000, {"x": "y"})
 
 
+def test_repeated_records_count_once(spark):
+    """Equal rows, equal ids with other contents, ids that are null."""
+    response, revisit = (1, "a.com", 1.0, "response", "1", None, {"x": "y"}, "body", "", ""), (2, "a.com", 2.0, "revisit", "1", None, {"etag": "1"}, None, "", "")
+    rows = [response] * 2 + [revisit] * 2 + [(2, "z.com", 9.0, "revisit", "1", None, None, None, "", ""), (1, "a.com", 1.0, "response", "1", None, {"x": "z"}, "body", "", "")]
+    rows += [(None, "a.com", 3.0, "revisit", "1", None, None, None, "", "")] * 2
+    got = {r.record_id: (r.response_id, r.status, r.headers, r.payload) for r in rv.resolve(spark.createDataFrame(rows, RECORD)).collect()}
+    assert len(got) == 2 == rv.resolve(spark.createDataFrame(rows, RECORD)).count()
+    assert got[2] == (1, "resolved", {"x": "y", "etag": "1"}, "body") and got[None][:2] == (1, "resolved")
+
+
 def test_captures_of_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "a.com", "x"), (3, "", ""), (3, "", "")], "page_id long, url string, html string")
-    assert rv.resolve(rv.captures(pages)).count() >= 4
+    got = rv.resolve(rv.captures(pages)).filter("record_id is not null").collect()
+    assert sorted(r.record_id for r in got) == [8, 9, 11, 12, 25, 26, 28, 29]
+    assert {r.status for r in got if r.record_id < 16} == {"missing"}
+    assert {r.record_id: (r.response_id, r.status) for r in got if r.record_id > 16} == {
+        25: (24, "mismatch"), 26: (24, "mismatch"), 28: (27, "resolved"), 29: (27, "mismatch")
+    }
+
+
+def test_the_query_has_every_verdict_and_several_responses(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a{i % 40}.com/", f"text {i}") for i in range(200)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    records = [tuple(r) for r in rv.captures(pages).collect()]
+    # Not only the last response of an address is right.
+    got = {r.record_id: (r.response_id, r.status) for r in rv.op7_revisits(spark, str(tmp_path)).collect()}
+    address = lambda r: (r[0], r[1].removeprefix("http://").removesuffix("/"), *r[2:])
+    assert got == {k: v[:2] for k, v in plain([address(r) for r in records]).items()}
+    assert {s for _, s in got.values()} == {"resolved", "mismatch", "unchecked", "missing"}
