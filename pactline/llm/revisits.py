@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pactline.llm.mixing import slice_bits
-from pactline.llm.store import written
+from pactline.llm.store import sieved, written
 from pactline.llm.text import table
 
 #: Headers of a 304 answer that update a stored response.
@@ -79,15 +79,16 @@ def resolve(records: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("found").isNull(), "missing").when(verdict.isNull(), "unchecked").when(verdict, "resolved").otherwise("mismatch")
     )
+    usable_id = F.when(F.col("status").isin("resolved", "unchecked"), F.col("response_id"))
     judged = found.select("record_id", "address", F.col("found.record_id").alias("response_id"), status.alias("status"))
+    judged = written(judged.withColumn("_from", usable_id))
     own = records.filter("kind = 'revisit'").select(F.col("record_id").alias("_revisit"), F.col("headers").alias("_new"))
-    stored = records.filter("kind = 'response'").select(F.col("record_id").alias("_response"), F.col("headers").alias("_old"), "payload")
+    stored = records.filter("kind = 'response'").select(F.col("record_id").cast("long").alias("_response"), F.col("headers").alias("_old"), "payload")
+    # Responses that no revisit stands for stay where they are.
+    stored, _ = sieved(stored, judged.filter("_from is not null").select(F.col("_from").alias("_response")), "_response")
     own = once(own, "_revisit", F.to_json("_new"))
     stored = once(stored, "_response", F.to_json(F.struct("_old", "payload")))
-    usable_id = F.when(F.col("status").isin("resolved", "unchecked"), F.col("response_id"))
-    full = judged.withColumn("_from", usable_id).join(stored, F.col("_from") == F.col("_response"), "left").join(
-        own, F.col("record_id") == F.col("_revisit"), "left"
-    )
+    full = judged.join(stored, F.col("_from") == F.col("_response"), "left").join(own, F.col("record_id") == F.col("_revisit"), "left")
     brought = F.map_filter(F.coalesce("_new", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*UPDATES) & v.isNotNull())
     kept = F.map_filter(F.coalesce("_old", F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(brought), k))
     headers = F.when(F.col("_response").isNotNull(), F.map_concat(kept, brought))
