@@ -10,23 +10,27 @@ estimated cost of both decides.
 * Frequencies are needed only for a fixed share LIGHT of the token space: a set's
   tokens there are more than its prefix, as a rule; where they are fewer the prefix
   goes on with the other tokens by hash. The order stays common to all.
-* Candidates come in two rounds. First every document meets one document of each of its
+* Candidates come in rounds. First every document meets one document of each of its
   posting lists, the one most of which is found elsewhere: as many pairs as postings.
-  What these pairs connect needs no further check. The second round looks at pairs of a
-  list whose documents are in different components, each outside the list's largest
-  against all others, and passes only those that can be similar by the shingles that
-  neither has alone. So a list of thousands of near copies does not make its square of
-  candidates.
+  What these pairs connect needs no further check. In lists that are still crowded with
+  other components, documents then meet leaders drawn anew, as long as that links many.
+  The last round looks at all pairs of a list whose documents are in different
+  components, each outside the list's largest against all others.
+* Odd sketches (parities of a set's tokens in SKETCH_BITS cells) differ in at most as many
+  cells as two sets differ in tokens. They decide before whole sets are made and moved,
+  and inside the join of crowded lists. So a list of thousands of near copies does not
+  make its square of candidates.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,11 +44,18 @@ TOKEN_BITS = 48
 MOST_SHARED = 4
 #: Cost of verifying a candidate, in postings read.
 VERIFY = 8.0
-#: Documents outside a list's largest component from which on pairs are looked at more closely.
+#: Documents outside a list's largest component from which on leaders are drawn and sketches joined.
 CROWD = 16
+#: Leaders drawn of a crowded list, those of them that a document is verified against in a round, and the
+#: share of documents of crowded lists that a round must link for another one. They only choose the path:
+#: the last round is exact.
+LEADERS = 64
+TRIES = 4
+WORTH = 0.1
+SKETCH_BITS = 1024
 NO_ID = (1 << 63) - 1
 
-SETS = "id long, row long, n long, light long, digest binary, tokens array<long>"
+SETS = "id long, row long, n long, light long, digest binary, sketch array<long>, tokens array<long>"
 
 
 def needed(n, percent: int):
@@ -56,13 +67,19 @@ def _longest(n: int, percent: int) -> int:
     return min(n, n - needed(n, percent) + MOST_SHARED)
 
 
+def odd_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of tokens in SKETCH_BITS cells, as packed 64-bit numbers."""
+    cells = (tokens % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(k: int, percent: int, whole: bool):
     """Rows of SETS; with whole, the full sets as packed 64-bit numbers instead of prefix tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         border = np.uint64(LIGHT << 58)
         for batch in batches:
-            ns, lights, digests, tokens = [], [], [], []
+            ns, lights, digests, sketches, tokens = [], [], [], [], []
             for cell in batch.column(2):
                 own = np.unique(grams(word_hashes(cell.as_py().encode()), k))
                 ns.append(len(own))
@@ -72,6 +89,7 @@ def _sets(k: int, percent: int, whole: bool):
                 light = int(np.searchsorted(own, border))
                 lights.append(light)
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                sketches.append(odd_sketch(own))
                 tokens.append((own[: max(light, _longest(len(own), percent))] >> np.uint64(64 - TOKEN_BITS)).astype(np.int64))
             n = pa.array(ns, pa.int64())
             if whole:
@@ -82,8 +100,8 @@ def _sets(k: int, percent: int, whole: bool):
                 pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)),
             )
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], n, pa.array(lights, pa.int64()), pa.array(digests, pa.binary()), lists],
-                ["id", "row", "n", "light", "digest", "tokens"],
+                [*batch.columns[:2], n, pa.array(lights, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), lists],
+                ["id", "row", "n", "light", "digest", "sketch", "tokens"],
             )
 
     return run
@@ -142,13 +160,6 @@ def _verify(percent: int):
     return run
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.frombuffer(cell.as_py(), np.int64) for cell in batch.column(1)]
-        ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(s) for s in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets) if sets else ids)], ["id", "shingle"])
-
-
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     first = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
@@ -161,61 +172,99 @@ def _sizes_fit(a: str, b: str, percent: int):
     return (x * 100 >= y * percent) & (y * 100 >= x * percent)
 
 
-def links(rows: DataFrame, sets: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b), by uid, that connect all that is connected among the heads, which have different sets."""
-    postings = written(prefixes(sets, heads, percent))
-    asked = heads.join(postings.select(F.col("id").alias("uid")).distinct(), "uid", "left_semi")
-    asked = written(asked.select("uid", F.col("id").alias("_id"), F.col("row").alias("_row")))
+def _sketches_fit(a: str, b: str, percent: int):
+    """Whether sets can be similar by n and sketch: sets that are differ in (100 - percent) / (100 + percent) of both sizes at most."""
+    cells = [F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH_BITS // 64)]
+    return reduce(Column.__add__, cells) * (100 + percent) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (100 - percent)
+
+
+def checked(pairs: DataFrame, rows: DataFrame, sets: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of heads that are links: by their sketches, then by whole sets, made of what is left."""
+    sides = [sets.select(F.col("uid").alias(s), F.col("n").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_sketch")) for s in "ab"]
+    # Written for their number, which is known then: few are broadcast, and sketches and sets stay where they are.
+    pairs = written(pairs)
+    pairs = written(pairs.join(sides[0], "a").join(sides[1], "b").filter(_sketches_fit("a_", "b_", percent)).select("a", "b"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    asked = written(heads.join(asked, "uid", "left_semi").select("uid", F.col("id").alias("_id"), F.col("row").alias("_row")))
     few, _ = sieved(rows, asked.withColumnRenamed("_row", "row"))
     texts = few.join(asked, (F.col("id") == F.col("_id")) & (F.col("row") == F.col("_row")))
-    whole = texts.select("uid", F.lit(0), "text").mapInArrow(_sets(k, percent, True), "id long, n long, set binary")
+    whole = written(texts.select("uid", F.lit(0), "text").mapInArrow(_sets(k, percent, True), "id long, n long, set binary"))
     # Of rows that agree in id and text one is enough.
     again = sets.groupBy("id", "row").agg(F.count(F.lit(1)).alias("c"), F.min("uid").alias("uid")).filter("c > 1").select(F.col("uid").alias("id"))
-    whole = written(whole)
     whole = whole.join(again, "id", "left_anti").unionByName(whole.join(again, "id", "left_semi").dropDuplicates(["id"]))
-    lead = postings.groupBy("token").agg(F.max(F.struct("weight", -F.col("id"), "n")).alias("lead"))
-    lead = lead.select("token", (-F.col("lead.col2")).alias("lead"), F.col("lead.n").alias("lead_n"))
-    stars = (
-        postings.join(lead, "token").filter("id <> lead").filter(_sizes_fit("n", "lead_n", percent))
-        .select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-    )
-    stars = written(stars)
-    near = written(verified(stars, whole, percent))
-    named = components(near)
-    placed = postings.join(named.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_lists = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    placed = written(placed.join(open_lists, "token"))
-    largest = (
-        placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("token").agg(F.max(F.struct("c", "component")).alias("top")).select("token", F.col("top.component").alias("main"))
-    )
-    placed = written(placed.join(largest, "token").withColumn("minor", F.col("component") != F.col("main")).drop("main"))
-    # Lists in which many are outside the largest component, as among near copies that are just too different.
-    crowds = placed.filter("minor").groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > CROWD).select("token", F.lit(True).alias("crowded"))
-    placed = placed.join(crowds, "token", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    # Their documents' shingles that no other of these documents has: none of the links between them can count those.
+    return written(verified(pairs, whole, percent))
+
+
+def open_lists(postings: DataFrame, near: DataFrame) -> DataFrame:
+    """Postings of lists with several components; minor: outside the list's largest; crowded: many in the list are."""
+    named = components(near).withColumnRenamed("node", "id")
+    placed = postings.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
+    tops = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all")).filter(F.col("all") > F.col("top.c"))
+    tops = tops.select("token", F.col("top.component").alias("main"), (F.col("all") - F.col("top.c") > CROWD).alias("crowded"))
+    return written(placed.join(tops, "token").withColumn("minor", F.col("component") != F.col("main")).drop("main"))
+
+
+def sketched(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """placed with the sketches of documents of crowded lists."""
     met = placed.filter("crowded").select("id").distinct()
-    shingles = whole.join(met, "id", "left_semi").select("id", "set").mapInArrow(_shingles, "id long, shingle long")
-    alone = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(
-        F.count(F.lit(1)).alias("alone")
+    own = sets.select(F.col("uid").alias("id"), "sketch").join(met, "id", "left_semi")
+    return placed.join(own, "id", "left")
+
+
+def drawn_pairs(placed: DataFrame, sets: DataFrame, draw: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents of crowded lists with leaders drawn among the minor ones: LEADERS a list, TRIES a document."""
+    crowd = sketched(placed, sets).filter("crowded")
+    drawn = F.row_number().over(W.partitionBy("token").orderBy(F.xxhash64("token", "id", F.lit(draw)), "id"))
+    leads = crowd.filter("minor").withColumn("nth", drawn).filter(F.col("nth") <= LEADERS)
+    r, s = crowd.alias("r"), leads.alias("s")
+    meets = (
+        (F.col("r.token") == F.col("s.token")) & (F.col("r.component") != F.col("s.component"))
+        & _sizes_fit("r.n", "s.n", percent) & _sketches_fit("r.", "s.", percent)
     )
-    placed = placed.join(alone, "id", "left").withColumn("rest", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    met = r.join(s, meets).select(F.col("r.id").alias("id"), F.col("s.id").alias("lead")).distinct()
+    tried = F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64("id", "lead", F.lit(draw)), "lead"))
+    met = met.withColumn("nth", tried).filter(F.col("nth") <= TRIES)
+    return met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+
+
+def crossing(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share as many prefix tokens as similar sets do."""
+    placed = sketched(placed, sets)
     r, s = placed.filter("minor").alias("r"), placed.alias("s")
-    most = F.least("r.rest", "s.rest")
     meets = (
         (F.col("r.token") == F.col("s.token")) & (F.col("r.component") != F.col("s.component"))
         & (~F.col("s.minor") | (F.col("r.id") < F.col("s.id"))) & _sizes_fit("r.n", "s.n", percent)
         & (F.greatest("r.level", "s.level") <= F.least("r.shared", "s.shared"))
-        & (~F.col("r.crowded") | (most * 100 >= (F.col("r.n") + F.col("s.n") - most) * percent))
+        & (~F.col("r.crowded") | _sketches_fit("r.", "s.", percent))
     )
-    crossing = (
+    return (
         r.join(s, meets)
         .groupBy(F.least("r.id", "s.id").alias("a"), F.greatest("r.id", "s.id").alias("b"))
         .agg(F.count(F.lit(1)).alias("c"), F.first(F.least("r.shared", "s.shared")).alias("l"))
-        .filter("c >= l").select("a", "b").join(stars, ["a", "b"], "left_anti")
+        .filter("c >= l").select("a", "b")
     )
-    # Written first, for their number is known then: few pairs are broadcast, and the sets stay where they are.
-    return near.unionByName(written(verified(written(crossing), whole, percent)))
+
+
+def links(rows: DataFrame, sets: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b), by uid, that connect all that is connected among the heads, which have different sets."""
+    postings = written(prefixes(sets, heads, percent))
+    leads = postings.groupBy("token").agg(F.max(F.struct("weight", -F.col("id"), "n")).alias("lead"))
+    leads = leads.select("token", (-F.col("lead.col2")).alias("lead"), F.col("lead.n").alias("lead_n"))
+    stars = postings.join(leads, "token").filter("id <> lead").filter(_sizes_fit("n", "lead_n", percent))
+    stars = stars.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
+    near = checked(stars, rows, sets, heads, k, percent)
+    placed, draw = open_lists(postings, near), 0
+    while crowd := placed.filter("crowded").select("id").distinct().count():
+        found = checked(drawn_pairs(placed, sets, draw, percent), rows, sets, heads, k, percent)
+        many = found.count()
+        if many:
+            near = near.unionByName(found)
+            placed = open_lists(postings, near)
+        if many < WORTH * crowd:
+            break
+        draw += 1
+    return near.unionByName(checked(crossing(placed, sets, percent), rows, sets, heads, k, percent))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_column="doc_id", text_column="text") -> DataFrame:
