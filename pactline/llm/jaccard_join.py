@@ -18,7 +18,8 @@ estimated cost of both decides.
   components, each outside the list's largest against all others.
 * Odd sketches (parities of a set's tokens in SKETCH_BITS cells) differ in at most as many
   cells as two sets differ in tokens. They decide before whole sets are made and moved,
-  and inside the join of crowded lists. So a list of thousands of near copies does not
+  and inside the join of crowded lists; sets of more tokens than cells have a wide one too,
+  of a bit or two a token. So a list of thousands of near copies does not
   make its square of candidates.
 """
 
@@ -55,7 +56,7 @@ WORTH = 0.1
 SKETCH_BITS = 1024
 NO_ID = (1 << 63) - 1
 
-SETS = "id long, row long, n long, light long, digest binary, sketch array<long>, tokens array<long>"
+SETS = "id long, row long, n long, light long, digest binary, sketch array<long>, wide binary, tokens array<long>"
 
 
 def needed(n, percent: int):
@@ -67,10 +68,17 @@ def _longest(n: int, percent: int) -> int:
     return min(n, n - needed(n, percent) + MOST_SHARED)
 
 
-def odd_sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of tokens in SKETCH_BITS cells, as packed 64-bit numbers."""
-    cells = (tokens % np.uint64(SKETCH_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(cells, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+def odd_sketch(tokens: np.ndarray, cells: int = SKETCH_BITS) -> np.ndarray:
+    """Parities of the numbers of tokens in cells (a power of two of them), as packed bytes."""
+    at = (tokens & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8))
+
+
+def narrowed(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same tokens in size bytes, a power of two."""
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
 
 
 def _sets(k: int, percent: int, whole: bool):
@@ -79,7 +87,7 @@ def _sets(k: int, percent: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         border = np.uint64(LIGHT << 58)
         for batch in batches:
-            ns, lights, digests, sketches, tokens = [], [], [], [], []
+            ns, lights, digests, sketches, wides, tokens = [], [], [], [], [], []
             for cell in batch.column(2):
                 own = np.unique(grams(word_hashes(cell.as_py().encode()), k))
                 ns.append(len(own))
@@ -89,7 +97,8 @@ def _sets(k: int, percent: int, whole: bool):
                 light = int(np.searchsorted(own, border))
                 lights.append(light)
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                sketches.append(odd_sketch(own))
+                sketches.append(odd_sketch(own).view(np.int64))
+                wides.append(odd_sketch(own, 1 << int(len(own) - 1).bit_length()).tobytes() if len(own) > SKETCH_BITS else None)
                 tokens.append((own[: max(light, _longest(len(own), percent))] >> np.uint64(64 - TOKEN_BITS)).astype(np.int64))
             n = pa.array(ns, pa.int64())
             if whole:
@@ -100,8 +109,8 @@ def _sets(k: int, percent: int, whole: bool):
                 pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)),
             )
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], n, pa.array(lights, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), lists],
-                ["id", "row", "n", "light", "digest", "sketch", "tokens"],
+                [*batch.columns[:2], n, pa.array(lights, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(wides, pa.binary()), lists],
+                ["id", "row", "n", "light", "digest", "sketch", "wide", "tokens"],
             )
 
     return run
@@ -167,6 +176,25 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(second, "b").join(first, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
 
 
+def _wide_fit(percent: int):
+    """Pairs whose wide sketches, where both have one, do not differ in more cells than similar sets can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, x, y in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                if not (x.is_valid and y.is_valid):
+                    keep.append(True)
+                    continue
+                r, s = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
+                size = min(len(r), len(s))
+                apart = int(np.bitwise_count(narrowed(r, size) ^ narrowed(s, size)).sum())
+                keep.append(apart * (100 + percent) <= n * (100 - percent))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _sizes_fit(a: str, b: str, percent: int):
     x, y = F.col(a), F.col(b)
     return (x * 100 >= y * percent) & (y * 100 >= x * percent)
@@ -183,7 +211,10 @@ def checked(pairs: DataFrame, rows: DataFrame, sets: DataFrame, heads: DataFrame
     sides = [sets.select(F.col("uid").alias(s), F.col("n").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_sketch")) for s in "ab"]
     # Written for their number, which is known then: few are broadcast, and sketches and sets stay where they are.
     pairs = written(pairs)
-    pairs = written(pairs.join(sides[0], "a").join(sides[1], "b").filter(_sketches_fit("a_", "b_", percent)).select("a", "b"))
+    close = written(pairs.join(sides[0], "a").join(sides[1], "b").filter(_sketches_fit("a_", "b_", percent)).select("a", "b", (F.col("a_n") + F.col("b_n")).alias("n")))
+    sides = [sets.filter("wide is not null").select(F.col("uid").alias(s), F.col("wide").alias(f"wide_{s}")) for s in "ab"]
+    close = close.join(sides[0], "a", "left").join(sides[1], "b", "left").select("a", "b", "n", "wide_a", "wide_b")
+    pairs = written(close.mapInArrow(_wide_fit(percent), "a long, b long"))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     asked = written(heads.join(asked, "uid", "left_semi").select("uid", F.col("id").alias("_id"), F.col("row").alias("_row")))
     few, _ = sieved(rows, asked.withColumnRenamed("_row", "row"))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from llm.data import Bag, docs, odd_rows, words
 
@@ -102,3 +103,29 @@ def test_components_of_a_path_a_star_and_loops(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketches_differ_in_no_more_cells_than_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n = int(rng.integers(1, 5000))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.8], rng.integers(0, 1 << 63, n // 5).astype(np.uint64)]))
+        apart = len(np.setxor1d(x, y))
+        for cells in (jj.SKETCH_BITS, 4096, 8192):
+            a, b = jj.odd_sketch(x, cells), jj.odd_sketch(y, cells)
+            assert np.bitwise_count(a ^ b).sum() <= apart
+            assert (jj.narrowed(a, 128) == jj.odd_sketch(x)).all()
+
+
+def test_long_near_copies_in_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(jj, "CROWD", 1)
+    monkeypatch.setattr(jj, "LEADERS", 2)
+    rng = random.Random(12)
+    base, rows = words(rng, 1500), []
+    for i in range(24):
+        own = list(base)
+        for at in rng.sample(range(len(own)), rng.choice([0, 15, 25, 60, 200])):
+            own[at] = "changed" + str(rng.randrange(9))
+        rows.append((i, " ".join(own + words(rng, rng.choice([0, 300])))))
+    assert found(spark, rows, 4, 85) == expected(rows, 4, 85)
