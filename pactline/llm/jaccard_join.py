@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from pactline.llm.graph import components
 from pactline.llm.store import boxed, sieved, written
-from pactline.llm.text import grams, row_hash, table, text_of, word_hashes
+from pactline.llm.text import grams, row_hash, sliced, table, text_of, word_hashes
 
 #: Share of the token space, in 64ths, whose frequencies are counted.
 LIGHT = 11
@@ -86,7 +86,7 @@ def _sets(k: int, percent: int, whole: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         border = np.uint64(LIGHT << 58)
-        for batch in batches:
+        for batch in sliced(batches):
             ns, lights, digests, sketches, wides, tokens = [], [], [], [], [], []
             for cell in batch.column(2):
                 own = np.unique(grams(word_hashes(cell.as_py().encode()), k))
@@ -155,7 +155,7 @@ def prefixes(sets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 r, s = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
@@ -180,7 +180,7 @@ def _wide_fit(percent: int):
     """Pairs whose wide sketches, where both have one, do not differ in more cells than similar sets can."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for n, x, y in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
                 if not (x.is_valid and y.is_valid):

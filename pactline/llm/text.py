@@ -8,13 +8,17 @@ byte by byte.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MASK = (1 << 64) - 1
+#: Bytes of a batch that are worked on at once, unless one row has more.
+SLICE_BYTES = 4 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -38,6 +42,14 @@ _BASE = 0xD1B54A32D192ED03
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about size bytes, so that what is made of them is bounded as well."""
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 class _Powers:
     """Powers of the base and of its inverse modulo 2^64, grown to the longest text seen."""
 

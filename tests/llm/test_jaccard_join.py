@@ -4,11 +4,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.data import Bag, docs, odd_rows, words
 
 from pactline.llm import jaccard_join as jj
 from pactline.llm.graph import components
+from pactline.llm.text import sliced
 
 
 def shingles(text, k):
@@ -129,3 +131,12 @@ def test_long_near_copies_in_a_crowd(spark, monkeypatch):
             own[at] = "changed" + str(rng.randrange(9))
         rows.append((i, " ".join(own + words(rng, rng.choice([0, 300])))))
     assert found(spark, rows, 4, 85) == expected(rows, 4, 85)
+
+
+def test_slices_hold_all_rows_in_order():
+    batch = pa.record_batch({"id": list(range(50)), "text": ["x" * (i * i) for i in range(50)]})
+    for size in (1, 500, 1 << 30):
+        parts = list(sliced(iter([batch, batch.slice(0, 0)]), size))
+        assert [i for p in parts for i in p.column("id").to_pylist()] == list(range(50))
+        assert [t for p in parts for t in p.column("text").to_pylist()] == batch.column("text").to_pylist()
+    assert len(list(sliced(iter([batch]), 1))) == 50 and len(list(sliced(iter([batch]), 1 << 30))) == 1
