@@ -116,6 +116,19 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+class Runs:
+    """64-bit hashes of all runs of any number of words, in the same time for each number."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        up, self._down = _powers.to(len(words) + 1)
+        self._sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * up[: len(words)], out=self._sums[1:])
+
+    def of(self, k: int) -> np.ndarray:
+        n = max(0, len(self._sums) - k)
+        return mix((self._sums[k:] - self._sums[:n]) * self._down[:n])
+
+
 def row_hash(id_column: Column, text_column: Column) -> Column:
     """Tells rows of one id with different texts apart; rows that agree in both are alike."""
     return F.xxhash64(id_column, text_column)
