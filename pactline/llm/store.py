@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1024
 #: Buckets of a sieve: the most rows that it broadcasts.
 SIEVE_BUCKETS = 1 << 20
+#: Bytes of rows that a task hands to Python at once; a buffer of them is doubled as it grows, outside the heap.
+BATCH_BYTES = "4m"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,11 +23,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs begun here hand BATCH_BYTES to Python at once; the session's own setting comes back after."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(frame: DataFrame) -> DataFrame:
     """Write once, read from then on: lost executors take nothing with them."""
     spark = frame.sparkSession
     path = shared_folder(spark)
-    frame.write.parquet(path)
+    with small_batches(spark):
+        frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

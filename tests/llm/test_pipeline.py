@@ -101,3 +101,13 @@ def test_stages_in_order(spark, tmp_path):
 
 def test_empty_tables(spark, tmp_path):
     assert run(spark, tmp_path, [], [], []) == []
+
+
+def test_batches_are_small_only_while_a_table_is_written(spark):
+    from pactline.llm.store import BATCH_BYTES, small_batches, written
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with small_batches(spark):
+        assert spark.conf.get(name) == BATCH_BYTES
+    assert written(spark.range(5)).count() == 5 and spark.conf.get(name) == before
