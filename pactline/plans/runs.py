@@ -181,11 +181,11 @@ def health_summary(runs: DataFrame, checks: DataFrame, incidents: DataFrame) ->
     )
 
 
-def current_runs(events: DataFrame) -> DataFrame:
-    """Latest event of every run."""
-    return newest_rows(events, model.RUN_KEY, ["event_no", "ended_at"])
+def current_runs(events: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Latest event of every run; more columns that follow from the run may be part of the key."""
+    return newest_rows(events, [*more, *model.RUN_KEY], ["event_no", "ended_at"])
 
 
-def current_incidents(events: DataFrame) -> DataFrame:
-    """Latest event of every incident."""
-    return newest_rows(events, [*model.RUN_KEY, "incident_type"], ["event_no", "first_observed_at"])
+def current_incidents(events: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Latest event of every incident; more columns that follow from the run may be part of the key."""
+    return newest_rows(events, [*more, *model.RUN_KEY, "incident_type"], ["event_no", "first_observed_at"])

@@ -15,11 +15,12 @@ its hour is written again, to the current one.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import date, datetime, timedelta, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pactline import model
@@ -47,22 +48,29 @@ def hour_of(moment: datetime) -> int:
     return int(moment.astimezone(timezone.utc).strftime("%Y%m%d%H"))
 
 
-def settled_checks(log: DataFrame) -> DataFrame:
-    """One result for each check of a run's last attempt, however often it was written."""
-    key = [*model.RUN_KEY, "check_type"]
-    rest = [c for c in log.columns if c not in key]
+def of_last_attempts(log: DataFrame) -> DataFrame:
+    """Check results of each run's last attempt."""
     # Resumed runs are few: the files' statistics leave nothing else to read here.
     last = log.where("attempt > 1").groupBy(*model.RUN_KEY).agg(F.max("attempt").alias("last"))
-    log = log.join(last, model.RUN_KEY, "left").where("last IS NULL OR attempt = last")
-    # A set is built by hashing, where a minimum of texts would sort the log first.
-    first = F.array_min(F.collect_set(F.struct(*rest))).alias("first")
-    return log.groupBy(*key).agg(first).select(
-        *[F.col(c) if c in key else F.col(f"first.{c}").alias(c) for c in [*key, *rest]]
-    )
+    return log.join(last, model.RUN_KEY, "left").where("last IS NULL OR attempt = last").select(*log.columns)
+
+
+def one_per_check(log: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """One result for each check of a run, the smallest; more columns that follow from the run may be part of the key."""
+    key = [*more, *model.RUN_KEY, "check_type"]
+    rest = [c for c in log.columns if c not in key]
+    # One sort by key, that looks at the texts of repeats only; a set of texts is built for every key.
+    before = F.lag(F.lit(1)).over(W.partitionBy(*key).orderBy(*rest))
+    return log.withColumn("before", before).where("before IS NULL").select(*key, *rest)
+
+
+def settled_checks(log: DataFrame) -> DataFrame:
+    """One result for each check of a run's last attempt, however often it was written."""
+    return one_per_check(of_last_attempts(log))
 
 
 #: Logs with snapshots, and how their rows are settled; settling again changes nothing.
-SETTLED = {"runs": current_runs, "checks": settled_checks, "incidents": current_incidents}
+SETTLED = {"runs": current_runs, "checks": one_per_check, "incidents": current_incidents}
 
 
 class ControlStore:
@@ -167,9 +175,11 @@ class ControlStore:
             closed = closed.drop("hour", "batch")
             if before:
                 closed = closed.unionByName(self._folded(table, before[2]).drop("bucket"))
-            rows = settle(closed).withColumn("bucket", F.pmod(F.xxhash64("pipeline"), F.lit(buckets)).cast("int"))
-            # A range may cut a bucket, so a pipeline that owns most runs is written by several tasks.
-            ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+            closed = of_last_attempts(closed) if table == "checks" else closed
+            closed = closed.withColumn("bucket", F.pmod(F.xxhash64("pipeline"), F.lit(buckets)).cast("int"))
+            # A range may cut a bucket, so a pipeline that owns most runs is written by several tasks. It never
+            # cuts a run, so rows are settled where they are written, without another shuffle.
+            ranged = settle(closed.repartitionByRange(*order), ["bucket"]).sortWithinPartitions(*order)
             ranged.write.partitionBy("bucket").parquet(f"{path}/{table}")
         self._publish(upto, buckets, path)
         return upto

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pactline import model
 from pactline.plans.history import run_health
-from pactline.sources.store import ControlStore, hour_of
+from pactline.sources.store import SETTLED, ControlStore, hour_of, settled_checks
 
 START = datetime(2026, 8, 1, 9, 30, tzinfo=timezone.utc)
 
@@ -124,3 +124,20 @@ def test_the_last_attempt_only(store):
         (model.SOURCE_READABILITY, "passed"), (model.ROW_COUNT, "failed")
     }
     assert store.checks().count() == 2
+
+
+def test_a_fold_shuffles_each_log_once(spark):
+    for table, settle in SETTLED.items():
+        rows = spark.createDataFrame([], f"{model.CONTROL_TABLES[table]}, month date, bucket int")
+        plan = settle(rows.repartitionByRange("bucket", *model.RUN_KEY), ["bucket"]).sortWithinPartitions("bucket", *model.RUN_KEY)
+        assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_one_result_of_a_repeated_check(spark):
+    rows = [("p", "a", n, t, s, None, None, m, None, 1) for n, t, s, m in (
+        (2, "x", "failed", None), (1, "x", "failed", "b"), (1, "x", "failed", "a"), (1, "x", "failed", "a"), (None, "y", None, None), (3, None, "passed", "c"), (3, None, "passed", "c")
+    )]
+    found = settled_checks(spark.createDataFrame([*rows, (None, *rows[0][1:])], model.CHECKS)).collect()
+    assert {(r["pipeline"], r["check_type"], r["check_order"], r["message"]) for r in found} == {
+        ("p", "x", 1, "a"), ("p", "y", None, None), ("p", None, 3, "c"), (None, "x", 2, None)
+    } and len(found) == 4
