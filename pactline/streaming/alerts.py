@@ -8,7 +8,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pactline import model
 from pactline.plans import alerts
-from pactline.plans.registry import newest_rows
 from pactline.sources.store import ControlStore
 
 EVALUATION_INTERVAL = "30 seconds"
@@ -31,7 +30,7 @@ def watch_alerts(store: ControlStore, out: str, checkpoint: str, **trigger) -> S
 
     No trigger looks at old events again. Spark's state has each run folded once, spread by
     run, and a trigger touches the runs that something arrived of. Their contributions
-    replace the former ones in a small table, of one row per pipeline and run with open
+    are written as they leave the state, and replace the former ones in a small table, of one row per pipeline and run with open
     incidents, and the rules are sums over it. That table alternates between two folders
     beside the checkpoint, so a trigger that is repeated starts from what the one before
     left. Logs that are not there yet are made, so that their first rows are seen too.
@@ -42,13 +41,13 @@ def watch_alerts(store: ControlStore, out: str, checkpoint: str, **trigger) -> S
 
     def evaluate(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = alerts.contributions(batch).withColumn("fresh", F.lit(1))
+        # The batch is looked at once only: it runs the stateful query, which has each run once.
+        alerts.contributions(batch).write.mode("overwrite").parquet(folder(epoch))
         if epoch > 0:
-            before = spark.read.schema(alerts.LIVE).parquet(folder(epoch - 1))
-            # The batch is looked at once only: it runs the stateful query.
-            fresh = fresh.unionByName(still_counting(before).withColumn("fresh", F.lit(0)))
-        live = newest_rows(fresh, model.RUN_KEY, ["fresh"]).drop("fresh")
-        live.write.mode("overwrite").parquet(folder(epoch))
+            before, fresh = (spark.read.schema(alerts.LIVE).parquet(folder(e)) for e in (epoch - 1, epoch))
+            b, f = still_counting(before).alias("b"), fresh.select(*model.RUN_KEY).alias("f")
+            same = [F.col(f"b.{c}").eqNullSafe(F.col(f"f.{c}")) for c in model.RUN_KEY]
+            b.join(f, same, "left_anti").write.mode("append").parquet(folder(epoch))
         kept = spark.read.schema(alerts.LIVE).parquet(folder(epoch))
         alerts.rule_states(kept, store.pipelines()).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
