@@ -47,9 +47,10 @@ MOST_SHARED = 4
 VERIFY = 8.0
 #: Documents outside a list's largest component from which on leaders are drawn and sketches joined.
 CROWD = 16
-#: Leaders drawn of a crowded list, those of them that a document is verified against in a round, and the
-#: share of documents of crowded lists that a round must link for another one. They only choose the path:
-#: the last round is exact.
+#: Crowded lists that a document takes part in in a round, leaders drawn of each, those of them that a document
+#: is verified against, and the share of documents of crowded lists that a round must link for another one. They
+#: only choose the path: the last round is exact.
+LISTS = 4
 LEADERS = 64
 TRIES = 4
 WORTH = 0.1
@@ -243,9 +244,15 @@ def sketched(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return placed.join(own, "id", "left")
 
 
+def few_lists(placed: DataFrame, draw: int) -> DataFrame:
+    """Postings of crowded lists, LISTS a document: those of the least hashes, so that near copies choose alike."""
+    chosen = F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64("token", F.lit(draw)), "token"))
+    return placed.filter("crowded").withColumn("nth", chosen).filter(F.col("nth") <= LISTS).drop("nth")
+
+
 def drawn_pairs(placed: DataFrame, sets: DataFrame, draw: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents of crowded lists with leaders drawn among the minor ones: LEADERS a list, TRIES a document."""
-    crowd = sketched(placed, sets).filter("crowded")
+    """Pairs (a, b) of documents of few_lists with leaders drawn among the minor ones: LEADERS a list, TRIES a document."""
+    crowd = sketched(few_lists(placed, draw), sets)
     drawn = F.row_number().over(W.partitionBy("token").orderBy(F.xxhash64("token", "id", F.lit(draw)), "id"))
     leads = crowd.filter("minor").withColumn("nth", drawn).filter(F.col("nth") <= LEADERS)
     r, s = crowd.alias("r"), leads.alias("s")
@@ -267,7 +274,7 @@ def crossing(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         (F.col("r.token") == F.col("s.token")) & (F.col("r.component") != F.col("s.component"))
         & (~F.col("s.minor") | (F.col("r.id") < F.col("s.id"))) & _sizes_fit("r.n", "s.n", percent)
         & (F.greatest("r.level", "s.level") <= F.least("r.shared", "s.shared"))
-        & (~F.col("r.crowded") | _sketches_fit("r.", "s.", percent))
+        & F.coalesce(_sketches_fit("r.", "s.", percent), F.lit(True))
     )
     return (
         r.join(s, meets)
@@ -291,7 +298,8 @@ def links(rows: DataFrame, sets: DataFrame, heads: DataFrame, k: int, percent: i
         many = found.count()
         if many:
             near = near.unionByName(found)
-            placed = open_lists(postings, near)
+            # What has become one component stays one.
+            placed = open_lists(placed.select(*postings.columns), near)
         if many < WORTH * crowd:
             break
         draw += 1

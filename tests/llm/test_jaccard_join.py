@@ -7,7 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from llm.data import Bag, docs, odd_rows, words
+from pyspark.sql import functions as F
 
+from pactline.llm import graph
 from pactline.llm import jaccard_join as jj
 from pactline.llm.graph import components
 from pactline.llm.text import sliced
@@ -107,6 +109,31 @@ def test_components_of_a_path_a_star_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_are_not_shuffled(spark, monkeypatch):
+    plans, inner = [], graph.written
+
+    def recorded(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return inner(frame)
+
+    monkeypatch.setattr(graph, "written", recorded)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    few = sorted(components(edges).collect())
+    assert len(plans) > 2 and not any("Exchange hash" in plan for plan in plans[1:])
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert sorted(components(edges).collect()) == few == [(i, 0) for i in range(21)]
+
+
+def test_a_document_takes_part_in_few_crowded_lists(spark):
+    placed = spark.range(30).crossJoin(spark.range(40).withColumnRenamed("id", "token")).withColumn("crowded", F.expr("token < 25"))
+    for draw in (0, 1):
+        chosen = {}
+        for r in jj.few_lists(placed, draw).collect():
+            chosen.setdefault(r.id, set()).add(r.token)
+        assert len(chosen) == 30 and len(set(map(frozenset, chosen.values()))) == 1
+        assert all(len(own) == jj.LISTS and max(own) < 25 for own in chosen.values())
+
+
 def test_sketches_differ_in_no_more_cells_than_sets():
     rng = np.random.default_rng(3)
     for _ in range(40):
