@@ -1,7 +1,8 @@
 """From raw documents to a training mix: STAGES in order, each on all that the one before kept.
 
 All but the last return the columns of documents. run() writes each stage to the
-shared folder and reads it again for the next.
+shared folder and reads it again for the next. Stages that hand texts to Python set the
+session's bytes of an Arrow batch (store.BATCH_BYTES): whoever writes what they return needs them small.
 """
 
 from __future__ import annotations
@@ -10,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactline.llm import decontaminate, jaccard_join, mixing, secrets, toxicity
-from pactline.llm.store import written
+from pactline.llm.store import keep_batches_small, written
 from pactline.llm.text import table
 
 
 def no_toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted on the labelled ones, does not call toxic."""
+    keep_batches_small(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
@@ -27,11 +29,13 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def no_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no item of the benchmark."""
+    keep_batches_small(spark)
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets and linked credentials replaced by their kind."""
+    keep_batches_small(spark)
     return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 

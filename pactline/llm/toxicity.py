@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactline.llm.store import written
+from pactline.llm.store import small_batches, written
 from pactline.llm.text import row_hash, table, text_of
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -164,6 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="tex
     Labels without id or value are left out; of several labels of one id the largest
     counts. Without labels of both kinds the model scores every text alike.
     """
+    with small_batches(docs.sparkSession):
+        return _fitted(docs, labels, id_column, text_column, label_column)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str) -> Model:
     known = (
         labels.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("int").alias("toxic"))
         .dropna().filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))

@@ -111,3 +111,26 @@ def test_batches_are_small_only_while_a_table_is_written(spark):
     with small_batches(spark):
         assert spark.conf.get(name) == BATCH_BYTES
     assert written(spark.range(5)).count() == 5 and spark.conf.get(name) == before
+
+
+def test_stages_hand_small_batches_to_whoever_writes_them(spark, tmp_path, monkeypatch):
+    from pactline.llm import toxicity
+
+    inner, name = toxicity._filter, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def bounded(model):
+        def run(batches):
+            for batch in batches:
+                assert batch.nbytes < 12 << 20
+                yield from inner(model)(iter([batch]))
+
+        return run
+
+    monkeypatch.setattr(toxicity, "_filter", bounded)
+    before = spark.conf.get(name)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long_texts = spark.range(200).coalesce(1).selectExpr("id as doc_id", "repeat('ab cd ', 20000) as text")
+    try:
+        assert corpus_pipeline.no_toxic_texts(spark, long_texts, str(tmp_path)).count() == 200
+    finally:
+        spark.conf.set(name, before)
