@@ -7,9 +7,9 @@ more postings but asks for more shared tokens before a pair is verified, and the
 estimated cost of both decides.
 
 * Documents with equal sets form one class; one of each class is joined.
-* Frequencies are needed only for a fixed share LIGHT of the token space: a set's
-  tokens there are more than its prefix, as a rule; where they are fewer the prefix
-  goes on with the other tokens by hash. The order stays common to all.
+* Frequencies are needed only for a fixed share of the token space, LIGHT times the share of
+  a set that is its prefix: a set's tokens there are more than its prefix, as a rule; where
+  they are fewer the prefix goes on with the other tokens by hash. The order stays common to all.
 * Candidates come in rounds. First every document meets one document of each of its
   posting lists, the one most of which is found elsewhere: as many pairs as postings.
   What these pairs connect needs no further check. In lists that are still crowded with
@@ -39,8 +39,9 @@ from pactline.llm.graph import components
 from pactline.llm.store import boxed, sieved, written
 from pactline.llm.text import grams, row_hash, sliced, table, text_of, word_hashes
 
-#: Share of the token space, in 64ths, whose frequencies are counted.
-LIGHT = 11
+#: How much larger than the share of a set that its prefix takes is the share of the token space whose
+#: frequencies are counted. Were it no larger, prefixes would hold all of a set's tokens there, frequent ones too.
+LIGHT = 1.75
 TOKEN_BITS = 48
 MOST_SHARED = 4
 #: Cost of verifying a candidate, in postings read.
@@ -69,6 +70,11 @@ def _longest(n: int, percent: int) -> int:
     return min(n, n - needed(n, percent) + MOST_SHARED)
 
 
+def _border(percent: int) -> np.uint64:
+    """The tokens below it are those whose frequencies are counted."""
+    return np.uint64(min(1.0, LIGHT * (100 - percent) / 100) * (1 << 32)) << np.uint64(32)
+
+
 def odd_sketch(tokens: np.ndarray, cells: int = SKETCH_BITS) -> np.ndarray:
     """Parities of the numbers of tokens in cells (a power of two of them), as packed bytes."""
     at = (tokens & np.uint64(cells - 1)).astype(np.int64)
@@ -86,7 +92,7 @@ def _sets(k: int, percent: int, whole: bool):
     """Rows of SETS; with whole, the full sets as packed 64-bit numbers instead of prefix tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        border = np.uint64(LIGHT << 58)
+        border = _border(percent)
         for batch in sliced(batches):
             ns, lights, digests, sketches, wides, tokens = [], [], [], [], [], []
             for cell in batch.column(2):

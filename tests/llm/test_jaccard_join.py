@@ -102,6 +102,20 @@ def test_prefixes_share_as_many_tokens_as_they_promise(spark):
                 assert sum(a[t][0] <= least and b[t][0] <= least for t in a.keys() & b.keys()) >= least
 
 
+@pytest.mark.parametrize("k, percent", [(5, 80), (4, 85)])
+def test_a_line_of_all_documents_is_in_few_prefixes(spark, k, percent):
+    rng = random.Random(14)
+    line = words(rng, 30)
+    rows = [(i, " ".join(words(rng, rng.randint(90, 400)) + line)) for i in range(150)]
+    frame = docs(spark, rows).selectExpr("doc_id as id", "0L as row", "text").coalesce(1)
+    sets = frame.mapInArrow(jj._sets(k, percent, False), jj.SETS).selectExpr("*", "id as uid").cache()
+    lists = {}
+    for p in jj.prefixes(sets, sets, percent).collect():
+        lists.setdefault(p.token, set()).add(p.id)
+    # Documents with enough rarer tokens are not in a list of the line.
+    assert max(map(len, lists.values()), default=0) <= 15
+
+
 def test_components_of_a_path_a_star_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (201, 200), (200, 201)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
